@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siltstone.llm import decontaminate, language, licenses, mixing, urls
+from siltstone.llm import decontaminate, language, licenses, mixing, neardup, urls
 from siltstone.llm.common import fold, table
 
 
@@ -22,6 +22,10 @@ def op5_mix_sources(spark, sf_dir):
     return out.select("doc_id", "__mix.source", "__mix.lang", "__mix.topic", "__mix.tokens", F.round("__mix.weight", 8).alias("weight"), F.round("__mix.p", 8).alias("p"), "__mix.kept")
 
 
+def op6_near_dedup(spark, sf_dir):
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages"))
 
