@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siltstone.llm import decontaminate, language, licenses, mixing, neardup, urls
+from siltstone.llm import decontaminate, language, licenses, mixing, neardup, substrings, urls
 from siltstone.llm.common import fold, table
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op2_license_scan(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
 
