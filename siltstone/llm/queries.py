@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siltstone.llm import decontaminate, language, licenses, mixing, neardup, substrings, urls
+from siltstone.llm import decontaminate, hmm, language, licenses, mixing, neardup, substrings, urls
 from siltstone.llm.common import fold, table
 
 
@@ -30,6 +30,10 @@ def op6_near_dedup(spark, sf_dir):
     return neardup.classes(table(spark, sf_dir, "documents"))
 
 
+def op7_hmm_score(spark, sf_dir):
+    return hmm.score(table(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages"))
 
