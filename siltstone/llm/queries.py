@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siltstone.llm import decontaminate, hmm, language, licenses, mixing, neardup, substrings, urls
+from siltstone.llm import decontaminate, hmm, language, licenses, mixing, neardup, neighbours, substrings, urls
 from siltstone.llm.common import fold, table
 
 
@@ -21,6 +21,10 @@ def op3_language_id(spark, sf_dir):
     return language.predict(docs.select("doc_id", "text"), language.train(docs)).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op4_nearest_vectors(spark, sf_dir):
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
 def op5_mix_sources(spark, sf_dir):
     out = mixing.weigh(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "__mix.source", "__mix.lang", "__mix.topic", "__mix.tokens", F.round("__mix.weight", 8).alias("weight"), F.round("__mix.p", 8).alias("p"), "__mix.kept")
