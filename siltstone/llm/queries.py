@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siltstone.llm import decontaminate, hmm, language, licenses, mixing, neardup, neighbours, substrings, urls
+from siltstone.llm import decontaminate, hmm, html, language, licenses, mixing, neardup, neighbours, substrings, urls
 from siltstone.llm.common import fold, table
 
 
@@ -47,6 +47,11 @@ def op9_decontaminate(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op10_extract_html(spark, sf_dir):
+    out = html.extract(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
