@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -128,5 +129,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     return out.select("doc_id", "n_words", "n_hit", "items", "spans")
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents without a hit, as they are."""
+    out = docs
+    for block in _blocks(benchmark, item_col, item_text_col, window, block_bytes):
+        out = out.where(F.pandas_udf(_cleaner(_shared(docs.sparkSession, block)), "boolean")(F.col(text_col)))
+    return out
+
+
+def _cleaner(shared):
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        automaton = _automaton(shared.value)
+        for texts in batches:
+            yield pd.Series([not _scan(t or "", automaton)[1] for t in texts], dtype=bool)
+
+    return clean
+
+
 def _shared(spark, block):
     return spark.sparkContext.broadcast(block)

@@ -152,3 +152,16 @@ def predict(docs: DataFrame, net: ByteCnn | None, *, text_col: str = "text") ->
 
     found = F.pandas_udf(guess, "lang_pred string, score double")
     return docs.withColumn("__guess", found(F.col(text_col))).select(*[docs[c] for c in docs.columns], "__guess.lang_pred", "__guess.score")
+
+
+def keep_known(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.4) -> DataFrame:
+    """The documents with a language: those with letters, of which the network is at least that sure.
+
+    Where no row is labelled there is nothing to learn from, and every document stays.
+    """
+    net = train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)
+    if net is None:
+        return docs
+    found = predict(docs.select(*[F.col(f"`{c}`").alias(f"d{i}") for i, c in enumerate(docs.columns)]), net, text_col=f"d{docs.columns.index(text_col)}")
+    found = found.where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    return found.select(*[F.col(f"d{i}").alias(c) for i, c in enumerate(docs.columns)])

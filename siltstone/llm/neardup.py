@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from siltstone.llm.common import components, written
 from siltstone.llm.shingles import WORDS, mix, shingle_sets
@@ -216,9 +217,14 @@ def _mixed_bands(pairs: DataFrame, members: DataFrame, label: DataFrame) -> Data
 
 
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with one of each group left, that of the smallest id."""
-    gone = classes(docs, id_col=id_col, text_col=text_col).where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    """The documents with one of each group left, that of the smallest id; of rows that repeat an id, the first text."""
+    found = written(classes(docs, id_col=id_col, text_col=text_col), "classes")
+    gone = found.where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
+    out = docs.join(gone, id_col, "left_anti")
+    if _repeats(found):
+        order = Window.partitionBy(id_col).orderBy(text_col)
+        out = out.withColumn("__n", F.row_number().over(order)).where(F.col("__n").eqNullSafe(1) | F.col(id_col).isNull()).drop("__n")
+    return out.select(*docs.columns)
 
 
 __all__ = ["WORDS", "classes", "keep_first", "registers", "sketch"]

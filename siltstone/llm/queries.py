@@ -9,7 +9,7 @@ from siltstone.llm.common import fold, table
 
 
 def op1_suffix_dedup(spark, sf_dir):
-    return substrings.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
 
 
 def op2_license_scan(spark, sf_dir):

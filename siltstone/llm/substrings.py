@@ -91,26 +91,30 @@ def entries(found: dict[str, np.ndarray], buckets: int) -> dict[str, np.ndarray]
 
 
 def _pack(docs: DataFrame) -> DataFrame:
-    """Packs of whole documents in the order of doc_id; pack numbers follow that order. Rows of one id stay together."""
+    """Packs of whole documents in the order of doc_id; pack numbers follow that order. Rows of one id stay together.
+
+    What else a row carries is a line of JSON each.
+    """
 
     def run(batches):
-        part, seq, ids, raws, size = TaskContext.get().partitionId(), 0, [], [], 0
+        part, seq, ids, raws, more, size = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def row():
-            return pd.DataFrame({"pack": [(part << 32) | seq], "ids": [np.array(ids, np.int64).tobytes()], "lens": [np.array([len(r) for r in raws], np.int64).tobytes()], "blob": [b"".join(raws)]})
+            return pd.DataFrame({"pack": [(part << 32) | seq], "ids": [np.array(ids, np.int64).tobytes()], "lens": [np.array([len(r) for r in raws], np.int64).tobytes()], "blob": [b"".join(raws)], "more": ["\n".join(more)]})
 
         for pdf in batches:
-            for i, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+            for i, text, rest in zip(pdf["doc_id"], pdf["text"], pdf["more"], strict=True):
                 if size >= PACK_BYTES and i != ids[-1]:
                     yield row()
-                    seq, ids, raws, size = seq + 1, [], [], 0
+                    seq, ids, raws, more, size = seq + 1, [], [], [], 0
                 ids.append(i)
                 raws.append((text or "").encode())
+                more.append(rest)
                 size += len(raws[-1]) + 16
         if ids:
             yield row()
 
-    return docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInPandas(run, "pack long, ids binary, lens binary, blob binary")
+    return docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInPandas(run, "pack long, ids binary, lens binary, blob binary, more string")
 
 
 def _opened(row, buckets: int):
@@ -257,13 +261,16 @@ def _covered(row, buckets: int):
     return flat, ids, lens, np.cumsum(edge[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
-    """Per document row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, on demand, kept (binary).
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """Per document row: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
-    A null text is empty, a text under 50 bytes keeps all; a null id takes no part and keeps its text. Rows that
-    repeat an id are one document's: none is earlier than another. Other columns are ignored; an empty table gives none.
+    With ``carry``, also text, what is left (characters that a cut splits are dropped), and rest, a struct of those
+    columns of ``docs``. A null text is empty, a text under 50 bytes keeps all; a null id takes no part and keeps its
+    text. Rows that repeat an id are one document's: none is earlier than another. Other columns are ignored; an
+    empty table gives none.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    more = F.to_json(F.struct(*[docs[c] for c in carry])) if carry else F.lit("{}")
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), more.alias("more"))
     packs = written(_pack(base.where("doc_id is not null")), "packs")
     total = packs.agg(F.sum(F.octet_length("blob"))).first()[0] or 0
     buckets = max(8, math.ceil(total / BUCKET_BYTES))
@@ -272,22 +279,36 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     joined = packs.join(said, "pack", "left")
     masks = _open_segments(joined, buckets).groupBy("bucket").applyInPandas(_compare, "pack long, entry long, mask long")
     masks = masks.groupBy("pack").agg(F.collect_list(F.struct("entry", "mask")).alias("masks"))
+    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "more"]
 
     def cut(batches):
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 flat, ids, lens, gone = _covered(row, buckets)
                 out, lo = [], 0
-                for i, n in zip(ids.tolist(), lens.tolist(), strict=True):
+                for i, n, rest in zip(ids.tolist(), lens.tolist(), row.more.split("\n"), strict=True):
                     g = gone[lo : lo + n]
                     kept = flat[lo : lo + n][~g].tobytes()
                     spans = int(np.count_nonzero(g[1:] & ~g[:-1]) + (n > 0 and g[0]))
-                    out.append((i, n, int(g.sum()), spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
+                    out.append((i, n, int(g.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if carry else None, rest if carry else None))
                     lo += n
-                yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                yield pd.DataFrame(out, columns=columns)
 
-    out = joined.join(masks, "pack", "left").mapInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = joined.join(masks, "pack", "left").mapInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string, more string")
     raw = F.encode("text", "UTF-8")
-    null = base.where("doc_id is null").select("doc_id", F.octet_length(raw).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(raw, 256).alias("kept_sha256"), (raw if with_text else F.lit(None).cast("binary")).alias("kept"))
-    out = out.unionByName(null)
-    return out if with_text else out.drop("kept")
+    none = F.lit(0).cast("long")
+    out = out.unionByName(base.where("doc_id is null").select("doc_id", F.octet_length(raw).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(raw, 256).alias("kept_sha256"), "text", "more"))
+    if not carry:
+        return out.drop("text", "more")
+    kind = docs.select(*carry).schema
+    return out.withColumn("more", F.from_json("more", kind)).withColumnRenamed("more", "rest")
+
+
+def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with repeats cut out of their texts; one that nothing is left of goes. Columns are as in ``docs``."""
+    carry = [c for c in docs.columns if c not in (id_col, text_col)]
+    out = remove_repeats(docs, id_col=id_col, text_col=text_col, carry=carry or [id_col])
+    out = out.where((F.col("n_removed") == 0) | (F.trim(F.regexp_replace("text", "\\s+", " ")) != ""))
+    kind = {f.name: f.dataType for f in docs.schema.fields}
+    own = {id_col: F.col("doc_id").cast(kind[id_col]), text_col: F.col("text")}
+    return out.select(*[own.get(c, F.col("rest").getField(c)).alias(c) for c in docs.columns])
