@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from siltstone.plans import registry, retrieval  # noqa: F401
+
 
 def queries() -> dict:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.SQL)
