@@ -26,6 +26,8 @@ LIMIT, RATE = 60_000, 20.0
 PERCENT = 85
 #: A pair is dropped before verification only if its likelihood at the threshold is below the best by this much (7 sigma).
 MARGIN = 24.5
+#: Members of a band up to which its remaining pairs are listed; members of a block beyond that.
+SMALL, BLOCK = 16, 512
 #: A link needs sets of about the same size.
 _CLOSE = f"100 * least(n, ln) >= {PERCENT} * greatest(n, ln)"
 _RNG = np.random.default_rng(577215)
@@ -161,9 +163,9 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
 
     Equal sets meet by signature, one representative of each goes on. In every band its members are paired with the
     smallest of them (a star, not all pairs). Each document is verified with its smallest partner first; then only
-    pairs across components are: the other stars, then what is left between components within a band. Pairs are
-    pruned by set size and by the joint likelihood of their registers, with a margin of 7 sigma, before full sets are
-    compared. Documents without words are linked with nothing. A null id has a null component and is kept. Rows that
+    pairs across components are: the other stars, then what is left between components within a band, pair by pair in
+    small bands and by block products in larger ones. Pairs are pruned by set size and by the joint likelihood of their
+    registers, with a margin of 7 sigma, before full sets are compared. Documents without words are linked with nothing. A null id has a null component and is kept. Rows that
     repeat an id share a component, each gives a row. Other columns are ignored, an empty table gives none.
     """
     rows = written(sketch(docs, id_col, text_col), "sketch")
@@ -182,12 +184,13 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     done = nearest.checkpoint()
     links = _verified(_estimated(done, reps), texts).checkpoint()
     label = components(links)
-    for candidates in (_other_stars, _mixed_bands):
-        rest = candidates(pairs, members, label).join(done, ["a", "b"], "left_anti").checkpoint()
-        if not rest.isEmpty():
-            done = done.unionByName(rest)
-            links = links.unionByName(_verified(_estimated(rest, reps), texts)).checkpoint()
-            label = components(links)
+    rest = _other_stars(pairs.join(done, ["a", "b"], "left_anti"), label).checkpoint()
+    done = done.unionByName(rest)
+    links, label = _more(links, label, _verified(_estimated(rest, reps), texts))
+    mixed = _mixed_bands(members, label).checkpoint()
+    rest = _small_pairs(mixed).join(done, ["a", "b"], "left_anti").checkpoint()
+    found = _verified(_estimated(rest, reps), texts).unionByName(_joined_blocks(mixed, texts))
+    links, label = _more(links, label, found)
     known = reps.select("s1", "s2", "doc_id").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     known = known.select("s1", "s2", F.coalesce("component", "doc_id").alias("component_id"))
     linked = full.select("doc_id", "n", "s1", "s2").join(known, ["s1", "s2"]).select("doc_id", "n", "component_id")
@@ -200,22 +203,104 @@ def _repeats(rows: DataFrame) -> bool:
     return rows.agg(F.count("doc_id") - F.count_distinct("doc_id")).first()[0] > 0
 
 
-def _other_stars(pairs: DataFrame, members: DataFrame, label: DataFrame) -> DataFrame:
+def _more(links: DataFrame, label: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All links and their components; the old ones where nothing was found."""
+    found = found.distinct().checkpoint()
+    if found.isEmpty():
+        return links, label
+    links = links.unionByName(found)
+    return links, components(links)
+
+
+def _other_stars(pairs: DataFrame, label: DataFrame) -> DataFrame:
     """The pairs of all stars whose ends lie in different components."""
     name = lambda x: label.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
     out = pairs.join(name("a"), "a", "left").join(name("b"), "b", "left")
     return out.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
 
 
-def _mixed_bands(pairs: DataFrame, members: DataFrame, label: DataFrame) -> DataFrame:
-    """In the bands that still hold several components, the pairs across these; a band within one component has none."""
+def _mixed_bands(members: DataFrame, label: DataFrame) -> DataFrame:
+    """(key, doc, n, label, size): the bands that still hold several components; within one there is nothing to find."""
     named = members.join(label.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("label"))
-    split = named.groupBy("key").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("key")
-    left = named.join(split, "key").checkpoint()
+    split = named.groupBy("key").agg((F.min("label") != F.max("label")).alias("mixed"), F.count("*").alias("size")).where("mixed").select("key", "size")
+    return named.join(split, "key")
+
+
+def _small_pairs(mixed: DataFrame) -> DataFrame:
+    """The pairs across components of bands of SMALL members at most: fewer than SMALL a member."""
+    left = mixed.where(F.col("size") <= SMALL).select("key", "doc", "n", "label")
     other = left.select("key", F.col("doc").alias("d2"), F.col("n").alias("ln"), F.col("label").alias("l2"))
     return left.join(other, "key").where("doc < d2 and label <> l2").where(_CLOSE).select(F.col("doc").alias("a"), F.col("d2").alias("b")).distinct()
 
 
+def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of a with all of b, as products of their incidence matrices."""
+    values = np.concatenate([*a, *b])
+    _, column = np.unique(values, return_inverse=True)
+    n = sum(map(len, a))
+    row = np.repeat(np.arange(len(a)), [len(x) for x in a]), np.repeat(np.arange(len(b)), [len(x) for x in b])
+    column = column[:n], column[n:]
+    top = int(max(column[0].max(initial=-1), column[1].max(initial=-1))) + 1
+    out = np.zeros((len(a), len(b)), np.float32)
+    order = [np.argsort(c, kind="stable") for c in column]
+    row, column = [r[o] for r, o in zip(row, order, strict=True)], [c[o] for c, o in zip(column, order, strict=True)]
+    for lo in range(0, top, 4096):
+        part = []
+        for r, c, m in zip(row, column, (len(a), len(b)), strict=True):
+            i, j = np.searchsorted(c, (lo, lo + 4096))
+            x = np.zeros((m, min(4096, top - lo)), np.float32)
+            x[r[i:j], c[i:j] - lo] = 1
+            part.append(x)
+        out += part[0] @ part[1].T
+    return out.astype(np.int64)
+
+
+def _joined_blocks(mixed: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) that join components within the larger bands.
+
+    A band is cut into blocks of members; each pair of blocks compares its full sets by a matrix product where it is
+    held, and gives only as many links as join components, not one a pair.
+    """
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+        sets = list(shingle_sets(list(pdf["text"])))
+        left = np.flatnonzero(pdf["block"] == i)
+        right = np.flatnonzero(pdf["block"] == j)
+        ids, labels = pdf["doc"].to_numpy(np.int64), pdf["label"].to_numpy(np.int64)
+        none = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
+        if not len(left) or not len(right):
+            return none
+        both = intersections([sets[k] for k in left], [sets[k] for k in right])
+        sizes = np.array([len(s) for s in sets])
+        near = (100 * both >= PERCENT * (sizes[left][:, None] + sizes[right][None, :] - both)) & (labels[left][:, None] != labels[right][None, :])
+        x, y = np.nonzero(near)
+        if not len(x):
+            return none
+        a, b = left[x], right[y]
+        _, first = np.unique(np.stack([np.minimum(labels[a], labels[b]), np.maximum(labels[a], labels[b])]), axis=1, return_index=True)
+        parent: dict[int, int] = {}
+
+        def root(v):
+            while parent.get(v, v) != v:
+                v = parent[v]
+            return v
+
+        out = []
+        for k in first:
+            p, q = root(int(labels[a[k]])), root(int(labels[b[k]]))
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+                out.append((min(ids[a[k]], ids[b[k]]), max(ids[a[k]], ids[b[k]])))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    large = mixed.where(F.col("size") > SMALL).withColumn("blocks", F.ceil(F.col("size") / BLOCK))
+    large = large.withColumn("block", F.pmod(F.xxhash64("doc"), "blocks")).join(texts, "doc")
+    large = large.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    large = large.select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "doc", "label", "text")
+    return large.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
+
+
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with one of each group left, that of the smallest id; of rows that repeat an id, the first text."""
     found = written(classes(docs, id_col=id_col, text_col=text_col), "classes")
