@@ -68,7 +68,7 @@ def annotations(chunks: DataFrame, nodes: DataFrame, *, key: str = "uri", chunk_
     """Per chunk: the sorted kinds of the syntax nodes that overlap its lines, and the first of them."""
     found = overlapping(chunks.select(key, chunk_id, "start_line", "end_line"), nodes.select(key, kind, F.col("start_line").alias("ns"), F.col("end_line").alias("ne")), key, ("start_line", "end_line"), ("ns", "ne"))
     kinds = found.groupBy(chunk_id).agg(F.sort_array(F.collect_set(kind)).alias("kinds"))
-    out = chunks.select(chunk_id).join(kinds, chunk_id, "left").withColumn("kinds", F.coalesce("kinds", F.array().cast("array<string>")))
+    out = chunks.select(chunk_id).distinct().join(kinds, chunk_id, "left").withColumn("kinds", F.coalesce("kinds", F.array().cast("array<string>")))
     return out.withColumn("first_kind", F.get("kinds", F.lit(0)))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.plans import registry, retrieval  # noqa: F401
+from siltstone.plans import catalog_queries, graph_queries, registry, retrieval  # noqa: F401
 
 
 def queries() -> dict:
