@@ -32,6 +32,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def apart(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` under names d0, d1 and so on, which no helper column takes, and the new name of each column."""
+    names = {c: f"d{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
+def together(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns of ``apart`` under their own names, and no others."""
+    return df.select(*[F.col(d).alias(c) for c, d in names.items()])
+
+
 def fold(id_col: str | F.Column, n: int) -> F.Column:
     """crc32 of the id's text, modulo n."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from siltstone.llm.common import fold
+from siltstone.llm.common import apart, fold, together
 
 WIDTHS = (2, 3, 4, 5)
 FILTERS = 8
@@ -129,6 +129,7 @@ def predict(docs: DataFrame, net: ByteCnn | None, *, text_col: str = "text") ->
     lang_pred or score are replaced. No shuffle.
     """
     docs = docs.drop("lang_pred", "score")
+    own, names = apart(docs)
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def guess(texts: pd.Series) -> pd.DataFrame:
@@ -151,7 +152,8 @@ def predict(docs: DataFrame, net: ByteCnn | None, *, text_col: str = "text") ->
         return pd.DataFrame({"lang_pred": lang, "score": score})
 
     found = F.pandas_udf(guess, "lang_pred string, score double")
-    return docs.withColumn("__guess", found(F.col(text_col))).select(*[docs[c] for c in docs.columns], "__guess.lang_pred", "__guess.score")
+    out = own.withColumn("guess", found(F.col(names[text_col])))
+    return out.select(*[F.col(d).alias(c) for c, d in names.items()], "guess.lang_pred", "guess.score")
 
 
 def keep_known(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.4) -> DataFrame:
@@ -162,6 +164,6 @@ def keep_known(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     net = train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)
     if net is None:
         return docs
-    found = predict(docs.select(*[F.col(f"`{c}`").alias(f"d{i}") for i, c in enumerate(docs.columns)]), net, text_col=f"d{docs.columns.index(text_col)}")
-    found = found.where((F.col("lang_pred") != "und") & (F.col("score") >= least))
-    return found.select(*[F.col(f"d{i}").alias(c) for i, c in enumerate(docs.columns)])
+    own, names = apart(docs)
+    found = predict(own, net, text_col=names[text_col])
+    return together(found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)), names)

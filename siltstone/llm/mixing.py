@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from siltstone.llm.common import checkpoint_root, together
+
 DIMENSIONS = ("source", "lang", "topic")
 #: A marginal's target share of tokens is its own share to this power, normalised, where no target is given.
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 1.0}
@@ -63,30 +65,37 @@ def calibrate(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
     return out.select(*DIMENSIONS, "c", "w", F.when(F.col("w") <= 0, 0.0).otherwise(F.least(F.lit(1.0), F.coalesce(F.col("scale") * F.col("r"), F.lit(1.0)))).alias("p"))
 
 
+def _weighed(docs: DataFrame, targets: dict[str, dict[str, float]] | None, budget: float, topic: Column | None, id_col: str, text_col: str, source_col: str, lang_col: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` under names of ``apart``, with the struct mix(source, lang, topic, tokens, weight, p, kept)."""
+    unknown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
+    text = F.col(text_col)
+    keys = F.struct(unknown(source_col).alias("source"), unknown(lang_col).alias("lang"), F.coalesce(topic if topic is not None else topic_of(text), F.lit("unknown")).alias("topic"), tokens_of(text).alias("tokens"))
+    keyed = docs.select(*docs.columns, keys).toDF(*(names := {c: f"d{i}" for i, c in enumerate(docs.columns)}).values(), "cell")
+    cells = keyed.groupBy(*[F.col(f"cell.{d}").alias(d) for d in DIMENSIONS]).agg(F.sum("cell.tokens").alias("c"))
+    cells = calibrate(rake(cells.where("c > 0"), targets), budget)
+    checkpoint_root(docs.sparkSession)
+    cells = cells.select(F.struct(*DIMENSIONS).alias("key"), F.struct((F.col("w") / F.col("c")).alias("weight"), "p").alias("found")).checkpoint()
+    side = F.broadcast(cells) if cells.count() <= BROADCAST_CELLS else cells
+    joined = keyed.withColumn("key", F.struct(*[F.col(f"cell.{d}") for d in DIMENSIONS])).join(side, "key", "left")
+    p = F.coalesce("found.p", F.lit(1.0))
+    mix = F.struct(*[F.col(f"cell.{d}").alias(d) for d in DIMENSIONS], F.col("cell.tokens").cast("long").alias("tokens"), F.coalesce("found.weight", F.lit(0.0)).alias("weight"), p.alias("p"), (draw(F.col(names[id_col])) < p).alias("kept"))
+    return joined.select(*names.values(), mix.alias("mix")), names
+
+
 def weigh(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, *, budget: float = BUDGET, topic: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """``docs`` with a struct column __mix(source, lang, topic, tokens, weight, p, kept) in the last place.
+    """Per document row: doc_id, source, lang, topic, tokens, weight, p, kept.
 
     Token counts are summed by cell (source, language, topic) before anything is shuffled, so that a hot source is
     one row a task; raking and calibration touch cells only. Null sources, languages and topics are cells of their
-    own ('unknown'). A document without tokens, or in a cell without weight, has weight 0, and p is 1 for the
-    first and 0 for the second. Repeated ids are drawn alike. No Python, and no collection beyond the number of cells.
+    own ('unknown'). A document without tokens has weight 0 and p 1; one in a cell without weight has 0 and 0. Repeated
+    ids are drawn alike, each row by itself. Other columns are ignored; an empty table gives none. No Python runs on
+    the executors, and nothing is collected.
     """
-    unknown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
-    keys = F.struct(unknown(source_col).alias("source"), unknown(lang_col).alias("lang"), F.coalesce(topic if topic is not None else topic_of(F.col(text_col)), F.lit("unknown")).alias("topic"), tokens_of(F.col(text_col)).alias("tokens"))
-    keyed = docs.withColumn("__cell", keys)
-    cells = keyed.groupBy(*[F.col(f"__cell.{d}").alias(d) for d in DIMENSIONS]).agg(F.sum("__cell.tokens").alias("c"))
-    cells = calibrate(rake(cells.where("c > 0"), targets), budget)
-    from siltstone.llm.common import checkpoint_root
-
-    checkpoint_root(docs.sparkSession)
-    cells = cells.select(F.struct(*DIMENSIONS).alias("__key"), F.struct((F.col("w") / F.col("c")).alias("weight"), "p").alias("__w")).checkpoint()
-    side = F.broadcast(cells) if cells.count() <= BROADCAST_CELLS else cells
-    joined = keyed.withColumn("__key", F.struct(*[F.col(f"__cell.{d}") for d in DIMENSIONS])).join(side, "__key", "left")
-    p = F.coalesce("__w.p", F.lit(1.0))
-    mix = F.struct(*[F.col(f"__cell.{d}").alias(d) for d in DIMENSIONS], F.col("__cell.tokens").cast("long").alias("tokens"), F.coalesce("__w.weight", F.lit(0.0)).alias("weight"), p.alias("p"), (draw(F.col(id_col)) < p).alias("kept"))
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], mix.alias("__mix"))
+    out, names = _weighed(docs, targets, budget, topic, id_col, text_col, source_col, lang_col)
+    return out.select(F.col(names[id_col]).alias("doc_id"), "mix.*")
 
 
-def sample(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, **options) -> DataFrame:
+def sample(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, *, budget: float = BUDGET, topic: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
     """The documents that are drawn, with their own columns."""
-    return weigh(docs, targets, **options).where("__mix.kept").drop("__mix")
+    out, names = _weighed(docs, targets, budget, topic, id_col, text_col, source_col, lang_col)
+    return together(out.where("mix.kept"), names)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from siltstone.llm.common import components, written
+from siltstone.llm.common import apart, components, together, written
 from siltstone.llm.shingles import WORDS, mix, shingle_sets
 
 BANDS, ROWS = 48, 8
@@ -304,12 +304,14 @@ def _joined_blocks(mixed: DataFrame, texts: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with one of each group left, that of the smallest id; of rows that repeat an id, the first text."""
     found = written(classes(docs, id_col=id_col, text_col=text_col), "classes")
-    gone = found.where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
-    out = docs.join(gone, id_col, "left_anti")
+    own, names = apart(docs)
+    id_, text = names[id_col], names[text_col]
+    gone = found.where("not kept").select(F.col("doc_id").alias(id_)).distinct()
+    out = own.join(gone, id_, "left_anti")
     if _repeats(found):
-        order = Window.partitionBy(id_col).orderBy(text_col)
-        out = out.withColumn("__n", F.row_number().over(order)).where(F.col("__n").eqNullSafe(1) | F.col(id_col).isNull()).drop("__n")
-    return out.select(*docs.columns)
+        order = Window.partitionBy(id_).orderBy(text)
+        out = out.withColumn("row", F.row_number().over(order)).where((F.col("row") == 1) | F.col(id_).isNull())
+    return together(out, names)
 
 
 __all__ = ["WORDS", "classes", "keep_first", "registers", "sketch"]

@@ -26,6 +26,8 @@ AIM = 0.98
 MOST_LISTS = 4096
 #: Neighbours of a centroid in the graph; vectors of a list piece and queries of a block.
 DEGREE, PIECE, BLOCK = 16, 4096, 2048
+#: Rows that search the graph at once.
+STEP = 256
 
 
 def usable(v: Column) -> Column:
@@ -72,6 +74,10 @@ class Index:
 
     def search(self, x: np.ndarray, breadth: int) -> tuple[np.ndarray, np.ndarray]:
         """Best-first search of the graph: the nearest ``breadth`` centroids found of each row, with distances."""
+        parts = [self._search(x[lo : lo + STEP], breadth) for lo in range(0, len(x), STEP)]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+    def _search(self, x: np.ndarray, breadth: int) -> tuple[np.ndarray, np.ndarray]:
         n, lists = len(x), len(self.centroids)
         breadth = min(breadth, lists)
         entry = np.unique(np.linspace(0, lists - 1, min(lists, max(16, breadth))).astype(int))

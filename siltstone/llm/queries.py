@@ -27,7 +27,7 @@ def op4_nearest_vectors(spark, sf_dir):
 
 def op5_mix_sources(spark, sf_dir):
     out = mixing.weigh(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "__mix.source", "__mix.lang", "__mix.topic", "__mix.tokens", F.round("__mix.weight", 8).alias("weight"), F.round("__mix.p", 8).alias("p"), "__mix.kept")
+    return out.withColumn("weight", F.round("weight", 8)).withColumn("p", F.round("p", 8))
 
 
 def op6_near_dedup(spark, sf_dir):
