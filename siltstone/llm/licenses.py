@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,25 +19,29 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 THRESHOLD = 0.8
-_WORDS = "filter(split(regexp_replace(lower({x}), '[^a-z0-9]+', ' '), ' '), w -> w <> '')"
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_WORDS = f"filter(split(regexp_replace(translate({{x}}, {_AZ}), '[^a-z0-9]+', ' '), ' '), w -> w <> '')"
 #: A text of one word counts as one unit by itself, so that it isn't lost.
-_BIGRAMS = "case when size({w}) = 1 then {w} else array_distinct(transform(sequence(1, greatest(size({w}) - 1, 1)), i -> concat(get({w}, i - 1), ' ', get({w}, i)))) end"
+_BIGRAMS = "if(size({w}) = 1, {w}, transform(sequence(1, greatest(size({w}) - 1, 1)), i -> concat(get({w}, i - 1), ' ', get({w}, i))))"
+#: Which occurrence of its bigram each one is: bags become sets.
+_BAG = "transform({b}, (x, i) -> concat(x, ' ', size(filter(slice({b}, 1, i + 1), y -> y = x))))"
 
 
 def bigrams(text: str) -> list[str]:
-    """The distinct word bigrams of a template, normalised as the texts are."""
-    words = "".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in text.lower()).split()
-    return words if len(words) == 1 else list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:], strict=False)))
+    """The bag of word bigrams of a template, normalised as the texts are, each with its number among equal ones."""
+    ascii_ = "".join(c.lower() if c.isascii() and c.isalnum() else " " for c in text).split()
+    found = ascii_ if len(ascii_) == 1 else [f"{a} {b}" for a, b in zip(ascii_, ascii_[1:], strict=False)]
+    return [f"{b} {found[: i + 1].count(b)}" for i, b in enumerate(found)]
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Per document row: doc_id, license, score, n_matches.
 
     Units are a document's lines and, if it has several, its whole text. A unit matches a template if
-    2|A and B| / (|A| + |B|) >= threshold over their sets of word bigrams; the best match wins, ties to the name that
+    2|A and B| / (|A| + |B|) >= threshold over their bags of word bigrams; the best match wins, ties to the name that
     sorts first. n_matches counts matching units. Sizes prune first: a unit of n bigrams is compared only with the
-    templates whose size lies in [n t/(2-t), n (2-t)/t], and a line with fewer or more characters than any such
-    template could have is never normalised. All is done inside the row: no shuffle, join or explode. The templates are
+    templates whose size lies in [n t/(2-t), n (2-t)/t], and a line with fewer or more words than fit any template is
+    never normalised. All is done inside the row: no shuffle, join or explode. The templates are
     literals of the plan (a list of some hundreds at most). Null and empty texts, and those without a match, give
     a null license, score 0 and 0 matches. Repeated rows each give a row; other columns are ignored.
     """
@@ -46,12 +52,13 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, *, id_col: st
     t = float(threshold)
     sizes = [len(g) for g in found.values()]
     least, most = min(sizes) * t / (2 - t), max(sizes) * (2 - t) / t
-    # n bigrams need at least that many characters outside the shared ones: half of the least template's text
-    shortest = min(sum(len(w) for w in {w for b in g for w in b.split()}) for g in found.values()) * t / (2 - t) / 2
     quoted = ", ".join("named_struct('k', {}, 'lo', {}D, 'hi', {}D, 'b', array({}))".format(-k, len(g) * t / (2 - t), len(g) * (2 - t) / t, ", ".join(f"'{b}'" for b in g)) for k, g in enumerate(found.values()))
-    out = out.select("doc_id", F.expr(f"filter(case when instr(text, '\\n') > 0 then concat(split(text, '\\n'), array(text)) else array(text) end, x -> length(x) >= {int(shortest)} and size(split(x, ' ', {int(4 * most) + 8})) < {int(4 * most) + 8})").alias("units"))
+    # n bigrams are n + 1 words, or one word
+    fewest, words = 1 if least <= 1 else math.ceil(least) + 1, math.floor(most) + 1
+    out = out.select("doc_id", F.expr(f"filter(case when instr(text, '\\n') > 0 then concat(split(text, '\\n'), array(text)) else array(text) end, x -> regexp_count(x, '[A-Za-z0-9]+') between {fewest} and {words})").alias("units"))
     out = out.select("doc_id", F.expr(f"transform(units, x -> {_WORDS.format(x='x')})").alias("words"))
-    out = out.select("doc_id", F.expr(f"filter(transform(filter(words, w -> size(w) > 0 and size(w) <= {int(4 * most) + 8}), w -> {_BIGRAMS.format(w='w')}), b -> size(b) between {least} and {most})").alias("units"))
+    out = out.select("doc_id", F.expr(f"transform(words, w -> {_BIGRAMS.format(w='w')})").alias("pairs"))
+    out = out.select("doc_id", F.expr(f"filter(transform(pairs, b -> {_BAG.format(b='b')}), b -> size(b) between {least} and {most})").alias("units"))
     score = "transform(filter(array({q}), t -> size(b) between t.lo and t.hi), t -> named_struct('s', 2.0D * size(array_intersect(b, t.b)) / (size(b) + size(t.b)), 'k', t.k))".format(q=quoted)
     out = out.select("doc_id", F.expr(f"filter(transform(coalesce(units, array()), b -> array_max({score})), m -> m.s >= {t}D)").alias("hits"))
     out = out.select("doc_id", F.expr("array_max(hits)").alias("best"), F.size("hits").cast("long").alias("n_matches"))

@@ -96,7 +96,7 @@ def test_previous_factors():
 
 
 def test_licenses(spark, docs, empty):
-    extra = [(1, "Intro.\nReleased under the MIT licence.\nMore"), (2, "RELEASED UNDER THE MIT LICENSE"), (3, "x\nLicensed under CC BY-NC 4.0.\nLicensed under the Apache License, Version 2.0.\n"), (4, None), (5, ""), (6, "word " * 5000), (7, "Released under the license")]
+    extra = [(1, "Intro.\nReleased under the MIT licence.\nMore"), (2, "RELEASED UNDER THE MIT LICENSE"), (3, "x\nLicensed under CC BY-NC 4.0.\nLicensed under the Apache License, Version 2.0.\n"), (4, None), (5, ""), (6, "word " * 5000), (7, "Released under the license"), (8, "released under the mit license " * 3), (9, "a\n" + "Released   under - the  MIT\tLicense" + " " * 4000)]
     got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows_of(extra), DOCS)).collect()}
 
     def dice(a, b):
