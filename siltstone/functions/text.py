@@ -10,6 +10,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORD = "[A-Za-z0-9]+"
 IDENTIFIER = "[A-Za-z0-9_]+"
@@ -27,13 +28,13 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(s, "\\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def composed(text: pd.Series) -> pd.Series:
     """Unicode NFC, which Spark has no function for."""
     return text.map(lambda s: None if s is None else unicodedata.normalize("NFC", s))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def doc_urn(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else "urn:doc:sha256:" + base64.b32encode(hashlib.sha256(s.encode()).digest()[:16]).decode().strip("=").lower())
 
@@ -42,24 +43,24 @@ def chunk_urn(doc: Column, start: Column, end: Column) -> Column:
     return F.concat(F.lit("urn:chunk:"), F.element_at(F.split(doc, ":"), -1), F.lit(":"), start.cast("string"), F.lit("-"), end.cast("string"))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def chunk_id(uri: pd.Series, start: pd.Series, end: pd.Series) -> pd.Series:
     """BLAKE2b-64 of ``uri|start|end``, little endian, as a signed number."""
     return pd.Series([int.from_bytes(hashlib.blake2b(f"{u}|{int(a)}|{int(b)}".encode(), digest_size=8).digest(), "little", signed=True) for u, a, b in zip(uri, start, end, strict=True)])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def content_hash(text: pd.Series) -> pd.Series:
     """xxh64 with seed 0, in two's complement."""
     return text.map(lambda s: None if s is None else int.from_bytes(xxhash.xxh64_digest(s.encode()), "big", signed=True)).astype("Int64")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def node_id(path: pd.Series, line: pd.Series, col: pd.Series, kind: pd.Series, name: pd.Series) -> pd.Series:
     return pd.Series([hashlib.blake2s(f"{p}:{a}:{b}:{k}:{n or ''}".encode(), digest_size=16).hexdigest() for p, a, b, k, n in zip(path, line, col, kind, name, strict=True)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def path_id(path: pd.Series) -> pd.Series:
     return path.map(lambda s: None if s is None else hashlib.blake2s(s.encode()).hexdigest()[:12])
 

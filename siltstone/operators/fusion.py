@@ -88,7 +88,7 @@ def recency(hits: DataFrame, ages: DataFrame, *, max_boost: float = 0.15, half_l
     from siltstone.functions.text import decayed
 
     out = hits.join(ages, "doc_id", "left")
-    return out.withColumn("score", F.col("score") * (1 + max_boost * F.coalesce(decayed(F.greatest("age_days", F.lit(0.0)), half_life), F.lit(0.0)))).drop("age_days")
+    return out.withColumn("score", F.col("score") * (1 + max_boost * F.when(F.col("age_days").isNotNull(), decayed(F.greatest("age_days", F.lit(0.0)), half_life)).otherwise(0.0))).drop("age_days")
 
 
 def concept_boost(hits: DataFrame, concepts: Column, linked: Column, wanted: Column, direct: float = 0.08, one_hop: float = 0.04) -> DataFrame:

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-CHUNKS = T.StructType.fromDDL("id long, uri string, start_line int, end_line int, start_byte long, end_byte long, preview string, content string, lang string, content_hash long, symbols array<string>, embedding array<float>")
+CHUNKS = "id long, uri string, start_line int, end_line int, start_byte long, end_byte long, preview string, content string, lang string, content_hash long, symbols array<string>, embedding array<float>"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scan_parquet(spark: SparkSession, path: str, *, recursive: bool = False, merge: bool = False, schema: T.StructType | None = None) -> DataFrame:
+def scan_parquet(spark: SparkSession, path: str, *, recursive: bool = False, merge: bool = False, schema: T.StructType | str | None = None) -> DataFrame:
     """A Parquet scan; with ``schema``, a typed empty relation where nothing is there to read."""
     reader = spark.read.option("recursiveFileLookup", recursive).option("mergeSchema", merge)
     if schema is None:

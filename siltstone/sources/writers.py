@@ -26,8 +26,9 @@ def write_jsonl(df: DataFrame, path: str, *, files_of: int = 0, gzip: bool = Fal
     writer.option("compression", "gzip" if gzip else "none").text(path)
 
 
-def validated(df: DataFrame, schema: T.StructType) -> DataFrame:
+def validated(df: DataFrame, schema: T.StructType | str) -> DataFrame:
     """``df`` if its names and types are those of the schema."""
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     want, have = {f.name: f.dataType for f in schema}, {f.name: f.dataType for f in df.schema}
     if want != have:
         raise ValueError(f"schema differs: {sorted(set(want.items()) ^ set(have.items()), key=str)}")
