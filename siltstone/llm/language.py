@@ -156,7 +156,7 @@ def predict(docs: DataFrame, net: ByteCnn | None, *, text_col: str = "text") ->
     return out.select(*[F.col(d).alias(c) for c, d in names.items()], "guess.lang_pred", "guess.score")
 
 
-def keep_known(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.4) -> DataFrame:
+def keep_known(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.3) -> DataFrame:
     """The documents with a language: those with letters, of which the network is at least that sure.
 
     Where no row is labelled there is nothing to learn from, and every document stays.
