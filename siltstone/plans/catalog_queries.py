@@ -57,9 +57,9 @@ def lang_extension_filter(spark, sf_dir):
     return p.select("page_id", "path", globs.of_language(F.col("path"), ["html"]).alias("html"), globs.of_language(F.col("path"), ["klingon"]).alias("unknown"))
 
 
-@query("SELECT p_partkey, p_name, p_type FROM (SELECT *, row_number() OVER (ORDER BY length(p_name), p_type, p_name, p_partkey) AS r FROM part WHERE starts_with(lower(p_name), 'p')) WHERE r <= 200")
+@query("SELECT p_partkey, p_name, p_type FROM (SELECT *, row_number() OVER (ORDER BY length(p_name), p_type, p_name, p_partkey) AS r FROM part WHERE starts_with(lower(p_name), 'sm')) WHERE r <= 200")
 def symbol_prefix_search(spark, sf_dir):
-    return repo.prefix_search(table(spark, sf_dir, "part"), "P", name="p_name", kind="p_type", tie="p_partkey").select("p_partkey", "p_name", "p_type")
+    return repo.prefix_search(table(spark, sf_dir, "part"), "SM", name="p_name", kind="p_type", tie="p_partkey").select("p_partkey", "p_name", "p_type")
 
 
 _CHUNKS = "chunks AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey AS uri, ((l_orderkey * 7) % 1000)::INT AS start_line, ((l_orderkey * 7) % 1000 + 20 + l_linenumber * 3)::INT AS end_line FROM lineitem)"
