@@ -27,6 +27,10 @@ _PER = LENGTH - ANCHOR + 1
 PACK_BYTES = 1 << 20
 #: Bytes of text behind one bucket of the exchange, which bounds what a task holds.
 BUCKET_BYTES = 16 << 20
+#: Packs whose anchors are counted to find frequent ones, the documents of these that one must occur in, how many are
+#: marked at most, and the bits of a string's hash that are its mark. This sample steers which anchors are chosen, so
+#: that none gathers a large group; results don't depend on it.
+SAMPLE_PACKS, FREQUENT_DOCS, MOST_FREQUENT, MARK_BITS = 48, 8, 1 << 14, 20
 #: Windows take more room than hashes: they are compared in so many times the buckets.
 FINER = 16
 _TABLE = np.random.default_rng(31337).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -37,9 +41,13 @@ def _power(n: int) -> np.uint64:
     return np.uint64(pow(_ODD, n, 1 << 64))
 
 
-def segments(flat: np.ndarray, lens: np.ndarray) -> dict[str, np.ndarray]:
-    """The segments of a pack: first window, number of windows, document, anchor hash, hash of the whole segment."""
-    none = {k: np.zeros(0, t) for k, t in (("start", np.int64), ("n", np.int64), ("doc", np.int64), ("anchor", np.uint64), ("whole", np.uint64))}
+def segments(flat: np.ndarray, lens: np.ndarray, frequent: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """The segments of a pack: first window, number of windows, document, anchor hash, hash of the whole segment.
+
+    A string that ``frequent`` marks is an anchor only of windows that hold no other: the mark depends on the string
+    alone, so equal windows still have equal anchors.
+    """
+    none = {k: np.zeros(0, t) for k, t in (("start", np.int64), ("n", np.int64), ("doc", np.int64), ("anchor", np.uint64), ("whole", np.uint64), ("mark", np.int64))}
     if len(flat) < LENGTH:
         return none
     h1 = _TABLE[flat]
@@ -49,6 +57,9 @@ def segments(flat: np.ndarray, lens: np.ndarray) -> dict[str, np.ndarray]:
     h16 = h8[:-8] * _power(8) + h8[8:]
     anchor = h16[:-4] * _power(4) + h4[16:]
     rank = mix(anchor)
+    rank >>= np.uint64(1)
+    if frequent is not None:
+        rank |= frequent[(anchor >> np.uint64(64 - MARK_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(63)
     rank &= np.uint64(0xFFFFFFFF00000000)
     rank |= np.arange(len(rank), dtype=np.uint64)
     least, width = rank, 1
@@ -75,7 +86,7 @@ def segments(flat: np.ndarray, lens: np.ndarray) -> dict[str, np.ndarray]:
         return x * _power(2) + h2[i + 48]
 
     whole = mix(mix(window(first)) * np.uint64(_ODD) + window(first + n - 1) + n.astype(np.uint64))
-    return {"start": first, "n": n, "doc": doc[first], "anchor": mix(anchor[at[first]] + np.uint64(1)), "whole": whole}
+    return {"start": first, "n": n, "doc": doc[first], "anchor": mix(anchor[at[first]] + np.uint64(1)), "whole": whole, "mark": (anchor[at[first]] >> np.uint64(64 - MARK_BITS)).astype(np.int64)}
 
 
 def entries(found: dict[str, np.ndarray], buckets: int) -> dict[str, np.ndarray]:
@@ -117,20 +128,39 @@ def _pack(docs: DataFrame) -> DataFrame:
     return docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInPandas(run, "pack long, ids binary, lens binary, blob binary, more string")
 
 
-def _opened(row, buckets: int):
+def _frequent(packs: DataFrame) -> np.ndarray:
+    """Marks of the strings that are anchors in many documents of a bounded sample of packs."""
+    chosen = [r.pack for r in packs.select("pack").orderBy(F.xxhash64("pack"), "pack").limit(SAMPLE_PACKS).collect()]
+
+    def run(batches):
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                found = segments(np.frombuffer(row.blob, np.uint8), np.frombuffer(row.lens, np.int64))
+                pairs = np.unique(np.stack([found["doc"], found["mark"]], 1), axis=0)
+                mark, n = np.unique(pairs[:, 1], return_counts=True)
+                yield pd.DataFrame({"mark": mark, "n": n})
+
+    counts = packs.where(F.col("pack").isin(chosen)).select("lens", "blob").mapInPandas(run, "mark long, n long").groupBy("mark").agg(F.sum("n").alias("n"))
+    marks = counts.where(F.col("n") >= FREQUENT_DOCS).orderBy(F.desc("n"), "mark").limit(MOST_FREQUENT).collect()
+    out = np.zeros(1 << MARK_BITS, bool)
+    out[[r.mark for r in marks]] = True
+    return out
+
+
+def _opened(row, buckets: int, frequent: np.ndarray):
     flat = np.frombuffer(row.blob, np.uint8)
     ids, lens = np.frombuffer(row.ids, np.int64), np.frombuffer(row.lens, np.int64)
-    found = segments(flat, lens)
+    found = segments(flat, lens, frequent)
     return flat, ids, lens, found, entries(found, buckets)
 
 
-def _asks(packs: DataFrame, buckets: int) -> DataFrame:
+def _asks(packs: DataFrame, buckets: int, shared) -> DataFrame:
     """(bucket, pack, keys): the hashes of the pack's entries in that bucket, 3 bytes of the anchor and 6 of the segment."""
 
     def run(batches):
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                _, _, _, found, own = _opened(row, buckets)
+                _, _, _, found, own = _opened(row, buckets, shared.value)
                 if not len(own["first"]):
                     continue
                 keys = np.empty((len(own["first"]), 9), np.uint8)
@@ -175,7 +205,7 @@ def _status(own: dict[str, np.ndarray], said) -> np.ndarray:
     return status
 
 
-def _open_segments(joined: DataFrame, buckets: int) -> DataFrame:
+def _open_segments(joined: DataFrame, buckets: int, shared) -> DataFrame:
     """The bytes of the entries that meet other segments of their anchor."""
 
     def run(batches):
@@ -183,7 +213,7 @@ def _open_segments(joined: DataFrame, buckets: int) -> DataFrame:
             for row in pdf.itertuples(index=False):
                 if row.said is None:
                     continue
-                flat, ids, _, found, own = _opened(row, buckets)
+                flat, ids, _, found, own = _opened(row, buckets, shared.value)
                 left = np.flatnonzero(_status(own, row.said) == 2)
                 if len(left):
                     k = own["first"][left]
@@ -239,9 +269,9 @@ def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[["pack", "entry"]].assign(mask=total)[total != 0]
 
 
-def _covered(row, buckets: int):
+def _covered(row, buckets: int, frequent: np.ndarray):
     """Which bytes of the pack are covered."""
-    flat, ids, lens, found, own = _opened(row, buckets)
+    flat, ids, lens, found, own = _opened(row, buckets, frequent)
     edge = np.zeros(len(flat) + 1, np.int64)
     if len(own["first"]):
         status = _status(own, row.said)
@@ -274,17 +304,18 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     packs = written(_pack(base.where("doc_id is not null")), "packs")
     total = packs.agg(F.sum(F.octet_length("blob"))).first()[0] or 0
     buckets = max(8, math.ceil(total / BUCKET_BYTES))
-    answers = _asks(packs, buckets).groupBy("bucket").applyInPandas(_answer, "bucket long, pack long, status binary")
+    shared = docs.sparkSession.sparkContext.broadcast(_frequent(packs))
+    answers = _asks(packs, buckets, shared).groupBy("bucket").applyInPandas(_answer, "bucket long, pack long, status binary")
     said = written(answers.groupBy("pack").agg(F.collect_list(F.struct("bucket", "status")).alias("said")), "answers")
     joined = packs.join(said, "pack", "left")
-    masks = _open_segments(joined, buckets).groupBy("bucket").applyInPandas(_compare, "pack long, entry long, mask long")
+    masks = _open_segments(joined, buckets, shared).groupBy("bucket").applyInPandas(_compare, "pack long, entry long, mask long")
     masks = masks.groupBy("pack").agg(F.collect_list(F.struct("entry", "mask")).alias("masks"))
     columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "more"]
 
     def cut(batches):
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                flat, ids, lens, gone = _covered(row, buckets)
+                flat, ids, lens, gone = _covered(row, buckets, shared.value)
                 out, lo = [], 0
                 for i, n, rest in zip(ids.tolist(), lens.tolist(), row.more.split("\n"), strict=True):
                     g = gone[lo : lo + n]

@@ -67,6 +67,7 @@ def brute_substrings(texts):
 def test_substrings(docs, pack, monkeypatch):
     monkeypatch.setattr(substrings, "PACK_BYTES", pack)
     monkeypatch.setattr(substrings, "BUCKET_BYTES", 2000)
+    monkeypatch.setattr(substrings, "FREQUENT_DOCS", 2)
     got = substrings.remove_repeats(docs)
     assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     shared = odd_texts()[17][1].encode()
