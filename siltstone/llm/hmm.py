@@ -33,6 +33,8 @@ PRIOR = 2000.0
 START_ROWS, START_CHARS = 400, 8000
 #: In training a longer document counts as several sequences, and so many tokens are held at a time.
 TRAIN_LENGTH, TRAIN_TOKENS = 2048, 600_000
+#: Different words that counting holds at a time, and tokens that scoring does (a longer text is held by itself).
+HELD_WORDS, SCORE_TOKENS = 250_000, 2_000_000
 END = HMM_WORDS + TAIL_CLASSES
 CLASSES = END + 1
 
@@ -97,28 +99,38 @@ class Vocabulary:
     """What workers know of the words: classes and counts of frequent ones, sizes of the tail's classes."""
 
     def __init__(self, words: list[tuple[bytes, int]], tail: dict[int, tuple[int, int]], total: int, distinct: int, documents: int):
-        self.rank = {w: i for i, (w, _) in enumerate(words[:HMM_WORDS])}
-        self.count = dict(words)
+        self.index = {w: i for i, (w, _) in enumerate(words)}
+        self.logs = np.log10(np.array([c for _, c in words], float) + 1)
+        self.own = np.array([i if i < HMM_WORDS else _tail_class(w) for i, (w, _) in enumerate(words)] + [0], np.int32)
         self.total, self.distinct, self.documents = total, distinct, documents
         share = np.zeros(TAIL_CLASSES)
         for k, (c, v) in tail.items():
             share[k] = c + v
         self.room = np.log10(share + 1)
+        first = min(len(words), HMM_WORDS)
         mass = np.ones(CLASSES)
-        mass[: len(self.rank)] += [c for _, c in words[:HMM_WORDS]]
-        mass[len(self.rank) : HMM_WORDS] = 0
+        mass[:first] += [c for _, c in words[:HMM_WORDS]]
+        mass[first:HMM_WORDS] = 0
         mass[HMM_WORDS:END] += [tail.get(k, (0, 0))[0] for k in range(TAIL_CLASSES)]
         mass[END] += documents
         self.prior = mass / mass.sum()
 
-    def classes(self, words: list[bytes]) -> np.ndarray:
+    def find(self, words: list[bytes]) -> np.ndarray:
+        """The place of each word among the known ones, or -1."""
+        get = self.index.get
+        return np.array([get(w, -1) for w in words], np.int32)
+
+    def classes(self, words: list[bytes], at: np.ndarray | None = None) -> np.ndarray:
         """The class sequence of a text, its end included."""
-        rank, crc = self.rank.get, zlib.crc32
-        out = [rank(w, -1) for w in words]
-        if -1 in out:
-            out = [HMM_WORDS + crc(w) % TAIL_CLASSES if i < 0 else i for i, w in zip(out, words, strict=True)]
-        out.append(END)
-        return np.array(out, np.int32)
+        at = self.find(words) if at is None else at
+        out = np.append(self.own[at], np.int32(END))
+        for i in np.flatnonzero(at < 0):
+            out[i] = _tail_class(words[i])
+        return out
+
+
+def _tail_class(word: bytes) -> int:
+    return HMM_WORDS + zlib.crc32(word) % TAIL_CLASSES
 
 
 def vocabulary(counts: DataFrame, documents: int) -> Vocabulary:
@@ -140,6 +152,9 @@ def word_counts(texts: DataFrame) -> DataFrame:
             found: Counter[bytes] = Counter()
             for text in pdf["text"]:
                 found.update(tokens(text))
+                if len(found) >= HELD_WORDS:
+                    yield pd.DataFrame({"w": list(found), "c": list(found.values())})
+                    found = Counter()
             if found:
                 yield pd.DataFrame({"w": list(found), "c": list(found.values())})
 
@@ -242,41 +257,35 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", he
 
     def run(batches):
         vocab, state = known.value, model.value
-        rank, count = vocab.rank, vocab.count
         ended = math.log10(vocab.documents + 1)
-        for pdf in batches:
-            rows, rare = [], []
-            seqs = []
-            for row, doc, text in zip(pdf["row"], pdf["doc_id"], pdf["text"], strict=True):
-                words = tokens(text)
-                ids = vocab.classes(words)
-                known_logs, n_known, unknown = 0.0, 0, []
-                within = 0.0
-                for w, n in Counter(words).items():
-                    c = count.get(w)
-                    if c is None:
-                        unknown.append((w, n))
-                    else:
-                        log = n * math.log10(c + 1)
-                        known_logs += log
-                        n_known += n
-                        if w not in rank:
-                            within += log
-                tail = ids[(ids >= HMM_WORDS) & (ids < END)] - HMM_WORDS
-                within -= float(vocab.room[tail].sum())
-                seqs.append(ids)
-                rows.append((row, doc, b" ", 1, len(ids), n_known + (vocab.documents > 0), known_logs + ended - share * len(ids), within))
-                rare += [(row, w, n) for w, n in unknown]
-            logs = forward(np.concatenate(seqs), np.array([len(s) for s in seqs]), *state)
+
+        def flush(rows, seqs, rare):
             out = pd.DataFrame(rows, columns=["row", "doc_id", "w", "tf", "n_tokens", "n_known", "base_score", "score"])
-            out["score"] += logs
-            # no word starts with a space: these keys match no count, and spread over the tasks of the join
-            out["w"] = [b" %d" % r for r in out["row"]]
+            out["score"] += forward(np.concatenate(seqs), np.array([len(s) for s in seqs]), *state)
             yield out
             for lo in range(0, len(rare), 100_000):
                 part = pd.DataFrame(rare[lo : lo + 100_000], columns=["row", "w", "tf"])
                 yield part.assign(doc_id=None, n_tokens=0, n_known=0, base_score=0.0, score=0.0)[list(out.columns)]
 
+        for pdf in batches:
+            rows, seqs, rare, held = [], [], [], 0
+            for row, doc, text in zip(pdf["row"], pdf["doc_id"], pdf["text"], strict=True):
+                words = tokens(text)
+                at = vocab.find(words)
+                ids = vocab.classes(words, at)
+                logs, tail = vocab.logs[at[at >= 0]], ids[:-1] >= HMM_WORDS
+                within = float(vocab.logs[at[at >= HMM_WORDS]].sum()) - float(vocab.room[ids[:-1][tail] - HMM_WORDS].sum())
+                # no word starts with a space: this key matches no count, and spreads over the tasks of the join
+                rows.append((row, doc, b" %d" % row, 1, len(ids), len(logs) + (vocab.documents > 0), float(logs.sum()) + ended - share * len(ids), within))
+                seqs.append(ids)
+                rare += [(row, w, n) for w, n in Counter(words[i] for i in np.flatnonzero(at < 0)).items()]
+                held += len(ids)
+                if held >= SCORE_TOKENS:
+                    yield from flush(rows, seqs, rare)
+                    rows, seqs, rare, held = [], [], [], 0
+            if rows:
+                yield from flush(rows, seqs, rare)
+
     numbered = base.withColumn("row", F.monotonically_increasing_id())
     kind = base.schema["doc_id"].dataType.simpleString()
     parts = numbered.select("row", "doc_id", "text").mapInPandas(run, f"row long, doc_id {kind}, w binary, tf long, n_tokens long, n_known long, base_score double, score double")
