@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.functions import globs
+
 #: Lines (or bytes) of a bucket by which intervals meet.
 BUCKET = 256
 
@@ -22,6 +24,24 @@ def hydrate_list(rows: DataFrame, ids: list, key: str) -> DataFrame:
     return hydrate(rows, F.broadcast(wanted), key).orderBy("position")
 
 
+def filtered(rows: DataFrame, *, ids: list | None = None, include: list[str] | None = None, exclude: list[str] | None = None, languages: list[str] | None = None, symbols: list[str] | None = None, id_col: str = "id", path: str = "uri", symbols_col: str = "symbols") -> DataFrame:
+    """Rows by any of: ids, path globs, languages by extension, symbols; what isn't given doesn't filter."""
+    if ids is not None:
+        rows = rows.where(F.col(id_col).isin(ids))
+    if include or exclude:
+        rows = rows.where(globs.selected(F.col(path), include, exclude))
+    if languages:
+        rows = rows.where(globs.of_language(F.col(path), languages))
+    if symbols:
+        rows = rows.where(F.arrays_overlap(symbols_col, F.array(*[F.lit(s) for s in symbols])))
+    return rows
+
+
+def exported(nodes: DataFrame, exports: DataFrame) -> DataFrame:
+    """nodes(path, name, qualname) that exports(path, exported) name, or whose qualified name starts with one."""
+    return nodes.join(exports, "path").where((F.col("name") == F.col("exported")) | F.col("qualname").startswith(F.col("exported")))
+
+
 def _buckets(start: Column, end: Column, size: int) -> Column:
     return F.explode(F.sequence(F.floor(start / size), F.floor(F.greatest(start, end) / size)))
 

@@ -171,3 +171,40 @@ def modules(files: DataFrame) -> DataFrame:
             yield pd.DataFrame({"path": pdf["path"].array, **{n: pd.Series([r.get(n) for r in rows], dtype=object) for n in names}})
 
     return files.select("path", "code").mapInPandas(run, f"path string, {MODULE}")
+
+
+NODES = "path string, kind string, name string, qualname string, parent string, line int, end_line int, col int, decorators array<string>, bases array<string>, docstring string, is_public boolean"
+
+
+def _nodes(code: str) -> list[tuple]:
+    """Classes and functions of a source, with their places and parents."""
+    try:
+        tree = ast.parse(code)
+    except (SyntaxError, ValueError):
+        return []
+    out = []
+
+    def walk(node, parent):
+        for n in ast.iter_child_nodes(node):
+            if isinstance(n, (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)):
+                qualname = f"{parent}.{n.name}" if parent else n.name
+                bases = [ast.unparse(b) for b in getattr(n, "bases", [])]
+                out.append((type(n).__name__, n.name, qualname, parent or None, n.lineno, n.end_lineno, n.col_offset, [ast.unparse(d) for d in n.decorator_list], bases, ast.get_docstring(n), not n.name.startswith("_")))
+                walk(n, qualname)
+            else:
+                walk(n, parent)
+
+    walk(tree, "")
+    return out
+
+
+def syntax_nodes(files: DataFrame) -> DataFrame:
+    """A row for each class and function of files(path, code)."""
+    names = [part.strip().split(" ")[0] for part in NODES.split(", ")]
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(p, *n) for p, c in zip(pdf["path"], pdf["code"], strict=True) for n in _nodes(c or "")]
+            yield pd.DataFrame(rows, columns=names)
+
+    return files.select("path", "code").mapInPandas(run, NODES)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,6 +73,28 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, *, skip_bad: bool =
     return reader.option("columnNameOfCorruptRecord", "_corrupt").json(path)
 
 
+def json_objects(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Objects that follow one another in files, each over as many lines as it likes; a file that breaks off keeps its whole ones."""
+
+    def split(batches):
+        decoder = json.JSONDecoder()
+        for pdf in batches:
+            found = []
+            for text in pdf["value"]:
+                at = 0
+                while at < len(text):
+                    at += len(text) - at - len(text[at:].lstrip())
+                    try:
+                        value, at = decoder.raw_decode(text, at)
+                    except ValueError:
+                        break
+                    found.append(json.dumps(value))
+            yield pd.DataFrame({"value": pd.Series(found, dtype=object)})
+
+    rows = spark.read.text(path, wholetext=True).mapInPandas(split, "value string")
+    return rows.select(F.from_json("value", schema).alias("r")).select("r.*")
+
+
 def corpus_faults(corpus: DataFrame) -> DataFrame:
     """(fault, id) of a corpus(id, contents): missing ids, repeated ids, empty contents."""
     id_ = F.trim(F.coalesce("id", F.lit("")))

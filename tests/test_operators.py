@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import globs, text
 from siltstone.operators import catalog, chunking, evaluation, fusion, gating, graph, lexical, repo, vector
-from siltstone.sources import tables, writers
+from siltstone.plans.channels import Registry as Channels
+from siltstone.sources import scripts, tables, writers
+from siltstone.sources.registry import Registry
 from siltstone.streaming import incremental
 
 PATHS = ["src/main.py", "src/utils.py", "tests/test_main.py", "tests/test_utils.py", "src/app.ts", "src/components/Button.tsx", "docs/README.md", "src/nested/deep/file.py", "lib/legacy.py", "src/config.json", "main.py"]
@@ -262,3 +264,52 @@ def test_windowed_stream_equals_batch(spark, sf, tmp_path):
     q.awaitTermination()
     key = lambda r: (r.start, r.event_type, r.n)
     assert sorted(map(key, spark.table("win").collect())) == sorted(map(key, incremental.windowed_counts(e).collect()))
+
+
+def test_channels(spark):
+    q = spark.createDataFrame([(1,)], "query_id long")
+    hit = lambda doc: lambda queries, sources: queries.select("query_id", F.lit(doc).alias("doc_id"), F.lit(1).alias("score"))
+    c = Channels()
+    c.add("bm25", hit(1), ("documents",))
+    c.add("dense", hit(2), ("embeddings",))
+    c.add("off", hit(3))
+    hits, skipped = c.gather(q, {"documents": q}, {"bm25": 5, "dense": 5, "off": 5}, ("off",))
+    assert [(r.channel, r.doc_id, r["rank"]) for r in hits.collect()] == [("bm25", 1, 1)]
+    assert skipped == ["dense: needs embeddings", "off: disabled"]
+    with pytest.raises(ValueError):
+        c.add("bm25", hit(1))
+
+
+def test_scripts(spark):
+    script = "-- a; comment\nSELECT ';' AS a, 1 - 1 AS b; /* x; */ SELECT :n AS c;"
+    assert scripts.statements(script) == ["SELECT ';' AS a, 1 - 1 AS b", "SELECT :n AS c"]
+    assert scripts.run_script(spark, "SELECT :n AS c", n=3)[0].first().c == 3
+
+
+def test_registry(spark, tmp_path):
+    r = Registry(spark, str(tmp_path / "log"))
+    r.record("dataset", "d1", "begun", "/data/d1")
+    with pytest.raises(ValueError):
+        r.record("dataset", "d1", "begun")
+    r.record("dataset", "d1", "committed")
+    r.record("dataset", "d2", "begun", "/data/d2")
+    assert [(x.key, x.root) for x in r.committed("dataset").collect()] == [("d1", "/data/d1")]
+
+
+def test_json_objects_and_nodes(spark, tmp_path):
+    (tmp_path / "m.jsonl").write_text('{\n "a": 1\n}\n{"a":\n2}\n{"a": ')
+    assert [r.a for r in tables.json_objects(spark, str(tmp_path / "m.jsonl"), "a long").collect()] == [1, 2]
+    code = "class A(B):\n    @property\n    def _x(self):\n        def inner(): pass\n"
+    got = [(r.kind, r.qualname, r.parent, r.is_public, r.decorators, r.bases) for r in repo.syntax_nodes(spark.createDataFrame([("a.py", code), ("b.py", "(")], "path string, code string")).orderBy("line").collect()]
+    assert got == [("ClassDef", "A", None, True, [], ["B"]), ("FunctionDef", "A._x", "A", False, ["property"], []), ("FunctionDef", "A._x.inner", "A._x", True, [], [])]
+
+
+def test_filters_and_exports(spark):
+    rows = spark.createDataFrame([(1, "src/a.py", ["s"]), (2, "src/b.ts", ["t"]), (3, "c.py", None)], "id long, uri string, symbols array<string>")
+    ids = lambda **k: sorted(r.id for r in catalog.filtered(rows, **k).collect())
+    assert ids() == [1, 2, 3] and ids(ids=[]) == [] and ids(include=["src/*"], languages=["python"]) == [1] and ids(symbols=["t", "z"]) == [2]
+    n = spark.createDataFrame([("p", "f", "f"), ("p", "g", "f.g"), ("p", "h", "h"), ("q", "f", "f")], "path string, name string, qualname string")
+    assert sorted(r.qualname for r in catalog.exported(n, spark.createDataFrame([("p", "f")], "path string, exported string")).collect()) == ["f", "f.g"]
+    calls = spark.createDataFrame([(1, "f", 3), (1, "g", 1), (1, "f", 9), (2, "nope", 1)], "chunk_id long, name string, pos long")
+    defs = spark.createDataFrame([("f", "def f()"), ("g", "def g()")], "name string, signature string")
+    assert [r.context for r in chunking.related(calls, defs).collect()] == ["def g()\ndef f()"]
