@@ -17,6 +17,8 @@ FILTERS = 8
 LENGTH = 128
 #: Labelled rows a language that training reads at most, taken in the order of a hash of the id.
 ROWS_A_LANGUAGE = 400
+#: Languages that are learned at most, the most frequent ones.
+MOST_LANGUAGES = 500
 #: Windows that training takes from one labelled text at most, spread over the whole text.
 WINDOWS_A_ROW = 6
 _LETTER = re.compile(r"[^\W\d_]")
@@ -99,7 +101,7 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, ro
     """A bounded, reproducible sample: of each language the rows with the smallest hashed ids among those not held out."""
     known = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where((fold("i", 3) != 1) & F.col("l").isNotNull() & F.col("i").isNotNull() & (F.length("t") > 0))
     known = known.withColumn("h", F.pmod(F.xxhash64("i"), F.lit(1 << 30)))
-    sizes = known.groupBy("l").agg(F.count("*").alias("n"))
+    sizes = known.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(MOST_LANGUAGES)
     near = known.join(F.broadcast(sizes), "l").where(F.col("h") < F.ceil(F.lit(1 << 30) * 2.0 * rows_a_language / F.col("n")) + (1 << 30) * 64 / F.col("n"))
     first = near.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h", "i", "t"))).where(F.col("r") <= rows_a_language)
     # six pieces of the text, spread over its whole length, are all that leaves the executors

@@ -166,7 +166,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     pairs across components are: the other stars, then what is left between components within a band, pair by pair in
     small bands and by block products in larger ones. Pairs are pruned by set size and by the joint likelihood of their
     registers, with a margin of 7 sigma, before full sets are compared. Documents without words are linked with nothing. A null id has a null component and is kept. Rows that
-    repeat an id share a component, each gives a row. Other columns are ignored, an empty table gives none.
+    repeat an id share a component, each gives a row; of several texts under one id the first in order is compared. Other columns are ignored, an empty table gives none.
     """
     rows = written(sketch(docs, id_col, text_col), "sketch")
     full = rows.where("n > 0 and doc_id is not null")

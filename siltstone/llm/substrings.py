@@ -59,7 +59,8 @@ def segments(flat: np.ndarray, lens: np.ndarray, frequent: np.ndarray | None = N
     rank = mix(anchor)
     rank >>= np.uint64(1)
     if frequent is not None:
-        rank |= frequent[(anchor >> np.uint64(64 - MARK_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(63)
+        high = anchor.view(np.uint32)[1::2] >> np.uint32(32 - MARK_BITS)
+        rank[np.flatnonzero(frequent[high])] |= np.uint64(1 << 63)
     rank &= np.uint64(0xFFFFFFFF00000000)
     rank |= np.arange(len(rank), dtype=np.uint64)
     least, width = rank, 1
