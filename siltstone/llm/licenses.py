@@ -18,6 +18,23 @@ TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
+#: Of each whole licence a paragraph that only it has, or its usual notice in full. A paragraph begins and
+#: ends with a line, however it is wrapped, so a text that holds the whole licence holds it as a run of lines.
+PARAGRAPHS = [
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International Public License"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International Public License"),
+    ("CC-BY-NC-ND-4.0", "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International Public License"),
+    ("CC-BY-NC-SA-4.0", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International Public License"),
+    ("CC-BY-ND-4.0", "Creative Commons Attribution-NoDerivatives 4.0 International Public License"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International Public License"),
+    ("GPL-3.0", "The GNU General Public License is a free, copyleft license for software and other kinds of works."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+]
 THRESHOLD = 0.8
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _WORDS = f"filter(split(regexp_replace(translate({{x}}, {_AZ}), '[^a-z0-9]+', ' '), ' '), w -> w <> '')"
@@ -34,33 +51,77 @@ def bigrams(text: str) -> list[str]:
     return [f"{b} {found[: i + 1].count(b)}" for i, b in enumerate(found)]
 
 
+def probes(bag: list[str], threshold: float) -> set[str]:
+    """Words of a template of which every unit that matches it has one: without them too few of its bigrams are left."""
+    spare = len(bag) - math.ceil(len(bag) * threshold / (2 - threshold) - 1e-9)
+    pairs = [set(b.split(" ")[:-1]) for b in bag]
+    out: set[str] = set()
+    while sum(bool(p & out) for p in pairs) <= spare:
+        left = [p for p in pairs if not p & out]
+        if not left:
+            break
+        out.add(max(sorted(set().union(*left)), key=lambda w: sum(w in p for p in left) * len(w)))
+    return out
+
+
+def _let(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` bound to ``value``, which is computed once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Per document row: doc_id, license, score, n_matches.
 
-    Units are a document's lines and, if it has several, its whole text. A unit matches a template if
-    2|A and B| / (|A| + |B|) >= threshold over their bags of word bigrams; the best match wins, ties to the name that
-    sorts first. n_matches counts matching units. Sizes prune first: a unit of n bigrams is compared only with the
-    templates whose size lies in [n t/(2-t), n (2-t)/t], and a line with fewer or more words than fit any template is
-    never normalised. All is done inside the row: no shuffle, join or explode. The templates are
-    literals of the plan (a list of some hundreds at most). Null and empty texts, and those without a match, give
-    a null license, score 0 and 0 matches. Repeated rows each give a row; other columns are ignored.
+    Units are a document's lines and, if it has several, its whole text; then runs of consecutive lines, so that a
+    wrapped notice is found. A unit matches a template if 2|A and B| / (|A| + |B|) >= threshold over their bags of word
+    bigrams; the best match wins, ties to the name that sorts first. n_matches counts matching units; a run holds no line
+    that matches by itself, isn't the whole text, and of overlapping runs the best counts, then the earliest and shortest.
+    Lines without letters and digits don't end a run. Without ``templates``, TEMPLATES and PARAGRAPHS are looked for.
+
+    Two bounds prune exactly: a unit of n bigrams is compared only with the templates whose size lies in
+    [n t/(2-t), n (2-t)/t], and each template has a few words (``probes``) without which nothing matches it, so a
+    document without any of them is not even split. All is done inside the row: no shuffle, join or explode. The
+    templates are literals of the plan (a list of some hundreds at most). Null and empty texts, and those without a
+    match, give a null license, score 0 and 0 matches. Repeated rows each give a row; other columns are ignored.
     """
-    found = {name: g for name, text in sorted((TEMPLATES if templates is None else templates).items()) if (g := bigrams(text))}
+    texts = sorted([*TEMPLATES.items(), *PARAGRAPHS] if templates is None else templates.items())
+    found = [(name, g) for name, text in texts if (g := bigrams(text))]
     out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     if not found:
         return out.select("doc_id", F.lit(None).cast("string").alias("license"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_matches"))
     t = float(threshold)
-    sizes = [len(g) for g in found.values()]
+    sizes = [len(g) for _, g in found]
     least, most = min(sizes) * t / (2 - t), max(sizes) * (2 - t) / t
-    quoted = ", ".join("named_struct('k', {}, 'lo', {}D, 'hi', {}D, 'b', array({}))".format(-k, len(g) * t / (2 - t), len(g) * (2 - t) / t, ", ".join(f"'{b}'" for b in g)) for k, g in enumerate(found.values()))
+    quoted = ", ".join("named_struct('k', {}, 'lo', {}D, 'hi', {}D, 'b', array({}))".format(-k, len(g) * t / (2 - t), len(g) * (2 - t) / t, ", ".join(f"'{b}'" for b in g)) for k, (_, g) in enumerate(found))
     # n bigrams are n + 1 words, or one word
     fewest, words = 1 if least <= 1 else math.ceil(least) + 1, math.floor(most) + 1
-    out = out.select("doc_id", F.expr(f"filter(case when instr(text, '\\n') > 0 then concat(split(text, '\\n'), array(text)) else array(text) end, x -> regexp_count(x, '[A-Za-z0-9]+') between {fewest} and {words})").alias("units"))
-    out = out.select("doc_id", F.expr(f"transform(units, x -> {_WORDS.format(x='x')})").alias("words"))
-    out = out.select("doc_id", F.expr(f"transform(words, w -> {_BIGRAMS.format(w='w')})").alias("pairs"))
-    out = out.select("doc_id", F.expr(f"filter(transform(pairs, b -> {_BAG.format(b='b')}), b -> size(b) between {least} and {most})").alias("units"))
+    marks = sorted(set().union(*[probes(g, t) for _, g in found]))
+    marked = "arrays_overlap({w}, array(%s))" % ", ".join(f"'{m}'" for m in marks)
+    # the best match of an array of words, null if it has none
     score = "transform(filter(array({q}), t -> size(b) between t.lo and t.hi), t -> named_struct('s', 2.0D * size(array_intersect(b, t.b)) / (size(b) + size(t.b)), 'k', t.k))".format(q=quoted)
-    out = out.select("doc_id", F.expr(f"filter(transform(coalesce(units, array()), b -> array_max({score})), m -> m.s >= {t}D)").alias("hits"))
-    out = out.select("doc_id", F.expr("array_max(hits)").alias("best"), F.size("hits").cast("long").alias("n_matches"))
-    names = F.array(*[F.lit(n) for n in found])
+    best = lambda w: _let(_BIGRAMS.format(w=w), "p", _let(_BAG.format(b="p"), "b", f"array_max(filter({score}, m -> m.s >= {t}D))"))
+    none, run = "cast(array() as array<string>)", "struct<i: int, n: int, w: array<string>>"
+
+    low = F.lower("text")
+    hold = F.lit(False)
+    for m in marks:
+        hold = hold | low.contains(m)
+    out = out.select("doc_id", F.when(hold, F.col("text")).alias("text"))
+    # lines that have words; those with more than fit any template end runs, as do those that match by themselves
+    lines = f"transform(filter(split(text, '\\n'), x -> x rlike '[A-Za-z0-9]'), x -> if(regexp_count(x, '[A-Za-z0-9]+') <= {words}, {_WORDS.format(x='x')}, {none}))"
+    hit = f"transform(l, w -> if(size(w) >= {fewest} and {marked.format(w='w')}, {best('w')}, null))"
+    whole = f"if(instr(text, '\\n') > 0 and regexp_count(text, '[A-Za-z0-9]+') between {fewest} and {words}, {_let(_WORDS.format(x='text'), 'w', best('w'))}, null)"
+    grow = f"if(not a.on or size(x) = 0 or size(a.w) + size(x) > {words}, named_struct('w', a.w, 'on', false, 'n', a.n, 'r', a.r), {_let('concat(a.w, x)', 'v', "named_struct('w', v, 'on', true, 'n', a.n + 1, 'r', if(a.n > 0, concat(a.r, array(named_struct('i', i, 'n', a.n + 1, 'w', v))), a.r))")})"
+    from_ = f"aggregate(slice(l, i, {words}), named_struct('w', {none}, 'on', true, 'n', 0, 'r', cast(array() as array<{run}>)), (a, x) -> {grow}, a -> a.r)"
+    starts = _let(f"transform(l, w -> {marked.format(w='w')})", "f", f"filter(sequence(1, size(l)), i -> size(get(l, i - 1)) > 0 and exists(slice(f, i, {words}), y -> y))")
+    runs = f"filter(flatten(transform({starts}, i -> {from_})), r -> size(r.w) >= {fewest} and r.n < size(l) and {marked.format(w='r.w')})"
+    rated = f"filter(transform({runs}, r -> {_let(best('r.w'), 'm', "named_struct('s', m.s, 'k', m.k, 'i', -r.i, 'n', -r.n)")}), r -> r.s is not null)"
+    # the best first; one that overlaps a better one doesn't count
+    free = "not exists(a, y -> -y.i - y.n > -x.i and -x.i - x.n > -y.i)"
+    apart = f"aggregate(reverse(array_sort({rated})), cast(array() as array<struct<s: double, k: int, i: int, n: int>>), (a, x) -> if({free}, concat(a, array(x)), a))"
+    joined = f"if(size(l) > 1, {_let(f'transform(l, (w, j) -> if(get(h, j) is null, w, {none}))', 'l', f"transform({apart}, y -> named_struct('s', y.s, 'k', y.k))")}, array())"
+    hits = _let(lines, "l", _let(hit, "h", f"filter(concat(h, array({whole}), {joined}), m -> m is not null)"))
+    out = out.select("doc_id", F.expr(f"if(text is null, null, {hits})").alias("hits"))
+    out = out.select("doc_id", F.expr("array_max(hits)").alias("best"), F.coalesce(F.expr("if(hits is null, 0, size(hits))"), F.lit(0)).cast("long").alias("n_matches"))
+    names = F.array(*[F.lit(n) for n, _ in found])
     return out.select("doc_id", F.get(names, -F.col("best.k")).alias("license"), F.round(F.coalesce("best.s", F.lit(0.0)), 9).alias("score"), "n_matches")

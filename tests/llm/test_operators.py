@@ -117,6 +117,15 @@ def test_licenses(spark, docs, empty):
     assert licenses.scan(docs, {}).where("license is not null").count() == 0
 
 
+def test_wrapped_and_whole_licenses(spark):
+    mit = ["MIT License", "", "Copyright (c) 2020 Some Body", ""] + re.sub(r"(.{50,60}) ", r"\1\n", dict(licenses.PARAGRAPHS)["MIT"]).split("\n") + ["", "The above copyright notice and this permission notice shall be included in all copies.", "word " * 120]
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"
+    isc = "# Permission to use, copy, modify, and/or distribute this software for any\n#\n# purpose with or without fee is hereby granted"
+    extra = [(1, "\n".join(mit)), (2, f"A header of the file that says nothing of note\n{bsd}\nand then the list of those conditions follows here"), (3, f"import this and that from there\n{isc}\nimport some more of those and run"), (4, f"{bsd}\nlonger words of a text that go on and on\n\n{bsd}\n{'x ' * 300}"), (5, "word\nReleased under\nthe MIT License\nword\nword\nword"), (6, "Released under\n" + "x " * 300 + "\nthe MIT License"), (7, "Released under the MIT License\nthe\nx\ny\nz")]
+    got = {r.doc_id: (r.license, r.n_matches) for r in licenses.scan(spark.createDataFrame(rows_of(extra), DOCS)).collect()}
+    assert got == {1: ("MIT", 1), 2: ("BSD-3-Clause", 1), 3: ("ISC", 1), 4: ("BSD-3-Clause", 2), 5: ("MIT", 1), 6: (None, 0), 7: ("MIT", 1)}
+
+
 # --- language
 
 
