@@ -3,7 +3,8 @@
 Vectors are lifted to one norm (the largest inner product then is the smallest distance). Centroids are fitted on a
 bounded sample; every vector is put in the list of its nearest centroid and, if it lies at a boundary, in those of up to
 COPIES centroids within SPREAD of that distance. A query searches the graph of centroids and reads every list within a
-ratio of its nearest list's distance; the ratio is the smallest with the recall AIM on the sample. Long lists are cut
+ratio of its nearest list's distance, and further ones until they hold k others; the ratio is the smallest with the recall
+AIM on the sample. Long lists are cut
 into pieces and many queries of a list into blocks, so that no group grows with the data; scores are exact.
 """
 
@@ -63,6 +64,8 @@ class Index:
         self.graph = np.argsort(d, 1)[:, : DEGREE + 1]
         self.graph = np.concatenate([self.graph, rng.integers(0, lists, (lists, 4))], 1)  # a few long edges keep it connected
         self.ratio = self._ratio(sample, x, rng, k)
+        #: Vectors that a query must at least reach, and those of each list; set when the lists are filled.
+        self.need, self.held = 0, np.zeros(len(self.centroids), np.int64)
 
     def lift(self, v: np.ndarray) -> np.ndarray:
         """Appends what is missing to the largest norm."""
@@ -118,12 +121,16 @@ class Index:
         return np.nonzero(dist <= SPREAD * dist[:, :1] + 1e-12)[0], ids[dist <= SPREAD * dist[:, :1] + 1e-12]
 
     def lists(self, q: np.ndarray, ratio: float | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list): the lists that each query reads; the search widens until the ratio ends it."""
+        """(row, list): the lists that each query reads: those within the ratio, and the next ones until they hold
+        ``need`` vectors; the search widens until both are met."""
         x, ratio, breadth = self.aim(q), ratio or self.ratio, 32
         while True:
             ids, dist = self.search(x, breadth)
             within = dist <= ratio * dist[:, :1] + 1e-12
-            if breadth >= len(self.centroids) or not within[:, -1].any():
+            held = np.where(np.isfinite(dist), self.held[ids], 0)
+            total = held.cumsum(1)
+            within |= (total - held < self.need) & np.isfinite(dist)
+            if breadth >= len(self.centroids) or not (within[:, -1].any() or (total[:, -1] < self.need).any()):
                 return np.nonzero(within)[0], ids[within]
             breadth *= 2
 
@@ -144,23 +151,29 @@ class Index:
 
 
 def _top(group: pd.DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k best of a piece for each query of a block, scored exactly; ties to the smaller id."""
+    """The k best ids of a piece for each query of a block, each by its best row, scored exactly; ties to the smaller id."""
     empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
     if not len(group) or not len(asked):
         return empty
     group = group.sort_values("vec_id")
     ids, x = group["vec_id"].to_numpy(np.int64), np.stack(group["v"].to_numpy())
+    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])  # the rows of an id are neighbours
+    repeated, each = len(first) < len(ids), np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(ids)]))
     out = []
     for lo in range(0, len(asked), 256):
         part = asked.iloc[lo : lo + 256]
         q = np.stack(part["v"].to_numpy())
         rough = q @ x.T
         slack = 1e-9 * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max()
-        least = np.partition(rough, max(len(ids) - k - 1, 0), 1)[:, max(len(ids) - k - 1, 0)]  # one more than k: the query itself
+        by_id = np.maximum.reduceat(rough, first, 1) if repeated else rough
+        least = np.partition(by_id, max(len(first) - k - 1, 0), 1)[:, max(len(first) - k - 1, 0)]  # one more than k: the query itself
         for i, query in enumerate(part["query_id"]):
             near = np.flatnonzero((rough[i] >= least[i] - slack[i]) & (ids != query))
             exact = (x[near] * q[i]).sum(1)
-            best = np.lexsort((ids[near], -exact))[:k]
+            best = np.lexsort((ids[near], -exact))
+            if repeated:
+                best = best[np.sort(np.unique(each[near[best]], return_index=True)[1])]
+            best = best[:k]
             out.append(pd.DataFrame({"query_id": query, "vec_id": ids[near[best]], "score": exact[best]}))
     return pd.concat(out) if out else empty
 
@@ -192,7 +205,7 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, k: int = 20, *,
     index = Index(sample, top, min(MOST_LISTS, max(8, math.isqrt(sizes["count"]) // 2)), k)
     shared = vectors.sparkSession.sparkContext.broadcast(index)
 
-    def place(method, name):
+    def place(method, name, shared):
         def run(batches):
             for pdf in batches:
                 for lo in range(0, len(pdf), 1024):
@@ -202,8 +215,14 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, k: int = 20, *,
 
         return run
 
-    posted = written(base.mapInPandas(place("homes", "vec_id"), "vec_id long, list long, v array<double>"), "postings")
-    reads = written(asked.mapInPandas(place("lists", "query_id"), "query_id long, list long, v array<double>"), "reads")
+    posted = written(base.mapInPandas(place("homes", "vec_id", shared), "vec_id long, list long, v array<double>"), "postings")
+    # each id counts in one list, so lists that hold k and one more hold k others than the query
+    owned = posted.groupBy("vec_id").agg(F.min("list").alias("list")).groupBy("list").count().collect()
+    index.need = k + 1
+    for r in owned:
+        index.held[r.list] = r["count"]
+    filled = vectors.sparkSession.sparkContext.broadcast(index)
+    reads = written(asked.mapInPandas(place("lists", "query_id", filled), "query_id long, list long, v array<double>"), "reads")
     # pieces and blocks of each list: at most MOST_LISTS rows
     cut = lambda df, n, name: df.groupBy("list").agg(F.ceil(F.count("*") / n).alias(name))
     parts = F.broadcast(cut(posted, PIECE, "pieces").join(cut(reads, BLOCK, "blocks"), "list"))
@@ -213,7 +232,6 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, k: int = 20, *,
     keys = ["list", "piece", "block"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda a, b: _top(a, b, k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    # a vector is in COPIES lists at most, so the first k * COPIES rows hold the first k vectors
-    found = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k * COPIES)
+    # an id may come from many lists and rows: it is made one before the first k are taken
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

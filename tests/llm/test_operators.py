@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,6 +176,28 @@ def test_neighbours(spark):
     assert neighbours.search(df.where("vec_id = 20")).count() == 0
 
 
+def test_neighbours_are_k_distinct_ids(spark):
+    x = np.random.default_rng(1).normal(size=(300, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x) for _ in range(2)]
+    rows += [(i, (x[i] * f).tolist()) for i in range(0, 300, 20) for f in (0.5, 0.9)]
+    got = collections.defaultdict(list)
+    for r in neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=150).collect():
+        got[r.query_id].append(r.vec_id)
+    assert set(got) == set(range(0, 300, 20))
+    assert all(len(v) == len(set(v)) == 150 and q not in v for q, v in got.items())
+    assert {len(got[q]) for q in got} == {150}
+    few = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").where("vec_id < 25"), k=30)
+    assert few.groupBy("query_id").count().where("count = 24").count() == 2
+
+
+def test_top_counts_an_id_once():
+    v = np.eye(4)
+    ids = [5, 5, 5, 5, 6, 7, 1]
+    x = [v[0] * 3, v[0] * 2, v[0] * 4, v[0] * 4, v[0], v[0] * 0.5, v[0] * 9]
+    got = neighbours._top(pd.DataFrame({"vec_id": ids, "v": x}), pd.DataFrame({"query_id": [1], "v": [v[0]]}), 2)
+    assert list(zip(got["vec_id"], got["score"], strict=True)) == [(5, 4.0), (6, 1.0)]
+
+
 # --- mixing
 
 
