@@ -28,8 +28,10 @@ BATCH_BLOCKS, BATCH_PAGES = 8192, 64
 #: Fixed values of the HTML standard: elements that start a block, have no content, or hold no text for readers.
 BLOCK_TAGS = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = "script|style|noscript|template|textarea|svg|iframe|object|math"
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW_TAGS})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|[^<]+|<", re.S | re.I)
+RAW_TAGS = "script|style|noscript|template|textarea|svg|iframe"
+_ATTRS = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
+#: The name of a raw element ends there (svg-icon is another one), and an svg that closes itself has no content.
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?!svg(?=[\s/>]){_ATTRS}(?<=/)>)({RAW_TAGS})(?=[\s/>]){_ATTRS}>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)({_ATTRS})>|<[!?/][^>]*>|[^<]+|<", re.S | re.I)
 _MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _CLOSES = {"li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}

@@ -457,6 +457,14 @@ def test_html(spark):
     assert html.extract(df.limit(0), net).count() == 0
 
 
+def test_html_keeps_text_after_custom_and_empty_elements():
+    said = lambda page: [b[1] for b in html.blocks(page)]
+    assert said('<article><p>A <svg-icon name="x"></svg-icon> b</p><p>Rest of the article.</p></article>') == ["A b", "Rest of the article."]
+    assert said("<p>A <svg viewBox='0 0 > 1'/> b</p><p>c</p><script-x>d</script-x><template-y></template-y><p>e</p>") == ["A b", "c", "d", "e"]
+    assert said("<p>Let <math><mi>x</mi></math> be</p><object data=a><p>No plugin.</p></object>") == ["Let x be", "No plugin."]
+    assert said("<p>A</p><svg width=1><text>no</text></svg><script>no</script\n><STYLE >no</STYLE><p>b</p>") == ["A", "b"]
+
+
 def test_shingles_cover_long_texts():
     text = "w1 w2\tw3 " * 200_000
     assert len(next(iter(shingles.shingle_sets([text])))) == 3
