@@ -190,12 +190,36 @@ def test_neighbours_are_k_distinct_ids(spark):
     assert few.groupBy("query_id").count().where("count = 24").count() == 2
 
 
-def test_top_counts_an_id_once():
+def test_best_counts_an_id_once():
     v = np.eye(4)
-    ids = [5, 5, 5, 5, 6, 7, 1]
-    x = [v[0] * 3, v[0] * 2, v[0] * 4, v[0] * 4, v[0], v[0] * 0.5, v[0] * 9]
-    got = neighbours._top(pd.DataFrame({"vec_id": ids, "v": x}), pd.DataFrame({"query_id": [1], "v": [v[0]]}), 2)
-    assert list(zip(got["vec_id"], got["score"], strict=True)) == [(5, 4.0), (6, 1.0)]
+    ids = np.array([1, 5, 5, 5, 5, 6, 7])
+    x = np.array([v[0] * 9, v[0] * 3, v[0] * 2, v[0] * 4, v[0] * 4, v[0], v[0] * 0.5])
+    whole = lambda lo, hi: [(0, len(ids), np.arange(hi - lo))]
+    ((query, found, score),) = neighbours._best(ids, x, np.array([1]), v[:1], whole, 2)
+    assert query == 1 and list(zip(found, score, strict=True)) == [(5, 4.0), (6, 1.0)]
+
+
+def test_neighbours_prune(spark):
+    """Beyond 400 vectors: lists aren't all read, and recall holds against brute force."""
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=(60, 32))
+    x = centre[rng.integers(0, 60, 6000)] + rng.normal(size=(6000, 32)) * 0.7
+    x[1000:3000] = x[7]  # copies hold a third of all rows
+    df = spark.createDataFrame([(f"v{i}", v.tolist()) for i, v in enumerate(x)], "vec_id string, embedding array<double>").repartition(4)
+    report: dict = {}
+    ask = [i for i in range(0, 6000, 40) if not 1000 <= i < 3000]
+    got = collections.defaultdict(set)
+    for r in neighbours.search(df, df.where(F.col("vec_id").isin([f"v{i}" for i in ask])), report=report).collect():
+        got[int(r.query_id[1:])].add(int(r.vec_id[1:]))
+    hit = 0
+    for i in ask:
+        s = x @ x[i]
+        s[i] = -np.inf
+        least = np.sort(s)[-20] - 1e-9
+        assert len(got[i]) == 20
+        hit += sum(s[j] >= least for j in got[i])
+    assert hit >= 0.9 * 20 * len(ask), hit
+    assert report["share"] < 0.45 and 1 <= report["copies"] < 2 and report["lists"] > 500, report
 
 
 # --- mixing
