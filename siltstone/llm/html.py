@@ -11,6 +11,7 @@ from __future__ import annotations
 import random
 import re
 import zlib
+from collections import Counter
 from html import unescape
 
 import numpy as np
@@ -20,28 +21,92 @@ from pyspark.sql import functions as F
 
 PATH_DIM, WORD_DIM, SHARES, HIDDEN = 96, 24, 8, 20
 INPUT = PATH_DIM + WORD_DIM + SHARES
-#: Invented pages and sampled pages (in the order of a hash of the id, each under SAMPLE_CHARS) that training reads.
-INVENTED, SAMPLED, SAMPLE_CHARS = 700, 150, 20_000
-#: Blocks and pages that are labelled at a time; a longer page is a batch by itself.
+#: Invented pages and sampled pages (in the order of a hash of the id) that training reads; a page counts as runs of so
+#: many blocks, and so many runs are learned from.
+INVENTED, SAMPLED, RUN, RUNS = 700, 150, 256, 200
+#: Blocks and pages that are labelled at a time; a longer page is read by itself, in slices that hand on their state.
 BATCH_BLOCKS, BATCH_PAGES = 8192, 64
+#: Open elements that a path holds; deeper ones keep their text, with the path that far. Browsers have such a bound too.
+DEPTH = 128
 
 #: Fixed values of the HTML standard: elements that start a block, have no content, or hold no text for readers.
 BLOCK_TAGS = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = "script|style|noscript|template|textarea|svg|iframe"
-_ATTRS = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
-#: The name of a raw element ends there (svg-icon is another one), and an svg that closes itself has no content.
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?!svg(?=[\s/>]){_ATTRS}(?<=/)>)({RAW_TAGS})(?=[\s/>]){_ATTRS}>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)({_ATTRS})>|<[!?/][^>]*>|[^<]+|<", re.S | re.I)
+RAW_TAGS = frozenset("script style template textarea svg iframe".split())
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"[>\"']")
 _MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _CLOSES = {"li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 
 
+def tokens(html: str):
+    """(text, closing, name, attributes) of the page's parts: texts have no name, tags no text.
+
+    Comments, declarations and raw elements give nothing. A tag ends at the first ``>`` outside of quotes or, where a
+    quote stays open, at the first one at all. Linear in the page's length: what a scan has found to lead nowhere is
+    remembered by ``dead``, the places of quotes from which no end can be reached.
+    """
+    at, size, last, dead = 0, len(html), html.rfind(">"), set()
+
+    def end(i: int) -> int:
+        """Behind the ``>`` of the tag whose attributes begin at i; i is not beyond the last one."""
+        first, path = i, []
+        while True:
+            m = _STOP.search(html, i)
+            if m is None or m.start() in dead:
+                break
+            if m[0] == ">":
+                return m.end()
+            path.append(m.start())
+            close = html.find(m[0], m.end())
+            if close < 0:
+                break
+            i = close + 1
+        dead.update(path)
+        return html.find(">", first) + 1
+
+    while at < size:
+        lt = html.find("<", at)
+        if lt < 0:
+            lt = size
+        if lt > at:
+            yield html[at:lt], "", None, ""
+        if lt == size:
+            return
+        if html.startswith("<!--", lt):
+            close = html.find("-->", lt + 4)
+            at = size if close < 0 else close + 3
+            continue
+        head = html[lt + 1 : lt + 2]
+        closing = "/" if head == "/" else ""
+        name = _NAME.match(html, lt + 1 + len(closing))
+        if lt > last or not (name or head in ("!", "?", "/")) or head == "":
+            yield "<", "", None, ""
+            at = lt + 1
+            continue
+        if not name:
+            at = html.find(">", lt) + 1
+            continue
+        at = end(name.end())
+        attrs, word = html[name.end() : at - 1], name[0].lower()
+        if word in RAW_TAGS and not closing:
+            if word != "svg" or not attrs.endswith("/"):
+                close = _RAW_END[word].search(html, at)
+                at = close.end() if close else size
+            continue
+        yield "", closing, word, attrs
+
+
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW_TAGS}
+
+
 def blocks(html: str | None) -> list[tuple[tuple[str, ...], str, int]]:
     """(path words, text, characters inside links) of each leaf block, in page order; head and raw elements have none."""
     out: list[tuple[tuple[str, ...], str, int]] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
-    path: tuple[str, ...] = ()
+    beyond: Counter[str] = Counter()
+    path: tuple[str, ...] | None = ()
     text: list[str] = []
     linked = 0
     links = heads = 0
@@ -61,28 +126,29 @@ def blocks(html: str | None) -> list[tuple[tuple[str, ...], str, int]]:
             heads -= name in ("head", "title")
         del stack[to:]
 
-    for m in _TOKEN.finditer(html or ""):
-        name = m[3]
+    for piece, closing, name, attrs in tokens(html or ""):
         if name is None:
-            piece = m[0]
-            if piece[0] != "<" or piece == "<":
-                if "&" in piece:
-                    piece = unescape(piece)
-                text.append(piece)
-                if links:
-                    linked += len(piece.strip())
+            if not text and path is None:
+                path = tuple(w for n, marks in stack if n in BLOCK_TAGS or marks for w in (n, *(f".{x}" for x in marks)))
+            if "&" in piece:
+                piece = unescape(piece)
+            text.append(piece)
+            if links:
+                linked += len(piece.strip())
             continue
-        name = name.lower()
         if name in BLOCK_TAGS:
             flush()
         elif name == "br":
             text.append(" ")
-        if m[2]:
+        if closing:
+            if beyond[name]:
+                beyond[name] -= 1
+                continue
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
                     drop(i)
                     break
-        elif name not in VOID_TAGS and not m[4].endswith("/"):
+        elif name not in VOID_TAGS and not attrs.endswith("/"):
             if name in BLOCK_TAGS:
                 closes = _CLOSES.get(name, ())
                 for i in range(len(stack) - 1, -1, -1):
@@ -96,14 +162,19 @@ def blocks(html: str | None) -> list[tuple[tuple[str, ...], str, int]]:
                         if open_ == "head":
                             drop(i)
                             break
-            marks = tuple(dict.fromkeys(w.lower() for a in _MARK.findall(m[4]) for w in _PART.findall("".join(a)))) if m[4] else ()
+            marks = tuple(dict.fromkeys(w.lower() for a in _MARK.findall(attrs) for w in _PART.findall("".join(a)))) if attrs else ()
+            if name not in BLOCK_TAGS and name != "a" and not marks:
+                continue  # it says nothing about its text
+            if len(stack) >= DEPTH:
+                beyond[name] += 1
+                continue
             stack.append((name, marks))
             links += name == "a"
             heads += name in ("head", "title")
         else:
             continue
         if not text:
-            path = tuple(w for n, marks in stack if n in BLOCK_TAGS or marks for w in (n, *(f".{x}" for x in marks)))
+            path = None
     flush()
     return out
 
@@ -125,7 +196,9 @@ def _path_vector(path: tuple[str, ...]) -> np.ndarray:
     return found
 
 
-def vectors(page: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
+def vectors(page: list[tuple[tuple[str, ...], str, int]], at: int = 0, size: int | None = None) -> np.ndarray:
+    """A vector a block; ``page`` may be a slice, from block ``at`` on, of a page of ``size`` blocks."""
+    size = size or len(page)
     out = np.zeros((len(page), INPUT), np.float32)
     for i, (path, text, linked) in enumerate(page):
         out[i, :PATH_DIM] = _path_vector(path)
@@ -140,17 +213,19 @@ def vectors(page: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
             slots.append(k)
         n = len(words)
         out[i, PATH_DIM : PATH_DIM + WORD_DIM] = np.bincount(slots, minlength=WORD_DIM) / n
-        out[i, PATH_DIM + WORD_DIM :] = (min(n, 100) / 100, np.log1p(n) / 6, linked / len(text), min(sum(text.count(c) for c in ".!?"), 5) / 5, min(text.count(","), 5) / 5, text[-1] in ".!?:;\"'", i / len(page), sum(map(text.count, "0123456789")) / len(text))
+        out[i, PATH_DIM + WORD_DIM :] = (min(n, 100) / 100, np.log1p(n) / 6, linked / len(text), min(sum(text.count(c) for c in ".!?"), 5) / 5, min(text.count(","), 5) / 5, text[-1] in ".!?:;\"'", (at + i) / size, sum(map(text.count, "0123456789")) / len(text))
     return out
 
 
-def _cell(x, wx, wh, b):
-    """An LSTM over (steps, rows, INPUT); everything that its gradient needs."""
+def _cell(x, wx, wh, b, state=None):
+    """An LSTM over (steps, rows, INPUT), from ``state`` on; everything that its gradient needs."""
     steps, rows = x.shape[:2]
     n = wh.shape[0]
     pre = x.reshape(-1, x.shape[2]) @ wx + b
     pre = pre.reshape(steps, rows, 4 * n)
     h, c = np.zeros((steps + 1, rows, n), np.float32), np.zeros((steps + 1, rows, n), np.float32)
+    if state is not None:
+        h[0], c[0] = state
     gates = np.empty_like(pre)
     for t in range(steps):
         z = pre[t] + h[t] @ wh
@@ -223,6 +298,19 @@ class Labeller:
             at = to
         return out
 
+    def read(self, page: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
+        """``chances`` of one page of any length: both directions in slices, so that only a number a block is held."""
+        z = np.full(len(page), self.params[7][0], np.float32)
+        edges = range(0, len(page), BATCH_BLOCKS)
+        for params, out, turn, order in ((self.params[:3], self.params[6][:HIDDEN], 1, edges), (self.params[3:6], self.params[6][HIDDEN:], -1, reversed(edges))):
+            state = None
+            for lo in order:
+                x = vectors(page[lo : lo + BATCH_BLOCKS], lo, len(page))[::turn, None]
+                h, c, _ = _cell(x, *params, state)
+                state = h[-1], c[-1]
+                z[lo : lo + len(x)] += (h[1:, 0] @ out)[::turn, 0]
+        return 1 / (1 + np.exp(-z))
+
     def train(self, pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 10, rate: float = 0.01, seed: int = 23) -> None:
         rng = np.random.default_rng(seed)
         first, second = [np.zeros_like(p) for p in self.params], [np.zeros_like(p) for p in self.params]
@@ -391,6 +479,25 @@ def own_labels(page: list[tuple[tuple[str, ...], str, int]]) -> list[bool] | Non
     return [("article" in p or "main" in p) and not {"nav", "aside", "footer", "form"} & set(p) and not any(w[1:] in _AWAY for w in p if w[0] == ".") for p, _, _ in page]
 
 
+def _sampled(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
+    """(x, y): runs of blocks, as vectors and their own labels, of a bounded sample of whole pages. Parsed where they are
+    read; of the pages only those under a hash that about twice SAMPLED reach are looked at, equal rows once."""
+    space = 1 << 30
+    some = pages.select(F.col(id_col).alias("i"), F.col(html_col).alias("h")).withColumn("k", F.pmod(F.xxhash64("i", F.lit(5)), F.lit(space)))
+    some = some.where((F.col("k") <= space * 2 * SAMPLED // max(1, pages.count())) & (F.length("h") > 0)).dropDuplicates(["i", "h"])
+
+    def run(batches):
+        for pdf in batches:
+            for k, page in zip(pdf["k"], map(blocks, pdf["h"]), strict=True):
+                own = own_labels(page) if page else None
+                for lo in range(0, len(page) if own else 0, RUN):
+                    x = vectors(page[lo : lo + RUN], lo, len(page))
+                    yield pd.DataFrame({"k": [k], "lo": [lo], "x": [x.tobytes()], "y": [np.array(own[lo : lo + RUN], np.bool_).tobytes()]})
+
+    some = some.orderBy("k", "i", "h").limit(SAMPLED)
+    return some.select("k", "h").mapInPandas(run, "k long, lo long, x binary, y binary").orderBy(F.xxhash64("k", "lo"), "k", "lo").limit(RUNS).select("x", "y")
+
+
 def train(pages: DataFrame | None = None, *, id_col: str = "page_id", html_col: str = "html") -> Labeller:
     rng = random.Random(99)
     seqs, labels = [], []
@@ -401,14 +508,9 @@ def train(pages: DataFrame | None = None, *, id_col: str = "page_id", html_col:
             seqs.append(vectors(found))
             labels.append(np.array(own, np.float32))
     if pages is not None:
-        html = F.col(html_col)
-        some = pages.select(F.col(id_col).alias("i"), html.alias("h")).where(F.length("h").between(1, SAMPLE_CHARS))
-        for r in some.orderBy(F.xxhash64("i"), "i", "h").limit(SAMPLED).collect():
-            found = blocks(r.h)
-            own = own_labels(found) if found else None
-            if own:
-                seqs.append(vectors(found))
-                labels.append(np.array(own, np.float32))
+        for r in _sampled(pages, id_col, html_col).collect():
+            seqs.append(np.frombuffer(r.x, np.float32).reshape(-1, INPUT))
+            labels.append(np.frombuffer(r.y, np.bool_).astype(np.float32))
     net = Labeller()
     net.train(seqs, labels)
     return net
@@ -425,11 +527,22 @@ def extract(pages: DataFrame, net: Labeller | None = None, *, id_col: str = "pag
     shared = pages.sparkSession.sparkContext.broadcast(net)
 
     def read(htmls: pd.Series) -> pd.DataFrame:
-        out = []
-        for lo in range(0, len(htmls), 512):
-            found = [blocks(h) for h in htmls.iloc[lo : lo + 512]]
-            for page, p in zip(found, shared.value.chances([vectors(b) for b in found]), strict=True):
-                out.append(("\n".join(t for (_, t, _), main in zip(page, p > 0.5, strict=True) if main), len(page), int((p > 0.5).sum())))
+        net, out, held, n = shared.value, [], [], 0
+
+        def label():
+            short = [b if len(b) <= BATCH_BLOCKS else [] for b in held]
+            for page, p in zip(held, net.chances([vectors(b) for b in short]), strict=True):
+                main = (net.read(page) if len(page) > BATCH_BLOCKS else p) > 0.5
+                out.append(("\n".join(t for (_, t, _), m in zip(page, main, strict=True) if m), len(page), int(main.sum())))
+            held.clear()
+
+        for html in htmls:
+            held.append(blocks(html))
+            n += len(held[-1])
+            if n >= 4 * BATCH_BLOCKS:
+                label()
+                n = 0
+        label()
         return pd.DataFrame(out, columns=["text", "n_blocks", "n_main"])
 
     found = F.pandas_udf(read, "text string, n_blocks long, n_main long")
