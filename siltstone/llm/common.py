@@ -14,10 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; only where that is unset (tests), one of our own."""
+    """The shared folder named by ``spark.checkpoint.dir``; only where that is unset and Spark runs on this machine alone
+    (tests), one of our own."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-checkpoints-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
@@ -25,10 +28,15 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: lineage is cut and every reader sees the same rows."""
+    """``df`` written as Parquet to the shared folder and read again: lineage is cut and every reader sees the same rows.
+
+    The folder is the session's and goes when its JVM ends, as results may be read from it until then.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -43,6 +51,18 @@ def together(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return df.select(*[F.col(d).alias(c) for c, d in names.items()])
 
 
+def integral(df: DataFrame, col: str) -> bool:
+    return df.schema[col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+
+
+def numbered(df: DataFrame, col: str) -> tuple[DataFrame, DataFrame]:
+    """``df`` with a long ``_n`` in the order of its ids, null where they are, and the table (_id, _n) of these; for ids
+    that are no numbers. ``df`` must not have these names."""
+    ids = df.select(F.col(col).alias("_id")).where("_id is not null").distinct().repartitionByRange("_id").sortWithinPartitions("_id")
+    ids = written(ids.withColumn("_n", F.monotonically_increasing_id()), "ids")
+    return df.join(ids, F.col(col) == F.col("_id"), "left").drop("_id"), ids
+
+
 def fold(id_col: str | F.Column, n: int) -> F.Column:
     """crc32 of the id's text, modulo n."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col

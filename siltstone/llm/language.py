@@ -10,17 +10,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from siltstone.llm.common import apart, fold, together
+from siltstone.llm.common import apart, fold, together, written
 
 WIDTHS = (2, 3, 4, 5)
 FILTERS = 8
 LENGTH = 128
-#: Labelled rows a language that training reads at most, taken in the order of a hash of the id.
-ROWS_A_LANGUAGE = 400
-#: Languages that are learned at most, the most frequent ones.
-MOST_LANGUAGES = 500
-#: Windows that training takes from one labelled text at most, spread over the whole text.
-WINDOWS_A_ROW = 6
+#: Labelled rows that training reads of a language, and of all languages together (each has as many, and 8 at least), in
+#: the order of a hash of the id; and the windows of these that it learns from, drawn by a hash from the whole texts.
+ROWS_A_LANGUAGE, ROWS = 400, 40_000
+WINDOWS_A_LANGUAGE, WINDOWS = 8_000, 64_000
+#: How sure the pipeline's stage must be; of four languages, a score of 0.3.
+SURE = 1 / 15
 _LETTER = re.compile(r"[^\W\d_]")
 _STEP = 256
 
@@ -64,7 +64,7 @@ class ByteCnn:
             out.append(z / z.sum(1, keepdims=True))
         return np.concatenate(out)
 
-    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 8, rate: float = 0.01, batch: int = 64, seed: int = 11) -> None:
+    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 5, rate: float = 0.01, batch: int = 128, seed: int = 11) -> None:
         rng = np.random.default_rng(seed)
         params = [*self.tables, self.bias, self.out, self.out_bias]
         first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
@@ -97,29 +97,38 @@ class ByteCnn:
             rate *= 0.7
 
 
-def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows_a_language: int) -> list:
-    """A bounded, reproducible sample: of each language the rows with the smallest hashed ids among those not held out."""
+def training_windows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows_a_language: int) -> DataFrame:
+    """(l, x): windows of a bounded, reproducible sample of labelled rows that are not held out, in a fixed order."""
+    space = 1 << 30
     known = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where((fold("i", 3) != 1) & F.col("l").isNotNull() & F.col("i").isNotNull() & (F.length("t") > 0))
-    known = known.withColumn("h", F.pmod(F.xxhash64("i"), F.lit(1 << 30)))
-    sizes = known.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(MOST_LANGUAGES)
-    near = known.join(F.broadcast(sizes), "l").where(F.col("h") < F.ceil(F.lit(1 << 30) * 2.0 * rows_a_language / F.col("n")) + (1 << 30) * 64 / F.col("n"))
-    first = near.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h", "i", "t"))).where(F.col("r") <= rows_a_language)
-    # six pieces of the text, spread over its whole length, are all that leaves the executors
-    piece = 2 * LENGTH
-    parts = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS_A_ROW - 1)), lambda k: F.substring(F.col("t"), (k * F.length("t") / WINDOWS_A_ROW).cast("int") + 1, F.lit(piece)))
-    return first.select("l", F.array_distinct(parts).alias("parts")).orderBy("l", "h", "i").collect()
+    known = known.withColumn("h", F.pmod(F.xxhash64("i"), F.lit(space)))
+    sizes = written(known.groupBy("l").agg(F.count("*").alias("n")), "languages")
+    languages = max(1, sizes.count())
+    rows, most = (min(a, max(8, b // languages)) for a, b in ((rows_a_language, ROWS), (WINDOWS_A_LANGUAGE, WINDOWS)))
+    near = known.join(sizes, "l").where(F.col("h") < F.ceil(F.lit(space) * 2.0 * rows / F.col("n")) + space * 64 / F.col("n"))
+    first = near.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h", "i", "t"))).where(F.col("r") <= rows).select("l", "h", "i", "t")
+
+    def cut(batches):
+        for pdf in batches:
+            for lang, h, text in zip(pdf["l"], pdf["h"], pdf["t"], strict=True):
+                if _LETTER.search(text):
+                    x = windows(text)
+                    yield pd.DataFrame({"l": lang, "h": h, "at": np.arange(len(x)), "x": [w.tobytes() for w in x]})
+
+    pieces = first.mapInPandas(cut, "l string, h long, at long, x binary")
+    order = Window.partitionBy("l").orderBy(F.xxhash64("h", "at"), "h", "at", "x")
+    return pieces.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).orderBy("l", "r").select("l", "x")
 
 
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_a_language: int = ROWS_A_LANGUAGE) -> ByteCnn | None:
-    """A network trained on a bounded sample of labelled rows; None where no labelled row has text."""
-    rows = training_rows(docs, id_col, text_col, lang_col, rows_a_language)
-    rows = [(r.l, p) for r in rows for p in r.parts if _LETTER.search(p)]
-    if not rows:
+    """A network trained on a bounded sample of labelled rows; None where no labelled row has letters."""
+    found = training_windows(docs, id_col, text_col, lang_col, rows_a_language).toArrow().to_pandas()
+    if not len(found):
         return None
-    labels = sorted({r[0] for r in rows})
+    labels = sorted(set(found["l"]))
     net = ByteCnn(labels)
-    xs = [windows(p)[:1] for _, p in rows]
-    net.train(np.concatenate(xs), np.array([labels.index(lang) for lang, _ in rows]))
+    x = np.frombuffer(b"".join(found["x"]), np.uint8).reshape(-1, LENGTH)
+    net.train(x, np.searchsorted(labels, found["l"].tolist()))
     return net
 
 
@@ -158,14 +167,15 @@ def predict(docs: DataFrame, net: ByteCnn | None, *, text_col: str = "text") ->
     return out.select(*[F.col(d).alias(c) for c, d in names.items()], "guess.lang_pred", "guess.score")
 
 
-def keep_known(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.3) -> DataFrame:
-    """The documents with a language: those with letters, of which the network is at least that sure.
-
-    Where no row is labelled there is nothing to learn from, and every document stays.
+def keep_known(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sure: float = SURE) -> DataFrame:
+    """The documents with a language: those with letters whose score is at least ``sure`` of the way from a blind guess
+    among the learned languages to certainty. Other rows, of null or empty texts or without letters, go; repeated rows
+    are judged alike. Where no row is labelled there is nothing to learn from, and every document stays.
     """
     net = train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)
     if net is None:
         return docs
+    least = (1 + sure * (len(net.labels) - 1)) / len(net.labels) if len(net.labels) > 1 else 0.0
     own, names = apart(docs)
     found = predict(own, net, text_col=names[text_col])
     return together(found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)), names)

@@ -18,7 +18,7 @@ def op2_license_scan(spark, sf_dir):
 
 def op3_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return language.predict(docs.select("doc_id", "text"), language.train(docs)).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+    return language.predict(docs.select("doc_id", "text"), language.train(docs)).select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op4_nearest_vectors(spark, sf_dir):
