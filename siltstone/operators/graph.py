@@ -2,16 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _checkpoints(df: DataFrame) -> None:
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+from siltstone.sources.tables import checkpoint_root
 
 
 def use_edges(defs: DataFrame, refs: DataFrame) -> DataFrame:
@@ -76,7 +70,7 @@ def pagerank(edges: DataFrame, nodes: DataFrame, *, damping: float = 0.85, round
 
     The edges with their shares are checkpointed once; lineage is cut every few rounds.
     """
-    _checkpoints(edges)
+    checkpoint_root(edges.sparkSession)
     e = edges.select("src", "dst").distinct()
     out = e.groupBy("src").agg(F.count("*").alias("n"))
     shares = e.join(out, "src").select("src", "dst", (1.0 / F.col("n")).alias("share")).checkpoint()
@@ -107,9 +101,9 @@ def strong_components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 1000
     """(node, component): the smallest node of each strongly connected component. Nodes are whole numbers.
 
     Each round the smallest label spreads forwards; going backwards from each label's own node within its colour gives
-    whole components, which are set aside.
+    whole components, which are set aside. Nodes that ``max_rounds`` leave over are an error, never lost.
     """
-    _checkpoints(edges)
+    checkpoint_root(edges.sparkSession)
     left = nodes.select("node").distinct().checkpoint()
     e = edges.select("src", "dst").where("src <> dst").distinct().checkpoint()
     done = None
@@ -133,6 +127,9 @@ def strong_components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 1000
         done = found if done is None else done.unionByName(found)
         left = left.join(found, "node", "left_anti").checkpoint()
         e = e.join(left.withColumnRenamed("node", "src"), "src", "left_semi").join(left.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst").checkpoint()
+    else:
+        if not left.isEmpty():
+            raise RuntimeError(f"strong components did not settle in {max_rounds} rounds")
     return done if done is not None else left.select("node", F.col("node").alias("component"))
 
 

@@ -250,6 +250,6 @@ def row_count(spark, sf_dir):
     return table(spark, sf_dir, "documents").agg(F.lit("rows").alias("name"), F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, text FROM (SELECT doc_id, substr(text, 1, 50) AS text, row_number() OVER (ORDER BY doc_id) AS r FROM documents WHERE lang = 'en') WHERE r <= 64")
+@query("SELECT doc_id, text FROM (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) AS r FROM documents WHERE lang = 'en') WHERE r <= 64")
 def sample_by_id(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("lang = 'en'").orderBy("doc_id").limit(64).select("doc_id", F.substring("text", 1, 50).alias("text"))
+    return table(spark, sf_dir, "documents").where("lang = 'en'").orderBy("doc_id").limit(64).select("doc_id", "text")

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from siltstone.functions.text import quantised_document, quantised_query, tokens
 from siltstone.operators import evaluation, fusion, gating, lexical, vector
 from siltstone.plans.registry import query
-from siltstone.sources.tables import table
+from siltstone.sources.tables import spread, table
 
 _TOK = """doc_tok AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '{p}'))) AS term FROM documents),
 tf AS (SELECT doc_id, term, count(*)::DOUBLE AS tf FROM doc_tok GROUP BY 1, 2),
@@ -27,7 +27,7 @@ def _ranked(weight: str, k: int = 50, pattern: str = _W) -> str:
 
 
 def _tables(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), table(spark, sf_dir, "benchmark")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")), table(spark, sf_dir, "benchmark")
 
 
 @query(_ranked(_BM25))

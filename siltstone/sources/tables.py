@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -18,6 +19,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def checkpoint_root(spark: SparkSession) -> str:
+    """The folder of checkpoints: the one that ``spark.checkpoint.dir`` names; only where that is unset and Spark runs on
+    this machine alone (tests), one of our own."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        root = sc.getConf().get("spark.checkpoint.dir")
+        if not root and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(root or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+    return sc.getCheckpointDir()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer parts than there are cores (a small or unsplittable file) dealt out evenly, for costly expressions
+    on it; any other one as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def scan_parquet(spark: SparkSession, path: str, *, recursive: bool = False, merge: bool = False, schema: T.StructType | str | None = None) -> DataFrame:
     """A Parquet scan; with ``schema``, a typed empty relation where nothing is there to read."""
     reader = spark.read.option("recursiveFileLookup", recursive).option("mergeSchema", merge)
