@@ -9,30 +9,32 @@ of words of limited length, the states' tables) has a fixed bound; counts of rar
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import fold, written
 
 STATES = 6
-ROUNDS = 3
+#: Rounds of Baum-Welch, after so many in which whole texts are assigned to states.
+ROUNDS, START_ROUNDS = 3, 2
 HMM_WORDS = 1 << 14
 TAIL_CLASSES = 1 << 10
-#: The most frequent words, whose counts workers look up by themselves. Longer ones than WORD_BYTES are joined.
+#: The most frequent words, whose counts workers look up by themselves. A word over WORD_BYTES goes by its digest.
 KNOWN_WORDS = 1 << 17
 WORD_BYTES = 48
 #: Weight, in tokens, of the overall distribution in each state's.
 PRIOR = 2000.0
-#: Training documents from which the states start, in the order of a hash of the id, and the characters read of each.
-START_ROWS, START_CHARS = 400, 8000
-#: In training a longer document counts as several sequences, and so many tokens are held at a time.
-TRAIN_LENGTH, TRAIN_TOKENS = 2048, 600_000
+#: Tokens of a chunk: longer texts are cut into chunks that are computed side by side, each from the state in which the
+#: one before leaves it (and to that in which the next begins), so that nothing is lost at a cut. Tokens in work at a time.
+CHUNK, TRAIN_TOKENS = 2048, 600_000
 #: Different words that counting holds at a time, and tokens that scoring does (a longer text is held by itself).
 HELD_WORDS, SCORE_TOKENS = 250_000, 2_000_000
 END = HMM_WORDS + TAIL_CLASSES
@@ -40,8 +42,11 @@ CLASSES = END + 1
 
 
 def tokens(text: str | None) -> list[bytes]:
-    """Words between ASCII white space, with A-Z in lower case."""
-    return (text or "").encode().lower().split()
+    """Words between ASCII white space, with A-Z in lower case; a long one as its digest, which no word equals."""
+    words = (text or "").encode().lower().split()
+    if max(map(len, words), default=0) > WORD_BYTES:
+        words = [w if len(w) <= WORD_BYTES else b"\t" + hashlib.md5(w).digest() for w in words]
+    return words
 
 
 def time_major(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -52,20 +57,27 @@ def time_major(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return active, first, first[step] + np.repeat(np.arange(len(lengths)), lengths)
 
 
-def forward(ids: np.ndarray, lengths: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray, keep: bool = False):
-    """Scaled forward recursion over sequences that lie one after the other; log10 likelihood of each (and its parts)."""
+def _laid(ids: np.ndarray, lengths: np.ndarray):
+    """Sequences by falling length, step after step: their order, active, first and row of ``time_major``, laid ids."""
     order = np.argsort(-lengths, kind="stable")
     parts = np.split(ids, np.cumsum(lengths)[:-1])
-    ids, fall = np.concatenate([parts[i] for i in order]), lengths[order]
-    active, first, row = time_major(fall)
+    active, first, row = time_major(lengths[order])
     laid = np.empty(len(ids), np.int32)
-    laid[row] = ids
+    laid[row] = np.concatenate([parts[i] for i in order])
+    return order, active, first, row, laid
+
+
+def forward(ids: np.ndarray, lengths: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray, keep: bool = False):
+    """Scaled forward recursion over sequences that lie one after the other; log10 likelihood of each (and its parts).
+    ``start`` is one distribution, or a row a sequence."""
+    order, active, first, row, laid = _laid(ids, lengths)
+    fall = lengths[order]
     scale = np.empty(len(ids), emit.dtype)
-    alpha = np.empty((len(ids), len(start)), emit.dtype) if keep else None
+    alpha = np.empty((len(ids), len(move)), emit.dtype) if keep else None
     a = None
     for t, m in enumerate(active):
         lo = first[t]
-        a = (start if a is None else a[:m] @ move) * emit[laid[lo : lo + m]]
+        a = ((start if start.ndim == 1 else start[order]) if a is None else a[:m] @ move) * emit[laid[lo : lo + m]]
         s = a.sum(1)
         a /= s[:, None]
         scale[lo : lo + m] = s
@@ -73,26 +85,83 @@ def forward(ids: np.ndarray, lengths: np.ndarray, start: np.ndarray, move: np.nd
             alpha[lo : lo + m] = a
     logs = np.zeros(len(lengths))
     logs[order] = np.add.reduceat(np.log10(scale[row].astype(np.float64)), np.cumsum(fall) - fall)
-    return (logs, laid, scale, alpha, active, first) if keep else logs
+    return (logs, order, laid, scale, alpha, active, first) if keep else logs
+
 
+def expected(ids: np.ndarray, lengths: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None):
+    """Baum-Welch: expected starts, moves and emissions of the sequences.
 
-def expected(ids: np.ndarray, lengths: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
-    """Baum-Welch: expected starts, moves and emissions of the sequences."""
-    _, laid, scale, alpha, active, first = forward(ids, lengths, start, move, emit, True)
+    For chunks of longer texts, ``before`` is the state distribution that each one follows (NaN where a text begins)
+    and ``after`` the likelihood, by last state, of what follows.
+    """
+    _, order, laid, scale, alpha, active, first = forward(ids, lengths, start, move, emit, True)
+    k = len(move)
+    last = np.ones((len(lengths), k), emit.dtype) if after is None else after[order].astype(emit.dtype)
     moves = np.zeros(move.shape)
     gamma = np.empty_like(alpha)
-    beta = np.ones((active[-1], len(start)), emit.dtype)
+    beta = last[:0]
     for t in range(len(active) - 1, -1, -1):
         lo, m = first[t], active[t]
-        if len(beta) < m:
-            beta = np.concatenate([beta, np.ones((m - len(beta), len(start)), emit.dtype)])
+        if len(beta) < m:  # these end here
+            ends = last[len(beta) : m]
+            beta = np.concatenate([beta, ends / (alpha[lo + len(beta) : lo + m] * ends).sum(1, keepdims=True)])
         gamma[lo : lo + m] = alpha[lo : lo + m] * beta
+        back = beta * emit[laid[lo : lo + m]] / scale[lo : lo + m, None]
         if t:
-            back = beta * emit[laid[lo : lo + m]] / scale[lo : lo + m, None]
             moves += alpha[first[t - 1] : first[t - 1] + m].T @ back
             beta = back @ move.T
-    emits = np.stack([np.bincount(laid, gamma[:, k], CLASSES) for k in range(len(start))])
-    return gamma[: active[0]].sum(0).astype(float), moves * move, emits
+    begins = np.ones(len(order), bool)
+    if before is not None:
+        begins = np.isnan(before[order, 0])
+        moves += before[order][~begins].T @ back[~begins]
+    emits = np.stack([np.bincount(laid, gamma[:, j], CLASSES) for j in range(k)])
+    return gamma[: active[0]][begins].sum(0).astype(float), moves * move, emits
+
+
+def transfers(ids: np.ndarray, lengths: np.ndarray, move: np.ndarray, emit: np.ndarray) -> np.ndarray:
+    """(sequence, state before its first token, state of its last): likelihoods up to a factor a sequence."""
+    order, active, first, _, laid = _laid(ids, lengths)
+    k = len(move)
+    a = np.zeros((len(lengths), k, k), emit.dtype)
+    a[:, range(k), range(k)] = emit[laid[: active[0]]]
+    for t, m in enumerate(active):
+        if t:
+            a[:m] = (a[:m] @ move) * emit[laid[first[t] : first[t] + m], None]
+        a[:m] /= a[:m].sum((1, 2), keepdims=True)
+    out = np.empty_like(a)
+    out[order] = a
+    return out
+
+
+def chunked(seqs: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray, size: int, chunk: int | None = None):
+    """Batches of about ``size`` tokens of chunks of the sequences: (sequence of each chunk, ids, lengths, start rows,
+    before, after), such that ``forward`` and ``expected`` of the chunks sum up to those of whole sequences."""
+    chunk, k = chunk or CHUNK, len(move)
+    parts = [s[lo : lo + chunk] for s in seqs for lo in range(0, len(s), chunk)]
+    owner = np.repeat(np.arange(len(seqs)), [-(-len(s) // chunk) for s in seqs])
+    lengths = np.array([len(p) for p in parts])
+    enter = np.broadcast_to(start, (len(parts), k)).astype(emit.dtype)
+    before, after = np.full((len(parts), k), np.nan, emit.dtype), np.ones((len(parts), k), emit.dtype)
+    several = np.flatnonzero(np.bincount(owner)[owner] > 1)
+    step = max(1, size // chunk)
+    batches = [several[lo : lo + step] for lo in range(0, len(several), step)]
+    through = [m for some in batches for m in transfers(np.concatenate([parts[i] for i in some]), lengths[some], move, emit)]
+    for p, i in enumerate(several):
+        if p and owner[several[p - 1]] == owner[i]:
+            before[i], enter[i] = leave, leave @ move
+        leave = enter[i] @ through[p]
+        leave = leave / leave.sum()
+    for p in range(len(several) - 2, -1, -1):
+        i, j = several[p], several[p + 1]
+        if owner[i] == owner[j]:
+            ahead = move @ (through[p + 1] @ after[j])
+            after[i] = ahead / ahead.sum()
+    lo, held = 0, 0
+    for hi, n in enumerate(lengths, 1):
+        held += n
+        if held >= size or hi == len(parts):
+            yield owner[lo:hi], np.concatenate(parts[lo:hi]), lengths[lo:hi], enter[lo:hi], before[lo:hi], after[lo:hi]
+            lo, held = hi, 0
 
 
 class Vocabulary:
@@ -124,8 +193,8 @@ class Vocabulary:
         """The class sequence of a text, its end included."""
         at = self.find(words) if at is None else at
         out = np.append(self.own[at], np.int32(END))
-        for i in np.flatnonzero(at < 0):
-            out[i] = _tail_class(words[i])
+        rare = np.flatnonzero(at < 0)
+        out[rare] = [HMM_WORDS + zlib.crc32(words[i]) % TAIL_CLASSES for i in rare.tolist()]
         return out
 
 
@@ -133,11 +202,23 @@ def _tail_class(word: bytes) -> int:
     return HMM_WORDS + zlib.crc32(word) % TAIL_CLASSES
 
 
+def _frequent(counts: DataFrame) -> DataFrame:
+    """About KNOWN_WORDS of the most frequent words: those above a count, and of those near it as many by a hash."""
+    step = F.floor(F.log2("c") * 16).cast("int")
+    sizes = counts.groupBy(step.alias("s")).agg(F.count("*").alias("n")).orderBy(F.desc("s")).collect()  # 1,024 rows at most
+    room = KNOWN_WORDS
+    for r in sizes:
+        if r.n > room:
+            share = math.floor(room / r.n * (1 << 30))
+            return counts.where((step > r.s) | ((step == r.s) & (F.pmod(F.xxhash64("w"), F.lit(1 << 30)) < share)))
+        room -= r.n
+    return counts
+
+
 def vocabulary(counts: DataFrame, documents: int) -> Vocabulary:
     """``counts(w, c)`` as far as workers know it."""
     every = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.where(F.octet_length("w") <= WORD_BYTES).orderBy(F.desc("c"), "w").limit(KNOWN_WORDS)
-    words = [(bytes(r.w), r.c) for r in top.collect()]
+    words = sorted(((bytes(r.w), r.c) for r in _frequent(counts).collect()), key=lambda x: (-x[1], x[0]))
     frequent = [(w,) for w, _ in words[:HMM_WORDS]]
     rest = counts.join(F.broadcast(counts.sparkSession.createDataFrame(frequent, "w binary")), "w", "left_anti") if frequent else counts
     tail = rest.groupBy((F.crc32("w") % TAIL_CLASSES).alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()
@@ -161,71 +242,79 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInPandas(run, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
-def _starting(train: DataFrame, vocab: Vocabulary):
-    """States from a bounded sample: documents grouped by their class frequencies."""
-    order = F.xxhash64("doc_id"), F.col("doc_id")
-    rows = train.select("doc_id", F.substring("text", 1, START_CHARS).alias("text")).orderBy(*order).limit(START_ROWS).collect()
-    found = [np.bincount(vocab.classes(tokens(r.text)), minlength=CLASSES) for r in rows]
-    rng = np.random.default_rng(5)
-    emit = np.tile(vocab.prior, (STATES, 1)) * rng.uniform(0.9, 1.1, (STATES, CLASSES))
-    if len(found) >= STATES:
-        x = np.sqrt(np.array(found, np.float32))
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        picks = [int(np.argmax(np.array(found).sum(1)))]
-        while len(picks) < STATES:
-            picks.append(int((x @ x[picks].T).max(1).argmin()))
-        centre = x[picks]
-        for _ in range(8):
-            near = (x @ centre.T).argmax(1)
-            centre = np.stack([x[near == k].mean(0) if (near == k).any() else centre[k] for k in range(STATES)])
-            centre /= np.linalg.norm(centre, axis=1, keepdims=True) + 1e-9
-        for k in range(STATES):
-            emit[k] = np.array(found)[near == k].sum(0) + PRIOR / 4 * emit[k]
-    emit /= emit.sum(1, keepdims=True)
-    move = np.full((STATES, STATES), 0.02 / max(STATES - 1, 1))
-    np.fill_diagonal(move, 0.98)
-    return np.full(STATES, 1 / STATES), move, emit
-
-
-def train(texts: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS):
-    """(start, move, emit) after ``rounds`` of Baum-Welch over every text of ``texts(doc_id, text)``."""
-    start, move, emit = _starting(texts, vocab)
+def _encoded(texts: DataFrame, known) -> DataFrame:
+    """(ids): the class sequence of each text, two bytes a token, written: the rounds read it instead of the texts."""
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"ids": [known.value.classes(tokens(text)).astype(np.uint16).tobytes() for text in pdf["text"]]})
+
+    return written(texts.select("text").mapInPandas(run, "ids binary"), "classes")
+
+
+def _summed(encoded: DataFrame, size: int, add) -> np.ndarray:
+    """(CLASSES + STATES + 1, STATES): what ``add(sums, sequences)`` gathers over every text, emissions by class, moves and
+    starts. Summed in each task before it is shuffled."""
+
+    def run(batches):
+        sums = np.zeros((CLASSES + STATES + 1, STATES))
+        seqs, n = [], 0
+        for pdf in batches:
+            for ids in pdf["ids"]:
+                seqs.append(np.frombuffer(ids, np.uint16))
+                n += len(seqs[-1])
+                if n >= size:
+                    add(sums, seqs)
+                    seqs, n = [], 0
+        if seqs:
+            add(sums, seqs)
+        some = np.flatnonzero(sums.any(1))
+        yield pd.DataFrame({"k": some, **{f"s{j}": sums[some, j] for j in range(STATES)}})
+
+    fields = [f"s{j}" for j in range(STATES)]
+    out = encoded.mapInPandas(run, "k long, " + ", ".join(f"{f} double" for f in fields))
+    out = out.groupBy("k").agg(*[F.sum(f).alias(f) for f in fields]).toPandas().set_index("k")[fields]
+    return out.reindex(range(CLASSES + STATES + 1), fill_value=0.0).to_numpy()
+
+
+def _starting(encoded: DataFrame, vocab: Vocabulary):
+    """States from every text: each one belongs to that of STATES random tilts of the overall distribution under which it
+    is the likeliest, so that texts of the same frequent words come together; then to the nearest of those groups' counts."""
+    emit = np.random.default_rng(5).normal(0, 1, (CLASSES, STATES))
+    for _ in range(START_ROUNDS):
+        logs = encoded.sparkSession.sparkContext.broadcast(np.ascontiguousarray(emit, np.float32))
+
+        def add(sums, seqs, logs=logs):
+            owner = np.cumsum([len(s) for s in seqs])
+            ids = np.concatenate(seqs)
+            state = np.add.reduceat(logs.value[ids], np.r_[0, owner[:-1]], 0, np.float64).argmax(1)
+            for k in range(STATES):
+                sums[:CLASSES, k] += np.bincount(ids[np.repeat(state == k, np.diff(np.r_[0, owner]))], minlength=CLASSES)
+
+        counts = _summed(encoded, TRAIN_TOKENS, add)[:CLASSES] + PRIOR * vocab.prior[:, None]
+        share = counts / counts.sum(0)
+        emit = np.log(share.clip(1e-300) / vocab.prior[:, None].clip(1e-300)).clip(-20, 20)
+    return np.full(STATES, 1 / STATES), np.where(np.eye(STATES) > 0, 0.98, 0.02 / max(STATES - 1, 1)), share.T
+
+
+def train(texts: DataFrame, vocab: Vocabulary, rounds: int | None = None):
+    """(start, move, emit) after ``rounds`` of Baum-Welch over every text of ``texts(text)``. Null and empty texts are
+    their ends; without texts the states are alike."""
     if not vocab.documents:
-        return start, move, emit
+        return np.full(STATES, 1 / STATES), np.full((STATES, STATES), 1 / STATES), np.tile(vocab.prior, (STATES, 1))
     sc = texts.sparkSession.sparkContext
-    known = sc.broadcast(vocab)
-    for _ in range(rounds):
+    encoded = _encoded(texts, sc.broadcast(vocab))
+    start, move, emit = _starting(encoded, vocab)
+    for _ in range(ROUNDS if rounds is None else rounds):
         model = sc.broadcast((start.astype(np.float32), move.astype(np.float32), np.ascontiguousarray(emit.T, np.float32)))
 
-        def run(batches, model=model):
-            vocab, state = known.value, model.value
-            sums = [np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, CLASSES))]
-
-            def add(seqs):
-                got = expected(np.concatenate(seqs), np.array([len(s) for s in seqs]), *state)
-                for total, part in zip(sums, got, strict=True):
-                    total += part
-
-            seqs, n = [], 0
-            for pdf in batches:
-                for text in pdf["text"]:
-                    ids = vocab.classes(tokens(text))
-                    for lo in range(0, len(ids), TRAIN_LENGTH):
-                        seqs.append(ids[lo : lo + TRAIN_LENGTH])
-                        n += len(seqs[-1])
-                    if n >= TRAIN_TOKENS:
-                        add(seqs)
-                        seqs, n = [], 0
-            if seqs:
-                add(seqs)
-            rows = np.concatenate([sums[2].T, sums[1], sums[0][None]])
-            some = np.flatnonzero(rows.any(1))
-            yield pd.DataFrame({"k": some, **{f"s{j}": rows[some, j] for j in range(STATES)}})
-
-        fields = [f"s{j}" for j in range(STATES)]
-        sums = texts.select("text").mapInPandas(run, "k long, " + ", ".join(f"{f} double" for f in fields))
-        sums = sums.groupBy("k").agg(*[F.sum(f).alias(f) for f in fields]).toPandas().set_index("k")[fields]
-        rows = sums.reindex(range(CLASSES + STATES + 1), fill_value=0.0).to_numpy()
+        def add(sums, seqs, model=model):
+            begin, move, emit = model.value
+            for _, ids, lengths, enter, before, after in chunked(seqs, begin, move, emit, TRAIN_TOKENS):
+                starts, moves, emits = expected(ids, lengths, enter, move, emit, before, after)
+                sums += np.concatenate([emits.T, moves, starts[None]])
+
+        rows = _summed(encoded, TRAIN_TOKENS, add)
         emit = rows[:CLASSES].T + PRIOR * vocab.prior
         emit /= emit.sum(1, keepdims=True)
         move = rows[CLASSES : CLASSES + STATES] + 0.1
@@ -255,40 +344,51 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", he
     known, model = sc.broadcast(vocab), sc.broadcast((start, move, np.ascontiguousarray(emit.T)))
     share = math.log10(vocab.total + vocab.distinct + 1)
 
+    names = ["row", "doc_id", "w", "tf", "n_tokens", "n_known", "base_score", "score"]
+
     def run(batches):
         vocab, state = known.value, model.value
         ended = math.log10(vocab.documents + 1)
 
-        def flush(rows, seqs, rare):
-            out = pd.DataFrame(rows, columns=["row", "doc_id", "w", "tf", "n_tokens", "n_known", "base_score", "score"])
-            out["score"] += forward(np.concatenate(seqs), np.array([len(s) for s in seqs]), *state)
-            yield out
-            for lo in range(0, len(rare), 100_000):
-                part = pd.DataFrame(rare[lo : lo + 100_000], columns=["row", "w", "tf"])
-                yield part.assign(doc_id=None, n_tokens=0, n_known=0, base_score=0.0, score=0.0)[list(out.columns)]
-
-        for pdf in batches:
+        def flush(batch, rows, seqs, rare):
+            at, n_known, base, within = map(np.array, zip(*rows, strict=True))
+            for owner, ids, lengths, enter, *_ in chunked(seqs, *state, SCORE_TOKENS):
+                within += np.bincount(owner, forward(ids, lengths, enter, *state[1:]), len(seqs))
+            row = batch.column("row").take(pa.array(at))
+            # no word starts with a space: this key matches no count, and spreads over the tasks of the join
+            key = pa.array([b" %d" % i for i in row.to_pylist()], pa.binary())
+            ones = pa.array(np.ones(len(at), np.int64))
+            cells = [row, batch.column("doc_id").take(pa.array(at)), key, ones, pa.array(np.array([len(s) for s in seqs], np.int64)), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(within)]
+            yield pa.RecordBatch.from_arrays(cells, names)
+            # rare words: a row each, counted by text
+            n = np.array([len(r) for r in rare], np.int64)
+            if n.sum():
+                w, tf = pa.array([w for r in rare for w in r], pa.binary()), pa.array([c for r in rare for c in r.values()], pa.int64())
+                zero, none = pa.array(np.zeros(n.sum(), np.int64)), pa.nulls(n.sum(), batch.column("doc_id").type)
+                cells = [row.take(pa.array(np.repeat(np.arange(len(n)), n))), none, w, tf, zero, zero, zero.cast(pa.float64()), zero.cast(pa.float64())]
+                yield pa.RecordBatch.from_arrays(cells, names)
+
+        for batch in batches:
             rows, seqs, rare, held = [], [], [], 0
-            for row, doc, text in zip(pdf["row"], pdf["doc_id"], pdf["text"], strict=True):
+            for i, text in enumerate(batch.column("text").to_pylist()):
                 words = tokens(text)
                 at = vocab.find(words)
                 ids = vocab.classes(words, at)
                 logs, tail = vocab.logs[at[at >= 0]], ids[:-1] >= HMM_WORDS
                 within = float(vocab.logs[at[at >= HMM_WORDS]].sum()) - float(vocab.room[ids[:-1][tail] - HMM_WORDS].sum())
-                # no word starts with a space: this key matches no count, and spreads over the tasks of the join
-                rows.append((row, doc, b" %d" % row, 1, len(ids), len(logs) + (vocab.documents > 0), float(logs.sum()) + ended - share * len(ids), within))
+                rows.append((i, len(logs) + (vocab.documents > 0), float(logs.sum()) + ended - share * len(ids), within))
                 seqs.append(ids)
-                rare += [(row, w, n) for w, n in Counter(words[i] for i in np.flatnonzero(at < 0)).items()]
+                rare.append(Counter([words[j] for j in np.flatnonzero(at < 0).tolist()]))
                 held += len(ids)
                 if held >= SCORE_TOKENS:
-                    yield from flush(rows, seqs, rare)
+                    yield from flush(batch, rows, seqs, rare)
                     rows, seqs, rare, held = [], [], [], 0
             if rows:
-                yield from flush(rows, seqs, rare)
+                yield from flush(batch, rows, seqs, rare)
 
     numbered = base.withColumn("row", F.monotonically_increasing_id())
     kind = base.schema["doc_id"].dataType.simpleString()
-    parts = numbered.select("row", "doc_id", "text").mapInPandas(run, f"row long, doc_id {kind}, w binary, tf long, n_tokens long, n_known long, base_score double, score double")
+    parts = numbered.select("row", "doc_id", "text").mapInArrow(run, f"row long, doc_id {kind}, w binary, tf long, n_tokens long, n_known long, base_score double, score double")
     parts = parts.join(counts, "w", "left")
     seen = F.coalesce(F.col("tf") * F.log10(F.col("c") + 1), F.lit(0.0))
     sums = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_known") + F.when(F.col("c").isNotNull(), F.col("tf")).otherwise(0)).alias("n_known"), F.sum(F.col("base_score") + seen).alias("base_score"), F.sum(F.col("score") + seen).alias("score"))
