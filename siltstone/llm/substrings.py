@@ -15,16 +15,20 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
-from siltstone.llm.common import written
+from siltstone.llm.common import apart, integral, numbered, together, written
 from siltstone.llm.shingles import mix
 
 LENGTH, ANCHOR = 50, 20
 _PER = LENGTH - ANCHOR + 1
 PACK_BYTES = 1 << 20
+#: Windows that are hashed at a time; strings of frequent anchors that a task remembers to have asked for.
+SLICE, HELD_KEYS = 2 << 20, 1 << 19
 #: Bytes of text behind one bucket of the exchange, which bounds what a task holds.
 BUCKET_BYTES = 16 << 20
 #: Packs whose anchors are counted to find frequent ones, the documents of these that one must occur in, how many are
@@ -45,8 +49,15 @@ def segments(flat: np.ndarray, lens: np.ndarray, frequent: np.ndarray | None = N
     """The segments of a pack: first window, number of windows, document, anchor hash, hash of the whole segment.
 
     A string that ``frequent`` marks is an anchor only of windows that hold no other: the mark depends on the string
-    alone, so equal windows still have equal anchors.
+    alone, so equal windows still have equal anchors. A long pack is worked off in slices of SLICE windows, which cut
+    no window.
     """
+    ends = np.cumsum(lens)
+    found = [_segments(flat[lo : lo + SLICE + LENGTH - 1], lo, ends, frequent) for lo in range(0, max(1, len(flat) - LENGTH + 1), SLICE)]
+    return {k: np.concatenate([f[k] for f in found]) for k in found[0]} if len(found) > 1 else found[0]
+
+
+def _segments(flat: np.ndarray, lo: int, ends: np.ndarray, frequent: np.ndarray | None) -> dict[str, np.ndarray]:
     none = {k: np.zeros(0, t) for k, t in (("start", np.int64), ("n", np.int64), ("doc", np.int64), ("anchor", np.uint64), ("whole", np.uint64), ("mark", np.int64))}
     if len(flat) < LENGTH:
         return none
@@ -69,9 +80,9 @@ def segments(flat: np.ndarray, lens: np.ndarray, frequent: np.ndarray | None = N
         width *= 2
     least = np.minimum(least[: len(least) - (_PER - width)], least[_PER - width :])
     at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    ends = np.cumsum(lens)
-    doc = np.repeat(np.arange(len(lens)), lens)[: len(at)]
-    ok = np.arange(len(at)) + LENGTH <= ends[doc]
+    low, high = np.searchsorted(ends, (lo, lo + len(at) - 1), "right")
+    doc = np.repeat(np.arange(low, high + 1), np.diff(np.minimum(ends[low : high + 1], lo + len(at)), prepend=lo))
+    ok = np.arange(lo + LENGTH, lo + LENGTH + len(at)) <= np.repeat(ends[low : high + 1], np.bincount(doc - low, minlength=high + 1 - low))
     turn = np.ones(len(at), bool)
     turn[1:] = (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])
     turn |= ~ok
@@ -87,7 +98,7 @@ def segments(flat: np.ndarray, lens: np.ndarray, frequent: np.ndarray | None = N
         return x * _power(2) + h2[i + 48]
 
     whole = mix(mix(window(first)) * np.uint64(_ODD) + window(first + n - 1) + n.astype(np.uint64))
-    return {"start": first, "n": n, "doc": doc[first], "anchor": mix(anchor[at[first]] + np.uint64(1)), "whole": whole, "mark": (anchor[at[first]] >> np.uint64(64 - MARK_BITS)).astype(np.int64)}
+    return {"start": first + lo, "n": n, "doc": doc[first], "anchor": mix(anchor[at[first]] + np.uint64(1)), "whole": whole, "mark": (anchor[at[first]] >> np.uint64(64 - MARK_BITS)).astype(np.int64)}
 
 
 def entries(found: dict[str, np.ndarray], buckets: int) -> dict[str, np.ndarray]:
@@ -105,28 +116,35 @@ def entries(found: dict[str, np.ndarray], buckets: int) -> dict[str, np.ndarray]
 def _pack(docs: DataFrame) -> DataFrame:
     """Packs of whole documents in the order of doc_id; pack numbers follow that order. Rows of one id stay together.
 
-    What else a row carries is a line of JSON each.
+    What else a row carries, ``more``, goes along in its own types.
     """
+    kind = docs.schema["more"].dataType
 
     def run(batches):
         part, seq, ids, raws, more, size = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def row():
-            return pd.DataFrame({"pack": [(part << 32) | seq], "ids": [np.array(ids, np.int64).tobytes()], "lens": [np.array([len(r) for r in raws], np.int64).tobytes()], "blob": [b"".join(raws)], "more": ["\n".join(more)]})
-
-        for pdf in batches:
-            for i, text, rest in zip(pdf["doc_id"], pdf["text"], pdf["more"], strict=True):
+            lens = np.array([len(r) for r in raws], np.int64)
+            whole = pa.concat_arrays(more)
+            cells = [pa.array([(part << 32) | seq]), *(pa.array([x], pa.binary()) for x in (np.array(ids, np.int64).tobytes(), lens.tobytes(), b"".join(raws)))]
+            return pa.RecordBatch.from_arrays([*cells, pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), whole)], ["pack", "ids", "lens", "blob", "more"])
+
+        for batch in batches:
+            rest, first = batch.column("more"), 0
+            for at, (i, raw) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True)):
                 if size >= PACK_BYTES and i != ids[-1]:
+                    more.append(rest.slice(first, at - first))
                     yield row()
-                    seq, ids, raws, more, size = seq + 1, [], [], [], 0
+                    seq, ids, raws, more, size, first = seq + 1, [], [], [], 0, at
                 ids.append(i)
-                raws.append((text or "").encode())
-                more.append(rest)
+                raws.append(raw or b"")
                 size += len(raws[-1]) + 16
+            more.append(rest.slice(first))
         if ids:
             yield row()
 
-    return docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInPandas(run, "pack long, ids binary, lens binary, blob binary, more string")
+    fields = [StructField("pack", LongType()), *(StructField(c, BinaryType()) for c in ("ids", "lens", "blob")), StructField("more", ArrayType(kind))]
+    return docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(run, StructType(fields))
 
 
 def _frequent(packs: DataFrame) -> np.ndarray:
@@ -149,6 +167,7 @@ def _frequent(packs: DataFrame) -> np.ndarray:
 
 
 def _opened(row, buckets: int, frequent: np.ndarray):
+    """Bytes, ids, lengths, segments and entries of a pack."""
     flat = np.frombuffer(row.blob, np.uint8)
     ids, lens = np.frombuffer(row.ids, np.int64), np.frombuffer(row.lens, np.int64)
     found = segments(flat, lens, frequent)
@@ -156,22 +175,40 @@ def _opened(row, buckets: int, frequent: np.ndarray):
 
 
 def _asks(packs: DataFrame, buckets: int, shared) -> DataFrame:
-    """(bucket, pack, keys): the hashes of the pack's entries in that bucket, 3 bytes of the anchor and 6 of the segment."""
+    """(task, bucket, pack, keys, known): the hashes of the pack's entries in that bucket, 3 bytes of the anchor and 6 of
+    the segment.
+
+    A string of a frequent anchor is asked for once a task: where an earlier pack of the task has it, its entry is only
+    marked as known. A bucket of which all is known needs no answer; its row goes to any task.
+    """
 
     def run(batches):
+        held: dict[tuple[int, int], int] = {}
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 _, _, _, found, own = _opened(row, buckets, shared.value)
-                if not len(own["first"]):
+                first = own["first"]
+                if not len(first):
                     continue
-                keys = np.empty((len(own["first"]), 9), np.uint8)
-                keys[:, :3] = found["anchor"][own["first"]].astype(">u8").view(np.uint8).reshape(-1, 8)[:, :3]
-                keys[:, 3:] = found["whole"][own["first"]].astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6]
+                keys = np.empty((len(first), 9), np.uint8)
+                keys[:, :3] = found["anchor"][first].astype(">u8").view(np.uint8).reshape(-1, 8)[:, :3]
+                keys[:, 3:] = found["whole"][first].astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6]
+                known = np.zeros(len(first), bool)
+                hot = np.flatnonzero(shared.value[found["mark"][first]])
+                for j, *key in zip(hot.tolist(), found["anchor"][first[hot]].tolist(), found["whole"][first[hot]].tolist(), strict=True):
+                    seen = held.get(tuple(key))
+                    if seen is None and len(held) < HELD_KEYS:
+                        held[tuple(key)] = row.pack
+                    known[j] = seen is not None and seen < row.pack
                 cut = np.flatnonzero(np.diff(own["bucket"])) + 1
                 edges = [0, *cut.tolist(), len(keys)]
-                yield pd.DataFrame({"bucket": own["bucket"][edges[:-1]], "pack": row.pack, "keys": [keys[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)]})
+                spans = list(zip(edges, edges[1:], strict=False))
+                bucket = own["bucket"][edges[:-1]]
+                whole = np.logical_and.reduceat(known, edges[:-1])
+                marks = [known[a:b].tobytes() if known[a:b].any() else None for a, b in spans]
+                yield pd.DataFrame({"task": np.where(whole, -1 - row.pack % buckets, bucket), "bucket": bucket, "pack": row.pack, "keys": [keys[a:b][~known[a:b]].tobytes() for a, b in spans], "known": marks})
 
-    return packs.mapInPandas(run, "bucket long, pack long, keys binary")
+    return packs.select("pack", "ids", "lens", "blob").mapInPandas(run, "task long, bucket long, pack long, keys binary, known binary")
 
 
 def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -192,7 +229,14 @@ def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
     status = np.empty(len(a), np.uint8)
     status[order] = np.where(same, 1, np.where(several, 2, 0))
     edges = np.concatenate(([0], np.cumsum(sizes)))
-    out = pdf[["bucket", "pack"]].assign(status=[status[i:j].tobytes() for i, j in zip(edges, edges[1:], strict=False)])
+    said = []
+    for i, j, known in zip(edges, edges[1:], pdf["known"], strict=False):
+        own = status[i:j]
+        if known is not None:
+            own = np.frombuffer(known, np.uint8).copy()
+            own[own == 0] = status[i:j]
+        said.append(own.tobytes())
+    out = pdf[["bucket", "pack"]].assign(status=said)
     return out[[any(s) for s in out["status"]]]
 
 
@@ -207,11 +251,12 @@ def _status(own: dict[str, np.ndarray], said) -> np.ndarray:
 
 
 def _open_segments(joined: DataFrame, buckets: int, shared) -> DataFrame:
-    """The bytes of the entries that meet other segments of their anchor."""
+    """The bytes of the entries that meet other segments of their anchor. Takes all of ``joined``, so that its exchange is
+    the one that the cut reads again."""
 
     def run(batches):
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
+        for batch in batches:
+            for row in batch.drop_columns(["more"]).to_pandas().itertuples(index=False):
                 if row.said is None:
                     continue
                 flat, ids, _, found, own = _opened(row, buckets, shared.value)
@@ -219,9 +264,11 @@ def _open_segments(joined: DataFrame, buckets: int, shared) -> DataFrame:
                 if len(left):
                     k = own["first"][left]
                     start, stop = found["start"][k], found["start"][k] + found["n"][k] + LENGTH - 1
-                    yield pd.DataFrame({"bucket": (found["anchor"][k] % np.uint64(buckets * FINER)).astype(np.int64), "pack": row.pack, "entry": left, "doc": ids[found["doc"][k]], "seg": [flat[i:j].tobytes() for i, j in zip(start, stop, strict=True)]})
+                    cells = (found["anchor"][k] % np.uint64(buckets * FINER)).astype(np.int64), np.full(len(left), row.pack), left, ids[found["doc"][k]]
+                    seg = pa.array([flat[i:j].tobytes() for i, j in zip(start, stop, strict=True)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, cells), seg], ["bucket", "pack", "entry", "doc", "seg"])
 
-    return joined.mapInPandas(run, "bucket long, pack long, entry long, doc long, seg binary")
+    return joined.mapInArrow(run, "bucket long, pack long, entry long, doc long, seg binary")
 
 
 def previous_factors(docs: np.ndarray, lcp: np.ndarray) -> np.ndarray:
@@ -273,7 +320,7 @@ def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
 def _covered(row, buckets: int, frequent: np.ndarray):
     """Which bytes of the pack are covered."""
     flat, ids, lens, found, own = _opened(row, buckets, frequent)
-    edge = np.zeros(len(flat) + 1, np.int64)
+    edge = np.zeros(len(flat) + 1, np.int32)
     if len(own["first"]):
         status = _status(own, row.said)
         mask = np.zeros(len(status), np.int64)
@@ -289,58 +336,68 @@ def _covered(row, buckets: int, frequent: np.ndarray):
             at = found["start"][some[(mask[e[some]] >> j) & 1 == 1]] + j
             np.add.at(edge, at, 1)
             np.add.at(edge, at + LENGTH, -1)
-    return flat, ids, lens, np.cumsum(edge[:-1]) > 0
+    return flat, ids, lens, np.cumsum(edge[:-1], dtype=np.int32) > 0
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Per document row: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     With ``carry``, also text, what is left (characters that a cut splits are dropped), and rest, a struct of those
-    columns of ``docs``. A null text is empty, a text under 50 bytes keeps all; a null id takes no part and keeps its
-    text. Rows that repeat an id are one document's: none is earlier than another. Other columns are ignored; an
-    empty table gives none.
+    columns of ``docs`` in their own types. A null text is empty, a text under 50 bytes keeps all; a null id takes no
+    part and keeps its text. Ids are numbers, or strings (earlier by their order). Rows that repeat an id are one
+    document's: none is earlier than another, and they are packed together. Other columns are ignored; an empty table
+    gives none.
     """
-    more = F.to_json(F.struct(*[docs[c] for c in carry])) if carry else F.lit("{}")
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), more.alias("more"))
+    more = F.struct(*[docs[c] for c in carry]) if carry else F.struct(F.lit(True).alias("none"))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), more.alias("more"))
+    ids = None
+    if integral(docs, id_col):
+        base = base.withColumn("doc_id", F.col("doc_id").cast("long"))
+    else:
+        base, ids = numbered(base, "doc_id")
+        base = base.select(F.col("_n").alias("doc_id"), "text", "more")
     packs = written(_pack(base.where("doc_id is not null")), "packs")
     total = packs.agg(F.sum(F.octet_length("blob"))).first()[0] or 0
     buckets = max(8, math.ceil(total / BUCKET_BYTES))
     shared = docs.sparkSession.sparkContext.broadcast(_frequent(packs))
-    answers = _asks(packs, buckets, shared).groupBy("bucket").applyInPandas(_answer, "bucket long, pack long, status binary")
+    answers = _asks(packs, buckets, shared).groupBy("task").applyInPandas(_answer, "bucket long, pack long, status binary")
     said = written(answers.groupBy("pack").agg(F.collect_list(F.struct("bucket", "status")).alias("said")), "answers")
     joined = packs.join(said, "pack", "left")
     masks = _open_segments(joined, buckets, shared).groupBy("bucket").applyInPandas(_compare, "pack long, entry long, mask long")
     masks = masks.groupBy("pack").agg(F.collect_list(F.struct("entry", "mask")).alias("masks"))
-    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "more"]
 
     def cut(batches):
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
+        for batch in batches:
+            rest = batch.column("more")
+            for at, row in enumerate(batch.drop_columns(["more"]).to_pandas().itertuples(index=False)):
                 flat, ids, lens, gone = _covered(row, buckets, shared.value)
                 out, lo = [], 0
-                for i, n, rest in zip(ids.tolist(), lens.tolist(), row.more.split("\n"), strict=True):
+                for i, n in zip(ids.tolist(), lens.tolist(), strict=True):
                     g = gone[lo : lo + n]
                     kept = flat[lo : lo + n][~g].tobytes()
                     spans = int(np.count_nonzero(g[1:] & ~g[:-1]) + (n > 0 and g[0]))
-                    out.append((i, n, int(g.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if carry else None, rest if carry else None))
+                    out.append((i, n, int(g.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if carry else None))
                     lo += n
-                yield pd.DataFrame(out, columns=columns)
+                cells = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(),) * 4 + (pa.string(),) * 2, strict=True)]
+                yield pa.RecordBatch.from_arrays([*cells, rest[at].values], columns)
 
-    out = joined.join(masks, "pack", "left").mapInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string, more string")
+    kind = base.schema["more"].dataType
+    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "rest"]
+    fields = [*(StructField(c, LongType()) for c in columns[:4]), *(StructField(c, StringType()) for c in columns[4:6]), StructField("rest", kind)]
+    out = joined.join(masks, "pack", "left").mapInArrow(cut, StructType(fields))
     raw = F.encode("text", "UTF-8")
     none = F.lit(0).cast("long")
-    out = out.unionByName(base.where("doc_id is null").select("doc_id", F.octet_length(raw).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(raw, 256).alias("kept_sha256"), "text", "more"))
-    if not carry:
-        return out.drop("text", "more")
-    kind = docs.select(*carry).schema
-    return out.withColumn("more", F.from_json("more", kind)).withColumnRenamed("more", "rest")
+    out = out.unionByName(base.where("doc_id is null").select("doc_id", F.octet_length(raw).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(raw, 256).alias("kept_sha256"), "text", F.col("more").alias("rest")))
+    if ids is not None:
+        out = out.join(ids.withColumnRenamed("_n", "doc_id"), "doc_id", "left").select(F.col("_id").alias("doc_id"), *columns[1:])
+    return out if carry else out.drop("text", "rest")
 
 
 def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with repeats cut out of their texts; one that nothing is left of goes. Columns are as in ``docs``."""
-    carry = [c for c in docs.columns if c not in (id_col, text_col)]
-    out = remove_repeats(docs, id_col=id_col, text_col=text_col, carry=carry or [id_col])
+    """The documents with repeats cut out of their texts; one that nothing is left of goes. Columns are as in ``docs``, with
+    their values and types; a null text that stays is empty."""
+    own, names = apart(docs)
+    id_, text = names[id_col], names[text_col]
+    out = remove_repeats(own, id_col=id_, text_col=text, carry=[c for c in own.columns if c != text])
     out = out.where((F.col("n_removed") == 0) | (F.trim(F.regexp_replace("text", "\\s+", " ")) != ""))
-    kind = {f.name: f.dataType for f in docs.schema.fields}
-    own = {id_col: F.col("doc_id").cast(kind[id_col]), text_col: F.col("text")}
-    return out.select(*[own.get(c, F.col("rest").getField(c)).alias(c) for c in docs.columns])
+    return together(out.select(*[(F.col("text") if c == text else F.col("rest").getField(c)).alias(c) for c in own.columns]), names)

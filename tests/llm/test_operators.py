@@ -1,10 +1,13 @@
 """Each operator against a brute-force version, on odd rows as on plain ones."""
 
 import collections
+import datetime
+import decimal
 import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -84,6 +87,49 @@ def test_cut_repeats_keeps_columns(docs):
     assert by[20].text.startswith("one ") and "passage" in by[20].text and "passage" not in by[21].text
 
 
+def test_cut_repeats_keeps_types_and_string_ids(spark):
+    shared = "this passage of more than fifty bytes is found in many documents of the table"
+    rows = [(f"d{i}", f"text {i} {shared} and {i}", datetime.datetime(2024, 1, 1, 0, 0, 0, 123456), {i: "x"}, decimal.Decimal("1.10"), [i], b"\0\xff", datetime.date(2024, 2, 3), None) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, at timestamp, m map<int,string>, d decimal(10,2), rest array<long>, more binary, day date, pack struct<a:int>").repartition(3)
+    got = substrings.cut_repeats(df)
+    assert got.dtypes == df.dtypes
+    by = {r.doc_id: r for r in got.collect()}
+    assert len(by) == 20
+    for r in rows:
+        g = by[r[0]]
+        assert (g["at"], g["m"], g["d"], g["rest"], bytes(g["more"]), g["day"], g["pack"]) == r[2:]
+        assert (shared in g.text) == (r[0] == "d0")  # d0 is the first in the order of strings
+    found = {r.doc_id: r for r in substrings.remove_repeats(df).collect()}
+    want = brute_substrings([(i, t) for i, (_, t) in enumerate(sorted((r[0], r[1]) for r in rows))])
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for _, r in sorted(found.items())] == [w[1:] for w in want]
+
+
+def test_long_packs_in_slices(monkeypatch):
+    rng = np.random.default_rng(8)
+    lens = np.array([700, 0, 30, 4000, 50, 49, 900])
+    flat = rng.integers(97, 100, lens.sum()).astype(np.uint8)
+    whole = substrings.segments(flat, lens)
+    monkeypatch.setattr(substrings, "SLICE", 257)
+    cut = substrings.segments(flat, lens)
+    windows = lambda f: sorted((int(s) + j, int(a), int(d)) for s, n, a, d in zip(f["start"], f["n"], f["anchor"], f["doc"]) for j in range(n))
+    assert windows(cut) == windows(whole) and len(windows(whole)) == sum(max(0, n - 49) for n in lens)
+
+
+def test_a_very_long_text(spark):
+    words = " ".join(f"w{i * 7919 % 400_009}" for i in range(1_200_000))
+    docs = spark.createDataFrame([(1, words), (2, "short one " + words[5_000_000:5_000_400]), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in substrings.remove_repeats(docs).collect()}
+    assert len(words) > 8_000_000 and got[1].n_removed == 0 and got[2].n_removed >= 400 and got[2].n_spans == 1 and got[3].n_bytes == 0
+
+
+def test_frequent_strings_are_asked_for_once_a_task(spark, monkeypatch):
+    rule = "-" * 300
+    texts = [(i, f"{i} {rule}\n{i * 31} x {rule} {i}") for i in range(200)]
+    monkeypatch.setattr(substrings, "PACK_BYTES", 800)
+    got = substrings.remove_repeats(spark.createDataFrame(rows_of(texts), DOCS).coalesce(1))
+    assert collections.Counter(map(tuple, got.collect())) == collections.Counter(brute_substrings(texts))
+
+
 def test_previous_factors():
     texts = ["banana", "ananas", "nab", "banana"]
     suffixes = sorted((t[i:], d) for d, t in enumerate(texts) for i in range(len(t)))
@@ -149,6 +195,36 @@ def test_language(spark, empty):
     assert kept.dtypes == docs.dtypes and {900, 901, 902}.isdisjoint(r.doc_id for r in kept.collect()) and kept.count() == 302
 
 
+def test_language_network_against_plain_loops():
+    net = language.ByteCnn(["a", "b", "c"], seed=2)
+    x = np.random.default_rng(3).integers(0, 256, (5, language.LENGTH)).astype(np.uint8)
+    got = net.probabilities(x)
+    for row, p in zip(x, got):
+        h = []
+        for table, bias in zip(net.tables, net.bias):
+            sums = [sum(table[j, row[i + j]] for j in range(len(table))) for i in range(language.LENGTH - len(table) + 1)]
+            h += [max(0.0, max(s[f] for s in sums) + bias[f]) for f in range(language.FILTERS)]
+        z = np.array(h) @ net.out + net.out_bias
+        assert np.abs(np.exp(z) / np.exp(z).sum() - p).max() < 1e-5
+
+
+def test_language_learns_from_whole_texts_and_all_labels(spark):
+    """A language beyond 500 others is learned, and one that only shows late in its texts."""
+    rng = random.Random(6)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(5))
+    late = [(i, " ".join([word("bcdfg") for _ in range(300)] + [word("éàüñ") for _ in range(300)]), "late") for i in range(0, 60)]
+    early = [(i, " ".join(word("bcdfg") for _ in range(600)), "early") for i in range(60, 120)]
+    docs = spark.createDataFrame(late + early, "doc_id long, text string, lang string")
+    found = language.training_windows(docs, "doc_id", "text", "lang", 400).toPandas()
+    assert found.l.value_counts()["late"] > 60 * 600 * 6 / 128 / 2 and len(set(found.x)) > 0.9 * len(found)
+    rare = [(1000 + i, f"{word('xyzvw')} " * 30, f"rare{i % 600}") for i in range(3000)]
+    found = language.training_windows(docs.unionByName(spark.createDataFrame(rare, docs.schema)), "doc_id", "text", "lang", 400)
+    assert found.select("l").distinct().count() > 590 and found.count() < 2 * language.WINDOWS
+    net = language.train(docs)
+    got = language.predict(spark.createDataFrame([(1, " ".join(word("éàüñ") for _ in range(50)))], "doc_id long, text string"), net).first()
+    assert got.lang_pred == "late"
+
+
 # --- nearest neighbours
 
 
@@ -234,6 +310,34 @@ def test_raking_meets_marginals(spark):
     assert abs((p.c * p.p).sum() - 0.6 * 105) < 1e-6 and p.p.between(0, 1).all()
 
 
+def test_raking_odd_cells(spark):
+    kind = "source string, lang string, topic string, c double"
+    rows = [("a", "x", "t", 10.0), ("a", "x", "t", 10.0), (None, "x", "t", 30.0), ("unknown", "y", None, None), ("b", "y", "t", -3.0), ("b", "x", "u", 0.0), ("c", "z", "u", 5.0)]
+    got = mixing.rake(spark.createDataFrame(rows, kind), {"source": {"a": 0.6, "unknown": 0.4}}, 40).toPandas()
+    by = got.groupby("source").w.sum()
+    assert len(got) == 7 and by["c"] == by["b"] == 0 and got[got.source == "a"].w.nunique() == 1 and (got.w >= 0).all()
+    assert mixing.rake(spark.createDataFrame([], kind)).count() == 0 and mixing.calibrate(mixing.rake(spark.createDataFrame([], kind))).count() == 0
+    assert mixing.rake(spark.createDataFrame([("a", "x", "t", 0.0)], kind)).first().w == 0
+
+
+def test_calibration_equals_the_sorted_sums(spark):
+    rng = random.Random(4)
+    cells = [(f"s{i}", "l", "t", rng.choice([5.0, rng.random() * 100]), rng.choice([0.0, 7.0, rng.random() * 300])) for i in range(40)]
+    df = spark.createDataFrame(cells, "source string, lang string, topic string, c double, w double")
+    for budget in (0.05, 0.6, 0.9, 1.0, 2.0):
+        order = sorted(cells, key=lambda x: -x[4] / x[3])
+        scale = None
+        for n in range(len(order)):
+            left = sum(x[4] for x in order[n:])
+            s = (budget * sum(x[3] for x in cells) - sum(x[3] for x in order[:n])) / left if left else None
+            if s is not None and s * order[n][4] / order[n][3] <= 1:
+                scale = s
+                break
+        want = {x[0]: 0.0 if x[4] == 0 else 1.0 if scale is None else min(1.0, scale * x[4] / x[3]) for x in cells}
+        for r in mixing.calibrate(df, budget).collect():
+            assert abs(r.p - want[r.source]) < 1e-9, (budget, r)
+
+
 def test_sampling(docs, empty):
     got = mixing.weigh(docs).collect()
     assert len(got) == docs.count()
@@ -299,6 +403,21 @@ def test_near_duplicates(spark, docs, empty, small, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(i for i, (_, c) in want.items() if i == c)
 
 
+def test_near_duplicates_with_string_ids(spark):
+    texts = [(i, t) for i, t in odd_texts() if i != -1]
+    df = spark.createDataFrame([(f"k{i:04}", t, 1) for i, t in texts], "doc_id string, text string, _n long")
+    want = brute_classes(texts)
+    got = neardup.classes(df).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == sorted((f"k{i:04}", want[i][0], f"k{want[i][1]:04}", want[i][1] == i) for i, _ in texts)
+    assert {r.doc_id for r in neardup.keep_first(df).collect()} == {f"k{i:04}" for i, (_, c) in want.items() if i == c}
+
+
+def test_near_duplicates_of_long_texts(spark):
+    words = [f"w{i}" for i in range(300_000)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:290_000])), (3, " ".join(words[:200_000]))], "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.classes(docs).collect()} == {1: (299_996, 1), 2: (289_996, 1), 3: (199_996, 3)}
+
+
 def test_registers_merge_and_estimate():
     rng = np.random.default_rng(2)
     a = np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64) * 2)
@@ -366,6 +485,61 @@ def test_forward_is_exact_and_training_climbs():
         before = after
 
 
+def test_chunks_sum_up_to_whole_texts():
+    rng = np.random.default_rng(9)
+    k, m = 4, 11
+    start, move, emit = rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), np.ascontiguousarray(rng.dirichlet(np.ones(m), k).T)
+    seqs = [rng.integers(0, m, size).astype(np.int32) for size in (1, 40, 7, 8, 23, 2)]
+    ids, lengths = np.concatenate(seqs), np.array([len(s) for s in seqs])
+    logs, sums, n = np.zeros(len(seqs)), None, 0
+    for owner, *part in hmm.chunked(seqs, start, move, emit, 20, 7):
+        logs += np.bincount(owner, hmm.forward(part[0], part[1], part[2], move, emit), len(seqs))
+        got = hmm.expected(*part[:3], move, emit, *part[3:])
+        sums = got if sums is None else [a + b for a, b in zip(sums, got)]
+        n += 1
+    assert n > 2 and np.abs(logs - hmm.forward(ids, lengths, start, move, emit)).max() < 1e-9
+    for a, b in zip(sums, hmm.expected(ids, lengths, start, move, emit)):
+        assert np.abs(a - b).max() < 1e-9
+
+
+def test_hmm_score_is_a_probability(spark, monkeypatch):
+    """score() against a plain forward pass with the same trained states, and sums to one over all one-word texts."""
+    monkeypatch.setattr(hmm, "KNOWN_WORDS", hmm.HMM_WORDS + 500)  # of about 30,000 words: the others are joined
+    rng = random.Random(12)
+    long_ = "=" * 60
+    common = ["a", "b", "c", "d", long_]
+    texts = [(i, " ".join(rng.choice(common) if rng.random() < 0.2 else f"r{rng.randint(0, 60_000)}" for _ in range(rng.choice([1, 9, 600])))) for i in range(280)]
+    texts.append((280, " ".join(rng.choice([*common, f"r{i}"]) for i in range(5000))))
+    learn = [t for i, t in texts if zlib.crc32(str(i).encode()) % 7 != 2]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    kept = {}
+    train, vocabulary = hmm.train, hmm.vocabulary
+    monkeypatch.setattr(hmm, "train", lambda *a: kept.setdefault("state", train(*a)))
+    monkeypatch.setattr(hmm, "vocabulary", lambda *a: kept.setdefault("words", vocabulary(*a)))
+    got = {r.doc_id: r for r in hmm.score(docs).collect()}
+    start, move, emit = kept["state"]
+    assert np.abs(emit.sum(1) - 1).max() < 1e-9 and np.abs(move.sum(1) - 1).max() < 1e-9
+    count = collections.Counter(w for t in learn for w in hmm.tokens(t))
+    top = {w: k for k, w in enumerate(list(kept["words"].index)[: hmm.HMM_WORDS])}
+    assert len(count) > len(kept["words"].index) > len(top) == hmm.HMM_WORDS and min(count[w] for w in top) >= max(c for w, c in count.items() if w not in top)
+    room = collections.Counter()
+    for w, c in count.items():
+        if w not in top:
+            room[zlib.crc32(w) % hmm.TAIL_CLASSES] += c + 1
+    for i, t in texts:
+        a, log = start, 0.0
+        for n, w in enumerate([*hmm.tokens(t), None]):
+            tail = None if w is None or w in top else zlib.crc32(w) % hmm.TAIL_CLASSES
+            cls = hmm.END if w is None else top[w] if tail is None else hmm.HMM_WORDS + tail
+            a = (a if n == 0 else a @ move) * emit[:, cls]
+            if tail is not None:
+                log += math.log10((count[w] + 1) / (room[tail] + 1))
+            log += math.log10(a.sum())
+            a = a / a.sum()
+        assert abs(got[i].score - log) < 1e-6 * abs(log), i
+    assert got[0].n_tokens == len(texts[0][1].split()) + 1 and hmm.tokens(long_)[0] != long_.encode() and len(hmm.tokens(long_)[0]) == 17
+
+
 # --- urls
 
 
@@ -489,6 +663,66 @@ def test_html_keeps_text_after_custom_and_empty_elements():
     assert said("<p>A</p><svg width=1><text>no</text></svg><script>no</script\n><STYLE >no</STYLE><p>b</p>") == ["A", "b"]
 
 
+def test_html_long_and_broken_pages(spark):
+    net = html.train()
+    page = html.blocks("<article>" + "".join(f"<p>Sentence number {i}, which goes on.</p><nav><li><a>x</a></li></nav>" for i in range(6000)) + "</article>")
+    assert len(page) > html.BATCH_BLOCKS
+    assert np.abs(net.read(page) - net.chances([html.vectors(page)])[0]).max() < 1e-4
+    began = time.time()
+    for bad in ("<p class=\"x>a ", "<a \">\" ", "<a ", "<a \"'> ", "<div>x", "<b>y</i>", "<script>", "<!-- "):
+        said = html.blocks("<article><p>First.</p>" + bad * (1_000_000 // len(bad)))
+        assert said[0][1] == "First."
+    assert time.time() - began < 30
+    assert sum(t.count("x") for _, t, _ in html.blocks("<div>x" * 5000)) == 5000  # no text is lost at any depth
+    long_ = "<html><body><article>" + "".join(f"<p>Long text {i} of a page.</p>" for i in range(2000)) + "</article><nav><ul><li><a href=x>Menu</a></li></ul></nav></body></html>"
+    pages = spark.createDataFrame([(i, "u", long_) for i in range(3)] + [(9, "u", None), (10, "u", "")], "page_id long, url string, html string")
+    runs = html._sampled(pages, "page_id", "html").collect()
+    assert len(runs) == 24 and {len(r.y) for r in runs} == {256, 2001 - 7 * 256}
+    assert html._sampled(pages.limit(0), "page_id", "html").count() == 0
+
+
+#: Pages of three sites, written by hand, and the text that a reader would take from each.
+HAND = [
+    (
+        """<!doctype html><html lang="en"><head><title>Kiln diary</title><style>p{margin:0}</style></head><body>
+        <header class="masthead"><a href="/">Potters' Yard</a><nav><ul><li><a href="/a">Glazes</a></li><li><a href="/b">Clay</a></li></ul></nav></header>
+        <div class="cookie-banner"><p>We use cookies to improve this site.</p><button>Accept</button></div>
+        <article><h1>A slow firing</h1><p>The kiln took nine hours to reach its top heat, and we let it cool for two days.</p>
+        <p>Nothing cracked. The blue came out darker than on the test tiles &mdash; about two shades.</p>
+        <aside class="related"><h3>Related</h3><ul><li><a href="/c">Test tiles</a></li></ul></aside>
+        <p>Next week we try the same glaze on stoneware.</p></article>
+        <section class="comments"><h2>Comments</h2><div class="comment"><p>Lovely blue!</p></div></section>
+        <footer><p>&copy; Potters' Yard. All rights reserved.</p></footer></body></html>""",
+        ["A slow firing", "The kiln took nine hours to reach its top heat, and we let it cool for two days.", "Nothing cracked. The blue came out darker than on the test tiles \u2014 about two shades.", "Next week we try the same glaze on stoneware."],
+    ),
+    (
+        """<html><body><div id="top-nav"><a href=1>Home</a> <a href=2>News</a> <a href=3>Sport</a></div>
+        <div id="content"><h1>Bridge to close for repairs</h1><p>The old bridge will be closed to cars from Monday, the town said. Walkers may still cross.</p>
+        <div class="ad-slot"><p>Advertisement</p></div>
+        <p>Repairs will last until the autumn, and buses will take the long way round.</p>
+        <blockquote>"We waited too long with this," said the mayor.</blockquote></div>
+        <div class="sidebar"><h3>Popular</h3><p><a href=4>Fair opens</a></p><p><a href=5>Rain expected</a></p></div>
+        <form class="search"><label>Search</label><input name=q><button>Go</button></form>
+        <div id="footer"><p>Contact us. Privacy policy. Terms of use.</p></div></body></html>""",
+        ["Bridge to close for repairs", "The old bridge will be closed to cars from Monday, the town said. Walkers may still cross.", "Repairs will last until the autumn, and buses will take the long way round.", '"We waited too long with this," said the mayor.'],
+    ),
+    (
+        """<html><body><main><h1>Sourdough, step by step</h1><p>Mix flour and water and leave the dough alone for an hour.</p><ol><li>Add the salt and the starter.</li><li>Fold the dough four times, every half hour.</li></ol>
+        <h2>Baking</h2><p>Heat the oven as far as it goes; bake with the lid on for twenty minutes.</p></main>
+        <div class="share-buttons"><ul><li><a>Share</a></li><li><a>Tweet</a></li></ul></div>
+        <div class="newsletter"><p>Subscribe to our newsletter</p></div><script>var a = "<p>no</p>";</script></body></html>""",
+        ["Sourdough, step by step", "Mix flour and water and leave the dough alone for an hour.", "Add the salt and the starter.", "Fold the dough four times, every half hour.", "Baking", "Heat the oven as far as it goes; bake with the lid on for twenty minutes."],
+    ),
+]
+
+
+def test_html_on_pages_written_by_hand(spark):
+    df = spark.createDataFrame([(i, "u", page) for i, (page, _) in enumerate(HAND)], "page_id long, url string, html string")
+    got = {r.page_id: r.text.split("\n") for r in html.extract(df, html.train()).collect()}
+    for i, (_, want) in enumerate(HAND):
+        assert got[i] == want
+
+
 def test_shingles_cover_long_texts():
     text = "w1 w2\tw3 " * 200_000
     assert len(next(iter(shingles.shingle_sets([text])))) == 3
