@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from siltstone.llm.common import checkpoint_root, together
+from siltstone.llm.common import checkpoint_root, together, written
 
 DIMENSIONS = ("source", "lang", "topic")
 #: A marginal's target share of tokens is its own share to this power, normalised, where no target is given.
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 1.0}
+#: Rounds at most, and how far off its target a sum may be at the end of one.
 ROUNDS = 8
+TOLERANCE = 1e-12
 #: Share of all tokens that the sample has in expectation.
 BUDGET = 0.8
 #: Up to this many cells the weights are broadcast; beyond it they are joined by shuffle.
 BROADCAST_CELLS = 100_000
+#: Cells of a partition of raked cells.
+CELLS_A_TASK = 200_000
 _SPACE = 1 << 32
 
 
@@ -33,36 +36,73 @@ def draw(id_: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(id_.cast("string"), F.lit(""))), 1, 8), 16, 10).cast("double") / _SPACE
 
 
-def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """Iterative proportional fitting of ``cells(source, lang, topic, c)``: adds w, of the same total as c."""
-    total = "sum(c) over ()"
-    out = cells
+def _targets(cells: DataFrame, d: str, targets: dict[str, dict[str, float]] | None) -> DataFrame:
+    """(d, t): the target share of each of the dimension's values that occur."""
+    sums = cells.groupBy(d).agg(F.sum("c").alias("m"))
+    if targets and d in targets:
+        given = F.create_map(*[F.lit(x) for kv in targets[d].items() for x in kv])
+        return sums.select(d, F.coalesce(F.element_at(given, F.col(d)), F.lit(0.0)).alias("t"))
+    sums = sums.where("m > 0").withColumn("t", F.pow("m", F.lit(TEMPER[d])))
+    whole = sums.agg(F.sum("t")).first()[0]
+    return sums.select(d, (F.col("t") / F.lit(whole)).alias("t"))
+
+
+def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """Iterative proportional fitting of ``cells(source, lang, topic, c)``: adds w, of the same total as c.
+
+    Each dimension's sums are aggregated and joined back, so no task holds all cells; a round's result is written, which
+    cuts lineage and keeps the planner's size estimates true. It ends when no sum is off its target by more than ``tolerance`` of it, or after
+    ``rounds``. Null keys are cells of 'unknown'; repeated cells keep a row each, scaled alike; null and negative c
+    count as 0. A cell whose target is 0, or not given where the dimension's are, gets 0; a target that no cell meets
+    is left out. An empty table, or one without mass, keeps its rows with w 0.
+    """
+    out = cells.select(*[F.coalesce(F.col(d).cast("string"), F.lit("unknown")).alias(d) for d in DIMENSIONS], F.greatest(F.coalesce(F.col("c").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("c"))
+    out = written(out.withColumn("w", F.col("c")), "cells")
+    size = out.agg(F.count("*").alias("n"), F.sum("c").alias("c")).first()
+    total = size.c or 0.0
+    if total <= 0:
+        return out
+    goals = out
     for d in DIMENSIONS:
-        mass = F.sum("c").over(Window.partitionBy(d))
-        if targets and d in targets:
-            share = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in targets[d].items() for x in kv]), F.col(d)), F.lit(0.0))
-            out = out.withColumn(f"t_{d}", share)
-        else:
-            out = out.withColumn(f"m_{d}", mass).withColumn(f"t_{d}", F.pow(F.col(f"m_{d}"), F.lit(TEMPER[d])))
-            # each cell holds its marginal's power; a marginal counts once, by its share of its own mass
-            out = out.withColumn(f"t_{d}", F.col(f"t_{d}") / F.sum(F.col(f"t_{d}") * F.col("c") / F.col(f"m_{d}")).over(Window.partitionBy())).drop(f"m_{d}")
-    out = out.withColumn("total", F.expr(total)).withColumn("w", F.col("c"))
-    for _ in range(rounds):
+        goals = goals.join(_targets(out, d, targets).withColumnRenamed("t", f"t_{d}"), d, "left")
+    kept = [*DIMENSIONS, "c", *[f"t_{d}" for d in DIMENSIONS]]
+    out = written(goals.select(*kept, "w").repartition(-(-size.n // CELLS_A_TASK)), "goals")
+    for k in range(rounds):
+        out = out.withColumn("off", F.lit(0.0))
         for d in DIMENSIONS:
-            out = out.withColumn("w", F.col("w") * F.coalesce(F.col(f"t_{d}") * F.col("total") / F.nullif(F.sum("w").over(Window.partitionBy(d)), F.lit(0.0)), F.lit(0.0)))
+            scale = out.groupBy(d).agg(F.coalesce(F.first(f"t_{d}") * total / F.nullif(F.sum("w"), F.lit(0.0)), F.lit(0.0)).alias("f"))
+            off = F.greatest("off", F.when(F.col("w") > 0, F.abs(F.col("f") - 1)).otherwise(0.0))
+            out = out.join(scale, d).select(*kept, (F.col("w") * F.col("f")).alias("w"), off.alias("off"))
+        seen = Observation(f"raked {k}")
+        out = written(out.observe(seen, F.max("off").alias("off")), "raked").drop("off")
+        if seen.get["off"] <= tolerance:
+            break
     return out.select(*DIMENSIONS, "c", "w")
 
 
 def calibrate(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
-    """Adds p = min(1, s w/c), with s such that the expected tokens are the budget's share of all, if that can be."""
-    order = Window.orderBy(F.desc("r"), *DIMENSIONS)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    """Adds p = min(1, s w/c), with s such that the expected tokens are the budget's share of all, if that can be.
+
+    Cells that s carries to 1 are full; s grows by what they can't take until no more cells fill up, a sum over the
+    cells each time. Cells without tokens are left out; one without weight has p 0; where all that have weight are
+    full, p is 1. Ties fill up together. An empty table gives none.
+    """
     out = cells.where("c > 0").withColumn("r", F.col("w") / F.col("c"))
-    every = Window.partitionBy()
-    out = out.withColumn("s", (budget * F.sum("c").over(every) - F.coalesce(F.sum("c").over(before), F.lit(0.0))) / F.nullif(F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0)), F.lit(0.0)))
-    out = out.withColumn("n", F.row_number().over(order)).withColumn("fits", F.when(F.col("s") * F.col("r") <= 1, F.col("n")))
-    out = out.withColumn("scale", F.min_by("s", "fits").over(every))
-    return out.select(*DIMENSIONS, "c", "w", F.when(F.col("w") <= 0, 0.0).otherwise(F.least(F.lit(1.0), F.coalesce(F.col("scale") * F.col("r"), F.lit(1.0)))).alias("p"))
+    every = out.agg(F.sum("c").alias("c"), F.sum("w").alias("w")).first()
+    scale, full = None, -1
+    if every.w:
+        scale = budget * every.c / every.w
+        while True:
+            top = out.where(F.col("r") * F.lit(scale) > 1).agg(F.count("*").alias("n"), F.sum("c").alias("c"), F.sum("w").alias("w")).first()
+            if top.n == full:
+                break
+            full, left = top.n, every.w - (top.w or 0.0)
+            if left <= 1e-12 * every.w:
+                scale = None
+                break
+            scale = (budget * every.c - (top.c or 0.0)) / left
+    p = F.lit(1.0) if scale is None else F.least(F.lit(1.0), F.lit(scale) * F.col("r"))
+    return out.select(*DIMENSIONS, "c", "w", F.when(F.col("w") <= 0, 0.0).otherwise(p).alias("p"))
 
 
 def _weighed(docs: DataFrame, targets: dict[str, dict[str, float]] | None, budget: float, topic: Column | None, id_col: str, text_col: str, source_col: str, lang_col: str) -> tuple[DataFrame, dict[str, str]]:
