@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from siltstone.llm.common import apart, components, together, written
+from siltstone.llm.common import apart, components, integral, numbered, together, written
 from siltstone.llm.shingles import WORDS, mix, shingle_sets
 
 BANDS, ROWS = 48, 8
@@ -26,7 +26,8 @@ LIMIT, RATE = 60_000, 20.0
 PERCENT = 85
 #: A pair is dropped before verification only if its likelihood at the threshold is below the best by this much (7 sigma).
 MARGIN = 24.5
-#: Members of a band up to which its remaining pairs are listed; members of a block beyond that.
+#: Members of a band up to which its remaining pairs are listed; members of a block beyond that. Both compare every pair
+#: that is left on full sets; only what travels differs (pairs, or whole blocks that are multiplied where they lie).
 SMALL, BLOCK = 16, 512
 #: A link needs sets of about the same size.
 _CLOSE = f"100 * least(n, ln) >= {PERCENT} * greatest(n, ln)"
@@ -166,8 +167,15 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     pairs across components are: the other stars, then what is left between components within a band, pair by pair in
     small bands and by block products in larger ones. Pairs are pruned by set size and by the joint likelihood of their
     registers, with a margin of 7 sigma, before full sets are compared. Documents without words are linked with nothing. A null id has a null component and is kept. Rows that
-    repeat an id share a component, each gives a row; of several texts under one id the first in order is compared. Other columns are ignored, an empty table gives none.
+    repeat an id share a component, each gives a row; of several texts under one id the first in order is compared.
+    Ids are numbers, or strings (the smallest by their order). Other columns are ignored, an empty table gives none.
     """
+    if not integral(docs, id_col):
+        base, ids = numbered(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id")
+        found = classes(base.select(F.col("_n").alias("doc_id"), "text"))
+        name = lambda c: ids.select(F.col("_n").alias(c), F.col("_id").alias(f"{c}_"))
+        found = found.join(name("doc_id"), "doc_id", "left").join(name("component_id"), "component_id", "left")
+        return found.select(F.col("doc_id_").alias("doc_id"), "n_shingles", F.col("component_id_").alias("component_id"), "kept")
     rows = written(sketch(docs, id_col, text_col), "sketch")
     full = rows.where("n > 0 and doc_id is not null")
     first = full.groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.min_by("n", "doc_id").alias("n"), F.min_by("regs", "doc_id").alias("regs"))
