@@ -12,6 +12,8 @@ from pyspark.sql import Window
 
 #: Vectors and queries in one block of an exact search.
 VECTORS, QUERIES = 32_768, 2048
+#: Most inverted lists, whose centroids every task holds; beyond that lists grow and are cut into more pieces.
+LISTS = 4096
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -99,9 +101,14 @@ class Ivf:
         self.centroids = c
 
     @classmethod
-    def fit(cls, vectors: DataFrame, lists: int, sample: int = 10_000) -> Ivf:
-        rows = vectors.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("v").collect()
-        return cls(np.array([r.v for r in rows], float), lists)
+    def fit(cls, vectors: DataFrame, lists: int | None = None, sample: int = 10_000) -> Ivf:
+        """Centroids of a bounded sample by hashed id; by default as many as the root of the number of vectors."""
+        n = vectors.count()
+        space = 1 << 30
+        h = F.pmod(F.xxhash64("doc_id"), F.lit(space))
+        near = vectors.where(h < min(space, space * (2 * sample + 64) // max(n, 1)))
+        rows = near.orderBy(h, "doc_id").limit(sample).select("v").collect()
+        return cls(np.array([r.v for r in rows], float), lists or min(LISTS, max(1, math.isqrt(n))))
 
     def _near(self, x: np.ndarray, n: int) -> np.ndarray:
         d = (self.centroids**2).sum(1) - 2 * x @ self.centroids.T
@@ -120,10 +127,22 @@ class Ivf:
 
         return df.select(id_col, vector_col).mapInPandas(run, f"{id_col} long, {vector_col} array<float>, cell long")
 
-    def search(self, vectors: DataFrame, queries: DataFrame, k: int, probes: int = 8) -> DataFrame:
+    def search(self, vectors: DataFrame, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
+        """The k nearest found in the ``probes`` nearest lists of each query, by default five eighths of them.
+
+        A list is cut into pieces of vectors and blocks of queries of bounded size, so neither a long list nor one
+        that many queries ask is a single group.
+        """
+        probes = probes or math.ceil(0.625 * len(self.centroids))
         left = self.assigned(vectors.select("doc_id", "v"), "doc_id", "v")
         right = self.assigned(queries.select("query_id", "q"), "query_id", "q", probes)
-        found = left.groupBy("cell").cogroup(right.groupBy("cell")).applyInPandas(lambda a, b: _nearest(a, b, k), "query_id long, doc_id long, score double")
+        sizes = left.groupBy("cell").agg(F.ceil(F.count("*") / VECTORS).alias("pieces"))
+        sizes = F.broadcast(sizes.join(right.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES).alias("blocks")), "cell"))
+        dealt = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        left = left.join(sizes, "cell").select("cell", "doc_id", "v", F.pmod(F.xxhash64("doc_id"), "pieces").alias("piece"), dealt("blocks").alias("block"))
+        right = right.join(sizes, "cell").select("cell", "query_id", "q", dealt("pieces").alias("piece"), F.pmod(F.xxhash64("query_id"), "blocks").alias("block"))
+        groups = ["cell", "piece", "block"]
+        found = left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInPandas(lambda a, b: _nearest(a, b, k), "query_id long, doc_id long, score double")
         return ranked(found, k)
 
 

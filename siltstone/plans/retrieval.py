@@ -159,13 +159,13 @@ def dual_index_merge_topk(spark, sf_dir):
 @query()
 def ivf_knn(spark, sf_dir):
     v, q = _vectors(spark, sf_dir)
-    return vector.Ivf.fit(v, 16).search(v, q, 20, probes=10)
+    return vector.Ivf.fit(v).search(v, q, 20)
 
 
 @query()
 def ann_recall_vs_exact(spark, sf_dir):
     v, q = _vectors(spark, sf_dir)
-    return evaluation.overlap(vector.Ivf.fit(v, 16).search(v, q, 20, probes=10), vector.exact_neighbours(v, q, 20))
+    return evaluation.overlap(vector.Ivf.fit(v).search(v, q, 20), vector.exact_neighbours(v, q, 20))
 
 
 _RELEVANT = "rel AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id AND a.label = b.label)"
