@@ -2,8 +2,8 @@
 
 A register is the smallest of n exponential variables, one a shingle, on a scale of powers of BASE. Registers of a
 union are the maxima of the parts', so sketches merge. Register i of two sets agrees with a probability close to
-their Jaccard similarity, as BASE is close to 1; BANDS groups of ROWS registers miss a link at the threshold of 0.85
-with probability (1 - 0.85**ROWS)**BANDS, about 2e-7, and fewer above it.
+their Jaccard similarity, as BASE is close to 1; BANDS groups of ROWS registers miss a link at similarity s with
+probability (1 - s**ROWS)**BANDS: about 1.5e-4 at 0.8, 2e-7 at 0.85, and fewer above.
 """
 
 from __future__ import annotations
@@ -22,15 +22,13 @@ REGISTERS = BANDS * ROWS
 BASE = 1.002
 #: Register values are cut to 0..LIMIT; RATE places a set of one shingle well inside.
 LIMIT, RATE = 60_000, 20.0
-#: 100 * intersection >= PERCENT * union is a link.
-PERCENT = 85
+#: 100 * intersection >= percent * union is a link, by default with this one; the bands are laid out for LEAST and more.
+PERCENT, LEAST = 85, 80
 #: A pair is dropped before verification only if its likelihood at the threshold is below the best by this much (7 sigma).
 MARGIN = 24.5
 #: Members of a band up to which its remaining pairs are listed; members of a block beyond that. Both compare every pair
 #: that is left on full sets; only what travels differs (pairs, or whole blocks that are multiplied where they lie).
 SMALL, BLOCK = 16, 512
-#: A link needs sets of about the same size.
-_CLOSE = f"100 * least(n, ln) >= {PERCENT} * greatest(n, ln)"
 _RNG = np.random.default_rng(577215)
 _FACTOR = (_RNG.integers(0, 1 << 31, REGISTERS, dtype=np.uint64) * 2 + 1).astype(np.uint32)
 _SHIFT = _RNG.integers(0, 1 << 32, REGISTERS, dtype=np.uint64).astype(np.uint32)
@@ -68,6 +66,11 @@ def band_keys(reg: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _close(percent: int) -> str:
+    """A link needs sets of about the same size."""
+    return f"100 * least(n, ln) >= {percent} * greatest(n, ln)"
+
+
 def likely(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """False where the registers rule out the threshold: joint likelihood of greater, equal and smaller registers."""
     more, less = (ra > rb).sum(1)[:, None], (ra < rb).sum(1)[:, None]
@@ -121,7 +124,7 @@ def _bands(reps: DataFrame) -> DataFrame:
     return reps.select("doc_id", "n", "regs").mapInPandas(run, "key long, doc long, n long")
 
 
-def _estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+def _estimated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that their registers don't rule out."""
     side = lambda x: reps.select(F.col("doc_id").alias(x), F.col("regs").alias(f"r{x}"), F.col("n").alias(f"n{x}"))
 
@@ -129,13 +132,13 @@ def _estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
         for pdf in batches:
             if len(pdf):
                 ra, rb = (np.frombuffer(b"".join(pdf[c]), np.uint16).reshape(len(pdf), -1) for c in ("ra", "rb"))
-                ok = likely(ra, rb, pdf["na"].to_numpy(float), pdf["nb"].to_numpy(float))
+                ok = likely(ra, rb, pdf["na"].to_numpy(float), pdf["nb"].to_numpy(float), percent)
                 yield pdf.loc[ok, ["a", "b"]]
 
     return pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").mapInPandas(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the threshold."""
 
     def run(batches):
@@ -152,15 +155,15 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                         x, y = y, x
                     at = np.minimum(np.searchsorted(y, x), max(len(y) - 1, 0))
                     both = int((y[at] == x).sum()) if len(y) else 0
-                    keep.append(both > 0 and 100 * both >= PERCENT * (len(x) + len(y) - both))
+                    keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
                 yield part.loc[keep, ["a", "b"]]
 
     side = lambda x: texts.select(F.col("doc").alias(x), F.col("text").alias(f"t{x}"))
     return pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").mapInPandas(run, "a long, b long")
 
 
-def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document row: doc_id, n_shingles, component_id, kept.
+def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """Per document row: doc_id, n_shingles, component_id, kept. Documents are linked from ``percent`` similarity on.
 
     Equal sets meet by signature, one representative of each goes on. In every band its members are paired with the
     smallest of them (a star, not all pairs). Each document is verified with its smallest partner first; then only
@@ -170,9 +173,11 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     repeat an id share a component, each gives a row; of several texts under one id the first in order is compared.
     Ids are numbers, or strings (the smallest by their order). Other columns are ignored, an empty table gives none.
     """
+    if percent < LEAST:
+        raise ValueError(f"the bands find similarities of {LEAST} per cent and more")
     if not integral(docs, id_col):
         base, ids = numbered(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id")
-        found = classes(base.select(F.col("_n").alias("doc_id"), "text"))
+        found = classes(base.select(F.col("_n").alias("doc_id"), "text"), percent=percent)
         name = lambda c: ids.select(F.col("_n").alias(c), F.col("_id").alias(f"{c}_"))
         found = found.join(name("doc_id"), "doc_id", "left").join(name("component_id"), "component_id", "left")
         return found.select(F.col("doc_id_").alias("doc_id"), "n_shingles", F.col("component_id_").alias("component_id"), "kept")
@@ -183,21 +188,21 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     bands = _bands(reps)
     stars = bands.groupBy("key").agg(F.min(F.struct("doc", "n")).alias("l"), F.count("*").alias("size")).where("size > 1")
     members = written(bands.join(stars.select("key", F.col("l.doc").alias("leader"), F.col("l.n").alias("ln")), "key"), "bands")
-    pairs = members.where("doc <> leader").where(_CLOSE).select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
+    pairs = members.where("doc <> leader").where(_close(percent)).select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
     crowd = members.select("doc").distinct()
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null")
     texts = source.join(crowd, "doc", "left_semi").groupBy("doc").agg(F.min("text").alias("text")) if _repeats(rows) else source.join(crowd, "doc", "left_semi")
     texts = written(texts, "texts")
     nearest = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     done = nearest.checkpoint()
-    links = _verified(_estimated(done, reps), texts).checkpoint()
+    links = _verified(_estimated(done, reps, percent), texts, percent).checkpoint()
     label = components(links)
     rest = _other_stars(pairs.join(done, ["a", "b"], "left_anti"), label).checkpoint()
     done = done.unionByName(rest)
-    links, label = _more(links, label, _verified(_estimated(rest, reps), texts))
+    links, label = _more(links, label, _verified(_estimated(rest, reps, percent), texts, percent))
     mixed = _mixed_bands(members, label).checkpoint()
-    rest = _small_pairs(mixed).join(done, ["a", "b"], "left_anti").checkpoint()
-    found = _verified(_estimated(rest, reps), texts).unionByName(_joined_blocks(mixed, texts))
+    rest = _small_pairs(mixed, percent).join(done, ["a", "b"], "left_anti").checkpoint()
+    found = _verified(_estimated(rest, reps, percent), texts, percent).unionByName(_joined_blocks(mixed, texts, percent))
     links, label = _more(links, label, found)
     known = reps.select("s1", "s2", "doc_id").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     known = known.select("s1", "s2", F.coalesce("component", "doc_id").alias("component_id"))
@@ -234,11 +239,11 @@ def _mixed_bands(members: DataFrame, label: DataFrame) -> DataFrame:
     return named.join(split, "key")
 
 
-def _small_pairs(mixed: DataFrame) -> DataFrame:
+def _small_pairs(mixed: DataFrame, percent: int) -> DataFrame:
     """The pairs across components of bands of SMALL members at most: fewer than SMALL a member."""
     left = mixed.where(F.col("size") <= SMALL).select("key", "doc", "n", "label")
     other = left.select("key", F.col("doc").alias("d2"), F.col("n").alias("ln"), F.col("label").alias("l2"))
-    return left.join(other, "key").where("doc < d2 and label <> l2").where(_CLOSE).select(F.col("doc").alias("a"), F.col("d2").alias("b")).distinct()
+    return left.join(other, "key").where("doc < d2 and label <> l2").where(_close(percent)).select(F.col("doc").alias("a"), F.col("d2").alias("b")).distinct()
 
 
 def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -263,7 +268,7 @@ def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _joined_blocks(mixed: DataFrame, texts: DataFrame) -> DataFrame:
+def _joined_blocks(mixed: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that join components within the larger bands.
 
     A band is cut into blocks of members; each pair of blocks compares its full sets by a matrix product where it is
@@ -281,7 +286,7 @@ def _joined_blocks(mixed: DataFrame, texts: DataFrame) -> DataFrame:
             return none
         both = intersections([sets[k] for k in left], [sets[k] for k in right])
         sizes = np.array([len(s) for s in sets])
-        near = (100 * both >= PERCENT * (sizes[left][:, None] + sizes[right][None, :] - both)) & (labels[left][:, None] != labels[right][None, :])
+        near = (100 * both >= percent * (sizes[left][:, None] + sizes[right][None, :] - both)) & (labels[left][:, None] != labels[right][None, :])
         x, y = np.nonzero(near)
         if not len(x):
             return none
@@ -309,9 +314,9 @@ def _joined_blocks(mixed: DataFrame, texts: DataFrame) -> DataFrame:
     return large.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
 
 
-def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The documents with one of each group left, that of the smallest id; of rows that repeat an id, the first text."""
-    found = written(classes(docs, id_col=id_col, text_col=text_col), "classes")
+    found = written(classes(docs, id_col=id_col, text_col=text_col, percent=percent), "classes")
     own, names = apart(docs)
     id_, text = names[id_col], names[text_col]
     gone = found.where("not kept").select(F.col("doc_id").alias(id_)).distinct()

@@ -352,7 +352,7 @@ def test_sampling(docs, empty):
 # --- near duplicates
 
 
-def brute_classes(texts):
+def brute_classes(texts, percent=85):
     sets = {}
     for i, t in texts:
         w = (t or "").encode().lower().split()
@@ -369,14 +369,15 @@ def brute_classes(texts):
     for a in ids:
         for b in ids:
             n = len(sets[a] & sets[b])
-            if a < b and n and 100 * n >= 85 * (len(sets[a]) + len(sets[b]) - n):
+            if a < b and n and 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
                 x, y = root(a), root(b)
                 parent[max(x, y)] = min(x, y)
     return {i: (len(sets[i]), root(i)) for i in ids}
 
 
+@pytest.mark.parametrize("percent", [85, 80])
 @pytest.mark.parametrize("small", [16, 2])
-def test_near_duplicates(spark, docs, empty, small, monkeypatch):
+def test_near_duplicates(spark, docs, empty, small, monkeypatch, percent):
     monkeypatch.setattr(neardup, "SMALL", small)
     monkeypatch.setattr(neardup, "BLOCK", 5)
     rng = random.Random(8)
@@ -388,8 +389,8 @@ def test_near_duplicates(spark, docs, empty, small, monkeypatch):
             w[rng.randrange(80)] = f"v{i}{rng.randint(0, 9)}"
         texts.append((500 + i, " ".join(w)))
     df = spark.createDataFrame(rows_of(texts), DOCS).repartition(3)
-    got = neardup.classes(df).collect()
-    want = brute_classes(texts)
+    got = neardup.classes(df, percent=percent).collect()
+    want = brute_classes(texts, percent)
     assert len(got) == len(texts)
     for r in got:
         if r.doc_id is None:
@@ -398,7 +399,7 @@ def test_near_duplicates(spark, docs, empty, small, monkeypatch):
             assert (r.n_shingles, r.component_id) == want[r.doc_id], r
             assert r.kept == (r.component_id == r.doc_id)
     assert neardup.classes(empty).count() == 0
-    kept = neardup.keep_first(df)
+    kept = neardup.keep_first(df, percent=percent)
     assert kept.dtypes == df.dtypes
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(i for i, (_, c) in want.items() if i == c)
 
