@@ -13,6 +13,10 @@ from siltstone.llm import decontaminate, language, mixing, neardup, substrings
 from siltstone.llm.common import table, written
 
 
+#: Percent of shared five-word shingles from which documents are near copies.
+NEAR = 80
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or of no language that the network is sure of, go.
 
@@ -26,7 +30,7 @@ def first_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Texts without words, null ones among them, are copies of nothing; rows without an id stay.
     """
-    return neardup.keep_first(docs)
+    return neardup.keep_first(docs, percent=NEAR)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
