@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.llm import licenses, mixing, urls
+from siltstone.llm import fim, licenses, mixing, urls
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -67,6 +67,18 @@ p AS (SELECT page_id, {host('url')} AS host, {path('url')} AS path, {node('url')
 SELECT page_id, host, path, {ruled('host', 'path', 'rule')} AS rule, coalesce({ruled('host', 'path', 'verdict')}, CASE WHEN allowed THEN 'allow' WHEN blocked THEN 'block' END, 'allow') AS verdict FROM p LEFT JOIN said ON node = x"""
 
 
+def _middle() -> str:
+    first, last, middle = fim.SENTINELS
+    held = " OR ".join(f"contains(t, '{s}')" for s in fim.SENTINELS)
+    draws = ", ".join(f"('0x' || substr(h, {8 * i + 1}, 8))::BIGINT AS h{i + 1}" for i in range(4))
+    return f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('{fim.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+d AS (SELECT *, {draws} FROM t),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b, CASE WHEN n = 0 OR {held} OR h3 % 100 >= {fim.RATE} THEN 'plain' WHEN h4 % 100 < {fim.SUFFIX_FIRST} THEN 'spm' ELSE 'psm' END AS form FROM d),
+o AS (SELECT *, substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1) AS s FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN a END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END::BIGINT AS middle_chars,
+sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '{first}' || p || '{last}' || s || '{middle}' || m ELSE '{last}' || s || '{first}' || p || '{middle}' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM o"""
+
+
 _WORDS = f"regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 SQL: dict[str, str] = {
@@ -81,4 +93,5 @@ h AS (SELECT doc_id, item_id, j, k FROM g JOIN win USING (k, win)),
 n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(j, j + k)) AS p FROM h) GROUP BY 1),
 s AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',') AS items FROM h GROUP BY 1)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN n USING (doc_id) LEFT JOIN s USING (doc_id)""",
+    "op12_fill_in_middle": _middle(),
 }

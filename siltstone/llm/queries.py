@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siltstone.llm import decontaminate, hmm, html, language, licenses, mixing, neardup, neighbours, substrings, urls
+from siltstone.llm import decontaminate, fim, hmm, html, language, licenses, mixing, neardup, neighbours, simhash, substrings, urls, whitening
 from siltstone.llm.common import fold, table
 
 
@@ -52,6 +52,21 @@ def op10_extract_html(spark, sf_dir):
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op11_simhash(spark, sf_dir):
+    out = simhash.classes(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op12_fill_in_middle(spark, sf_dir):
+    out = fim.transform(table(spark, sf_dir, "documents"))
+    restored = fim.restore(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
+def op13_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
