@@ -16,6 +16,19 @@ def per_query(hits: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     return out.select("query_id", "n_relevant", F.coalesce("found", F.lit(0)).alias("found"), (F.coalesce("found", F.lit(0)) > 0).alias("hit"), F.coalesce("rr", F.lit(0.0)).alias("rr"))
 
 
+def per_query_by_label(hits: DataFrame, queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """``per_query`` where the relevant documents of ``queries(query_id, label)`` are the others of ``docs(doc_id, label)`` with
+    its label: counted by label, so that only the ranked hits are joined and no pair of a label is made. Queries and
+    documents share their ids; a query without another document of its label has no row."""
+    sizes = docs.groupBy("label").agg(F.count("*").alias("n"))
+    own = docs.select(F.col("doc_id").alias("query_id"), "label", F.lit(1).alias("own"))
+    size = queries.join(sizes, "label").join(own, ["query_id", "label"], "left").select("query_id", "label", (F.col("n") - F.coalesce("own", F.lit(0))).alias("n_relevant")).where("n_relevant > 0")
+    ranked = hits.where((F.col("rank") <= k) & (F.col("query_id") != F.col("doc_id"))).join(docs, "doc_id").join(size.select("query_id", "label"), ["query_id", "label"])
+    found = ranked.groupBy("query_id").agg(F.count_distinct("doc_id").alias("found"), F.max(1.0 / F.col("rank")).alias("rr"))
+    out = size.join(found, "query_id", "left")
+    return out.select("query_id", "n_relevant", F.coalesce("found", F.lit(0)).alias("found"), (F.coalesce("found", F.lit(0)) > 0).alias("hit"), F.coalesce("rr", F.lit(0.0)).alias("rr"))
+
+
 def means(scores: DataFrame) -> DataFrame:
     """Recall, hit rate and mean reciprocal rank over queries."""
     return scores.agg(F.count("*").alias("n_queries"), F.avg(F.col("found") / F.col("n_relevant")).alias("recall"), F.avg(F.col("hit").cast("double")).alias("hit_rate"), F.avg("rr").alias("mrr"))

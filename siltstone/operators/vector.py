@@ -1,4 +1,4 @@
-"""Dense vectors: norms, exact neighbours in blocks, IVF search, merging of indexes, exact reranking."""
+"""Dense vectors: norms, exact neighbours in blocks, merging of indexes, exact reranking."""
 
 from __future__ import annotations
 
@@ -12,8 +12,6 @@ from pyspark.sql import Window
 
 #: Vectors and queries in one block of an exact search.
 VECTORS, QUERIES = 32_768, 2048
-#: Most inverted lists, whose centroids every task holds; beyond that lists grow and are cut into more pieces.
-LISTS = 4096
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -75,7 +73,7 @@ def ranked(scores: DataFrame, k: int) -> DataFrame:
 
 
 def index_family(n: int) -> tuple[str, int]:
-    """The family and number of lists that suit so many vectors."""
+    """The family (exact search, ``lists.Ivf``, ``lists.Pq`` over it) and number of lists that suit so many vectors."""
     if n < 5_000:
         return "flat", 0
     if n < 50_000:
@@ -88,64 +86,6 @@ def memory_estimate(n: int, dim: int, lists: int, code_bytes: int | None = None)
     return n * ((code_bytes or 4 * dim) + 8) + lists * dim * 4
 
 
-class Ivf:
-    """Inverted lists around centroids that k-means fits on a bounded sample."""
-
-    def __init__(self, sample: np.ndarray, lists: int, rounds: int = 8, seed: int = 7):
-        rng = np.random.default_rng(seed)
-        c = sample[rng.permutation(len(sample))[: min(lists, len(sample))]].astype(float).copy()
-        for _ in range(rounds):
-            near = ((c * c).sum(1) - 2 * sample @ c.T).argmin(1)
-            for j in np.unique(near):
-                c[j] = sample[near == j].mean(0)
-        self.centroids = c
-
-    @classmethod
-    def fit(cls, vectors: DataFrame, lists: int | None = None, sample: int = 10_000) -> Ivf:
-        """Centroids of a bounded sample by hashed id; by default as many as the root of the number of vectors."""
-        n = vectors.count()
-        space = 1 << 30
-        h = F.pmod(F.xxhash64("doc_id"), F.lit(space))
-        near = vectors.where(h < min(space, space * (2 * sample + 64) // max(n, 1)))
-        rows = near.orderBy(h, "doc_id").limit(sample).select("v").collect()
-        return cls(np.array([r.v for r in rows], float), lists or min(LISTS, max(1, math.isqrt(n))))
-
-    def _near(self, x: np.ndarray, n: int) -> np.ndarray:
-        d = (self.centroids**2).sum(1) - 2 * x @ self.centroids.T
-        return np.argsort(d, 1, kind="stable")[:, :n]
-
-    def assigned(self, df: DataFrame, id_col: str, vector_col: str, probes: int = 1) -> DataFrame:
-        """Adds the cells that are nearest to each vector, one row each."""
-        shared = df.sparkSession.sparkContext.broadcast(self)
-
-        def run(batches):
-            for pdf in batches:
-                if len(pdf):
-                    near = shared.value._near(np.stack(pdf[vector_col].to_numpy()).astype(float), probes)
-                    out = pdf.loc[pdf.index.repeat(near.shape[1])]
-                    yield out.assign(cell=near.ravel())
-
-        return df.select(id_col, vector_col).mapInPandas(run, f"{id_col} long, {vector_col} array<float>, cell long")
-
-    def search(self, vectors: DataFrame, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
-        """The k nearest found in the ``probes`` nearest lists of each query, by default five eighths of them.
-
-        A list is cut into pieces of vectors and blocks of queries of bounded size, so neither a long list nor one
-        that many queries ask is a single group.
-        """
-        probes = probes or math.ceil(0.625 * len(self.centroids))
-        left = self.assigned(vectors.select("doc_id", "v"), "doc_id", "v")
-        right = self.assigned(queries.select("query_id", "q"), "query_id", "q", probes)
-        sizes = left.groupBy("cell").agg(F.ceil(F.count("*") / VECTORS).alias("pieces"))
-        sizes = F.broadcast(sizes.join(right.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES).alias("blocks")), "cell"))
-        dealt = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-        left = left.join(sizes, "cell").select("cell", "doc_id", "v", F.pmod(F.xxhash64("doc_id"), "pieces").alias("piece"), dealt("blocks").alias("block"))
-        right = right.join(sizes, "cell").select("cell", "query_id", "q", dealt("pieces").alias("piece"), F.pmod(F.xxhash64("query_id"), "blocks").alias("block"))
-        groups = ["cell", "piece", "block"]
-        found = left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInPandas(lambda a, b: _nearest(a, b, k), "query_id long, doc_id long, score double")
-        return ranked(found, k)
-
-
 def merged(primary: DataFrame, secondary: DataFrame, k: int) -> DataFrame:
     """Two result lists as one: each id once, by its best score."""
     both = primary.select("query_id", "doc_id", "score").unionByName(secondary.select("query_id", "doc_id", "score"))

@@ -186,7 +186,17 @@ def json_props_extract(spark, sf_dir):
 
 @query("SELECT event_id AS id, unnest(json_keys(props)) AS key FROM events")
 def json_flatten_keys(spark, sf_dir):
-    return tables.json_keys(table(spark, sf_dir, "events"), "event_id", "props", depth=1)
+    return tables.json_keys(table(spark, sf_dir, "events"), "event_id", "props")
+
+
+_DEEP = """'{{"o":{{"a":{{"b":[{{"v":' {c} n_chars {c} '}}],"c":[[["' {c} lang {c} '",{{"d":"' {c} source {c} '"}}]]]}},"e":' {c} {list} {c} '}},"l":[{{"x":' {c} doc_id {c} '}},[]]}}'"""
+
+
+@query(f"SELECT d.id, substr(fullkey, 3) AS key FROM (SELECT doc_id AS id, {_DEEP.format(c='||', list='to_json(range(n_chars % 4 + 1))::VARCHAR')} AS j FROM documents) d, json_tree(d.j) WHERE fullkey <> '$'")
+def json_deep_keys(spark, sf_dir):
+    """Keys and elements of objects and arrays that are nested seven deep, as many as the row says."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(_DEEP.format(c="||", list="to_json(sequence(0, n_chars % 4))")).alias("j"))
+    return tables.json_keys(docs, "doc_id", "j")
 
 
 @query("SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '\\r\\n?', chr(10), 'g'), '[•◦–]', '-', 'g'), '[\\x00-\\x1F]', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM documents")

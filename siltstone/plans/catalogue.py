@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.plans import catalog_queries, graph_queries, registry, report_queries, retrieval, signal_queries, table_queries  # noqa: F401
+from siltstone.plans import ann_queries, catalog_queries, graph_queries, registry, report_queries, retrieval, signal_queries, table_queries  # noqa: F401
 
 
 def queries() -> dict:

@@ -195,15 +195,15 @@ def role_bit_filter(spark, sf_dir):
     return repo.definitions(_occurrences(spark, sf_dir)).groupBy("symbol").agg(F.count("*").alias("n"))
 
 
-_STITCH = "n AS (SELECT o_orderkey AS node_id, o_custkey % 2000 AS path, (o_orderkey % 400)::INT AS line, 'n' || o_orderkey % 90 AS name, 'q' || o_orderkey % 1000 AS qname FROM orders), c AS (SELECT l_orderkey * 10 + l_linenumber AS symbol, l_partkey % 2000 AS path, (l_orderkey % 400)::INT AS cl, 'n' || l_suppkey % 90 AS cn, 'q' || l_partkey % 1000 AS cq FROM lineitem)"
+_STITCH = "n AS (SELECT o_orderkey AS node_id, o_custkey % 200 AS path, (o_orderkey % 400)::INT AS line, 'n' || o_orderkey % 90 AS name, 'q' || o_orderkey % 1000 AS qname FROM orders), c AS (SELECT l_orderkey * 10 + l_linenumber AS symbol, l_partkey % 200 AS path, (l_orderkey % 400)::INT AS cl, 'n' || l_suppkey % 90 AS cn, 'q' || l_partkey % 1000 AS cq FROM lineitem)"
 
 
 @query(f"WITH {_STITCH}, s AS (SELECT node_id, symbol, CASE WHEN qname = cq THEN 1.0 WHEN abs(line - cl) <= 1 AND name = cn THEN 0.8 WHEN name = cn THEN 0.6 ELSE 0.5 END::DOUBLE AS confidence FROM n JOIN c ON n.path = c.path AND (abs(line - cl) <= 1 OR name = cn)) SELECT node_id, symbol, confidence FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY confidence DESC, symbol) AS r FROM s) WHERE r = 1")
 def stitch_symbols(spark, sf_dir):
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     tag = lambda p, c, m: F.concat(F.lit(p), F.col(c) % m)
-    n = o.select(F.col("o_orderkey").alias("node_id"), (F.col("o_custkey") % 2000).alias("path"), (F.col("o_orderkey") % 400).cast("int").alias("line"), tag("n", "o_orderkey", 90).alias("name"), tag("q", "o_orderkey", 1000).alias("qname"))
-    c = li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("symbol"), (F.col("l_partkey") % 2000).alias("path"), (F.col("l_orderkey") % 400).cast("int").alias("line"), tag("n", "l_suppkey", 90).alias("name"), tag("q", "l_partkey", 1000).alias("qname"))
+    n = o.select(F.col("o_orderkey").alias("node_id"), (F.col("o_custkey") % 200).alias("path"), (F.col("o_orderkey") % 400).cast("int").alias("line"), tag("n", "o_orderkey", 90).alias("name"), tag("q", "o_orderkey", 1000).alias("qname"))
+    c = li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("symbol"), (F.col("l_partkey") % 200).alias("path"), (F.col("l_orderkey") % 400).cast("int").alias("line"), tag("n", "l_suppkey", 90).alias("name"), tag("q", "l_partkey", 1000).alias("qname"))
     return repo.stitch(n, c)
 
 
@@ -265,9 +265,12 @@ def user_sessions(spark, sf_dir):
     return incremental.sessions(table(spark, sf_dir, "events")).select("user_id", F.unix_micros(F.col("start").cast("timestamp")).alias("start_us"), "n")
 
 
-@query()
+_DIGESTS = "SELECT doc_id, ('0x' || substr(sha256(doc_id || ':' || sha256(text)), 1, 15))::BIGINT::HUGEINT AS h FROM documents WHERE text IS NOT NULL"
+
+
+@query(f"SELECT count(*) AS n, list_reduce(list(h ORDER BY doc_id, h), lambda acc, x: (acc * {writers.BASE}::HUGEINT + x) % {writers.MODULUS}::HUGEINT)::VARCHAR AS checksum FROM ({_DIGESTS})")
 def content_checksum(spark, sf_dir):
-    return writers.content_checksum(table(spark, sf_dir, "documents"), "doc_id", F.sha2("text", 256))
+    return writers.content_checksum(table(spark, sf_dir, "documents").where("text is not null"), "doc_id", F.sha2("text", 256))
 
 
 @query("SELECT fault, id FROM (SELECT 'duplicate_id' AS fault, source AS id FROM documents GROUP BY source HAVING count(*) > 1 UNION ALL SELECT 'empty_contents', source FROM documents WHERE trim(coalesce(text, '')) = '')")

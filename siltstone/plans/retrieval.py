@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from siltstone.functions.text import quantised_document, quantised_query, tokens
-from siltstone.operators import evaluation, fusion, gating, lexical, vector
+from siltstone.operators import evaluation, fusion, gating, lexical, lists, vector
 from siltstone.plans.registry import query
 from siltstone.sources.tables import spread, table
 
@@ -159,13 +159,15 @@ def dual_index_merge_topk(spark, sf_dir):
 @query()
 def ivf_knn(spark, sf_dir):
     v, q = _vectors(spark, sf_dir)
-    return vector.Ivf.fit(v, 16).search(v, q, 20, probes=10)
+    ivf = lists.Ivf.fit(v)
+    return ivf.search(ivf.index(v), q, 20)
 
 
 @query()
 def ann_recall_vs_exact(spark, sf_dir):
     v, q = _vectors(spark, sf_dir)
-    return evaluation.overlap(vector.Ivf.fit(v, 16).search(v, q, 20, probes=10), vector.exact_neighbours(v, q, 20))
+    ivf = lists.Ivf.fit(v)
+    return evaluation.overlap(ivf.search(ivf.index(v), q, 20), vector.exact_neighbours(v, q, 20))
 
 
 _RELEVANT = "rel AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id AND a.label = b.label)"
@@ -177,8 +179,8 @@ SELECT count(*) AS n_queries, round(avg(coalesce(found, 0) / n::DOUBLE), 6) AS r
 )
 def recall_mrr_at_k(spark, sf_dir):
     v, q = _vectors(spark, sf_dir)
-    good = q.join(v, q.q_label == v.label).where("query_id <> doc_id").select("query_id", "doc_id")
-    m = evaluation.means(evaluation.per_query(vector.exact_neighbours(v, q, 10), good, 10))
+    hits = vector.exact_neighbours(v, q, 10)
+    m = evaluation.means(evaluation.per_query_by_label(hits, q.select("query_id", F.col("q_label").alias("label")), v.select("doc_id", "label"), 10))
     return m.select("n_queries", *[F.round(c, 6).alias(c) for c in ("recall", "hit_rate", "mrr")])
 
 

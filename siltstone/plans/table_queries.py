@@ -106,7 +106,7 @@ def refresh_on_change(spark, sf_dir):
     some = nation.where("n_nationkey < 20")
     sums = [writers.content_checksum(d, "n_nationkey", "n_name").first().checksum for d in (nation, some)]
     first, again, changed = (writers.refresh_if_changed(spark, d, path, c) for d, c in ((nation, sums[0]), (nation, sums[0]), (some, sums[1])))
-    return spark.read.parquet(path).agg(F.count("*").alias("n")).select("n", F.lit(first).alias("first"), F.lit(again).alias("again"), F.lit(changed).alias("changed"))
+    return writers.refreshed(spark, path).agg(F.count("*").alias("n")).select("n", F.lit(first).alias("first"), F.lit(again).alias("again"), F.lit(changed).alias("changed"))
 
 
 @query("SELECT n_nationkey, 'one' AS version FROM nation WHERE n_regionkey = 1")
@@ -119,13 +119,20 @@ def version_rollback(spark, sf_dir):
     return versions.read().select("n_nationkey", F.lit(name).alias("version"))
 
 
-@query("SELECT * FROM (VALUES ('chunks', 'committed', 'r1', 2), ('vectors', 'rolled_back', 'r2', 2)) t(key, state, root, seq)")
+@query("SELECT lang AS key, CASE WHEN count(*) > 0.2 * (SELECT count(*) FROM documents) THEN 'committed' ELSE 'rolled_back' END AS state, 'lang=' || lang AS root, 2 AS seq, count(*)::VARCHAR AS detail FROM documents WHERE lang IS NOT NULL GROUP BY 1")
 def run_registry(spark, sf_dir):
-    log = Registry(spark, _folder(spark))
-    for key, root, end in (("chunks", "r1", "committed"), ("vectors", "r2", "rolled_back")):
-        log.record("dataset", key, "begun", root)
-        log.record("dataset", key, end)
-    return log.state().select("key", "state", "root", F.col("seq").cast("int").alias("seq"))
+    """Partitions of a table, each begun, written, and committed if it holds a fifth of the rows, else rolled back."""
+    path = _folder(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    log = Registry(spark, f"{path}/registry")
+    counts = {r.lang: r["count"] for r in docs.where("lang is not null").groupBy("lang").count().collect()}
+    for lang in counts:
+        log.record("dataset", lang, "begun", f"lang={lang}")
+    writers.write_partitioned(docs.where("lang is not null"), f"{path}/rows", ["lang"])
+    total = docs.count()
+    for lang, n in counts.items():
+        log.record("dataset", lang, "committed" if n > 0.2 * total else "rolled_back", detail=str(n))
+    return log.state().select("key", "state", "root", F.col("seq").cast("int").alias("seq"), "detail")
 
 
 @query("SELECT 'src' || p_size AS path, count(*) AS n_lines, count(*) FILTER (p_partkey % 3 > 0) AS n_hit, (count(*) FILTER (p_partkey % 3 > 0)) / count(*) AS covered FROM part GROUP BY 1")
@@ -251,9 +258,10 @@ def synthetic_questions(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", q.alias("question"))
 
 
-@query("SELECT * FROM (VALUES (10, 25), (500, 405)) t(wanted, asked)")
+@query("SELECT item_id, (ceil(greatest(1, least(length(text), 200)) * CASE WHEN item_id % 2 = 0 THEN 2.0 ELSE 1.0 END) + 5)::BIGINT AS asked FROM benchmark")
 def fan_out_limits(spark, sf_dir):
-    return spark.createDataFrame([(n, gating.fan_out(n, True, bonus=5)) for n in (10, 500)], "wanted int, asked int")
+    """How many candidates each question asks for, if it wants as many hits as it has characters and every other is filtered."""
+    return table(spark, sf_dir, "benchmark").select("item_id", gating.fan_out(F.length("text"), F.col("item_id") % 2 == 0, bonus=5).alias("asked"))
 
 
 @query(

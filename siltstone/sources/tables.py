@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import json
+import functools
 import tempfile
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
+from siltstone.sources.frames import json_frames
+
 CHUNKS = "id long, uri string, start_line int, end_line int, start_byte long, end_byte long, preview string, content string, lang string, content_hash long, symbols array<string>, embedding array<float>"
 
 
@@ -94,25 +95,9 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, *, skip_bad: bool =
 
 
 def json_objects(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Objects that follow one another in files, each over as many lines as it likes; a file that breaks off keeps its whole ones."""
-
-    def split(batches):
-        decoder = json.JSONDecoder()
-        for pdf in batches:
-            found = []
-            for text in pdf["value"]:
-                at = 0
-                while at < len(text):
-                    at += len(text) - at - len(text[at:].lstrip())
-                    try:
-                        value, at = decoder.raw_decode(text, at)
-                    except ValueError:
-                        break
-                    found.append(json.dumps(value))
-            yield pd.DataFrame({"value": pd.Series(found, dtype=object)})
-
-    rows = spark.read.text(path, wholetext=True).mapInPandas(split, "value string")
-    return rows.select(F.from_json("value", schema).alias("r")).select("r.*")
+    """Objects that follow one another in files, each over as many lines as it likes; a file that breaks off keeps its
+    whole ones. Files are read in splits (``frames.json_frames``)."""
+    return json_frames(spark, path).select(F.from_json("text", schema).alias("r")).where("r is not null").select("r.*")
 
 
 def corpus_faults(corpus: DataFrame) -> DataFrame:
@@ -130,10 +115,11 @@ def vector_batch_faults(batch: DataFrame) -> DataFrame:
 
 
 def read_scip(spark: SparkSession, path: str) -> DataFrame:
-    """Occurrences of a SCIP JSON index: path, symbol, start and end, roles as a bit mask."""
+    """Occurrences of a SCIP JSON index: path, symbol, start and end, roles as a bit mask; doc_order rises in the file's
+    order. The index is one object over many lines, of which the elements of ``documents`` are read in splits."""
     occurrence = "struct<symbol:string,range:array<int>,roles:int,symbolRoles:int>"
-    docs = spark.read.option("multiLine", True).schema(f"documents array<struct<relativePath:string,language:string,occurrences:array<{occurrence}>>>").json(path)
-    rows = docs.select(F.posexplode("documents").alias("doc_order", "d")).select("doc_order", "d.relativePath", "d.language", F.posexplode("d.occurrences").alias("occ_order", "o"))
+    docs = json_frames(spark, path, 2).select(F.col("at").alias("doc_order"), F.from_json("text", f"struct<relativePath:string,language:string,occurrences:array<{occurrence}>>").alias("d"))
+    rows = docs.where("d.relativePath is not null").select("doc_order", "d.relativePath", "d.language", F.posexplode("d.occurrences").alias("occ_order", "o"))
     r = F.col("o.range")
     return rows.where(F.size(r).isin(3, 4)).select("doc_order", "occ_order", F.col("relativePath").alias("uri"), "language", F.col("o.symbol").alias("symbol"), r[0].alias("start_line"), r[1].alias("start_col"), F.when(F.size(r) == 3, r[0]).otherwise(r[2]).alias("end_line"), F.element_at(r, -1).alias("end_col"), F.coalesce("o.symbolRoles", "o.roles", F.lit(0)).alias("roles"))
 
@@ -161,15 +147,25 @@ def config_keys(files: DataFrame) -> DataFrame:
     return files.select("path", F.explode(F.array_distinct(keys)).alias("key"))
 
 
-def json_keys(rows: DataFrame, id_col: str, json_col: str, depth: int = 3) -> DataFrame:
-    """(id, key): dotted keys of JSON objects, to a depth."""
-    level = rows.select(F.col(id_col).alias("id"), F.lit("").alias("prefix"), F.from_json(json_col, "map<string,string>").alias("m"))
-    out = None
-    for _ in range(depth):
-        flat = level.select("id", "prefix", F.explode("m").alias("k", "v")).select("id", F.concat("prefix", "k").alias("key"), "v")
-        out = flat.select("id", "key") if out is None else out.unionAll(flat.select("id", "key"))
-        level = flat.where(F.ltrim("v").startswith("{")).select("id", F.concat("key", F.lit(".")).alias("prefix"), F.from_json("v", "map<string,string>").alias("m"))
-    return out
+def json_keys(rows: DataFrame, id_col: str, json_col: str) -> DataFrame:
+    """(id, key): the path of every key and array element, at any depth: ``a.b``, ``l[0].x``, ``[1]``.
+
+    Values are VARIANT; each round explodes what the last one found, until nothing is nested any more: a round, and a
+    checkpoint, a level. Text that is no JSON, null, or repeats a key in an object has no keys. An ``id`` that is
+    repeated keeps its rows apart.
+    """
+    spark = rows.sparkSession
+    checkpoint_root(spark)
+    level = rows.select(F.col(id_col).alias("id"), F.lit("").alias("prefix"), F.try_parse_json(json_col).alias("v")).where("v is not null")
+    levels = []
+    while True:
+        flat = level.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
+        dotted = F.when(F.col("prefix") == "", F.col("key")).otherwise(F.concat_ws(".", "prefix", "key"))
+        level = flat.select("id", F.when(F.col("key").isNull(), F.concat("prefix", F.lit("["), "pos", F.lit("]"))).otherwise(dotted).alias("prefix"), F.col("value").alias("v")).checkpoint()
+        if level.isEmpty():
+            break
+        levels.append(level.select("id", F.col("prefix").alias("key")))
+    return functools.reduce(DataFrame.unionByName, levels, level.select("id", F.col("prefix").alias("key")))
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from siltstone.operators.catalog import latest_rows
+from siltstone.sources.log import Log
+
+#: The checksum's polynomial: products of two residues stay below 2 ** 122.
+MODULUS, BASE = (1 << 61) - 1, 1_152_921_504_606_846_883
 
 
 def write_partitioned(df: DataFrame, path: str, by: list[str], *, codec: str = "zstd") -> None:
@@ -54,68 +59,88 @@ def with_sequence(df: DataFrame, order: list[str], start: int = 0, name: str = "
     return ranged.withColumn("__n", n).join(before, "__p").withColumn(name, F.col("__b") + F.col("__n") - 1 + start).drop("__p", "__n", "__b")
 
 
-def content_checksum(rows: DataFrame, id_col: str, hash_col: str | Column) -> DataFrame:
-    """One row: a checksum of ``id:hash`` lines that doesn't depend on their order, and their count.
+def content_checksum(rows: DataFrame, id_col: str, hash_col: str | Column, order: list[str] | None = None) -> DataFrame:
+    """One row: the count and a checksum of ``id:hash`` lines in their order, by id or by the columns given.
 
-    Digests are summed, so nothing is gathered or sorted.
+    The checksum is the polynomial of the lines' 60-bit digests at BASE, modulo MODULUS. Range partitions have their own,
+    with their lengths, and these compose: a task holds one number, the last step one row a partition. Rows that are
+    equal by the order stand in the order of their digests.
     """
     h = F.col(hash_col) if isinstance(hash_col, str) else hash_col
-    digest = F.conv(F.substring(F.sha2(F.concat_ws(":", F.col(id_col).cast("string"), h.cast("string")), 256), 1, 15), 16, 10).cast("decimal(38,0)")
-    return rows.agg(F.count("*").alias("n"), F.sum(digest).cast("string").alias("checksum"))
+    digest = F.conv(F.substring(F.sha2(F.concat_ws(":", F.col(id_col).cast("string"), h.cast("string")), 256), 1, 15), 16, 10).cast("long")
+    keys = [f"k{i}" for i, _ in enumerate(order or [id_col])]
+    lines = rows.select(*[F.col(c).alias(k) for c, k in zip(order or [id_col], keys, strict=True)], digest.alias("digest"))
+    lines = lines.repartitionByRange(*keys).sortWithinPartitions(*keys, "digest")
+
+    def fold(batches):
+        n, value = 0, 0
+        for pdf in batches:
+            n += len(pdf)
+            for d in pdf["digest"].tolist():
+                value = (value * BASE + d) % MODULUS
+        if n:
+            yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "n": [n], "value": [value]})
+
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, value = 0, 0
+        for r in pdf.sort_values("part").itertuples():
+            n, value = n + r.n, (value * pow(BASE, int(r.n), MODULUS) + r.value) % MODULUS
+        return pd.DataFrame({"n": [n], "checksum": [str(value)]})
+
+    parts = lines.select("digest").mapInPandas(fold, "part long, n long, value long")
+    found = parts.groupBy().applyInPandas(compose, "n long, checksum string")
+    return found.groupBy().agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.coalesce(F.max("checksum"), F.lit("0")).alias("checksum"))
 
 
 def refresh_if_changed(spark: SparkSession, rows: DataFrame, path: str, checksum: str) -> bool:
-    """Writes ``rows`` unless the checksum that is stored beside them is the same."""
-    meta = f"{path.rstrip('/')}_meta"
-    try:
-        if spark.read.json(meta).orderBy(F.desc("at")).first().checksum == checksum:
-            return False
-        at = spark.read.json(meta).count()
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        at = 0
-    rows.write.mode("overwrite").parquet(path)
-    spark.createDataFrame([(checksum, at)], "checksum string, at long").write.mode("append").json(meta)
+    """Writes ``rows`` as a new folder unless the checksum that was last logged is the same; ``refreshed`` reads the last one.
+
+    The rows are whole before the log names them; readers of the old ones aren't disturbed, and of two writers both are
+    logged in some order.
+    """
+    log = Log(spark, f"{path.rstrip('/')}/log")
+    known = log.entries()
+    if known and known[-1]["checksum"] == checksum:
+        return False
+    name = uuid.uuid4().hex
+    rows.write.parquet(f"{path.rstrip('/')}/{name}")
+    log.append(lambda _: {"checksum": checksum, "folder": name})
     return True
 
 
+def refreshed(spark: SparkSession, path: str) -> DataFrame:
+    folder = Log(spark, f"{path.rstrip('/')}/log").entries()[-1]["folder"]
+    return spark.read.parquet(f"{path.rstrip('/')}/{folder}")
+
+
 class Versions:
     """Versions of an index as folders, with a log of which one is current."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-
-    def _log(self) -> list:
-        try:
-            return self.spark.read.schema("seq long, version string, attrs string").json(f"{self.root}/log").orderBy("seq").collect()
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" in str(e):
-                return []
-            raise
+        self.log = Log(spark, f"{self.root}/log")
 
     def publish(self, df: DataFrame, version: str, **attrs) -> str:
-        """Writes a version whole before the log names it."""
+        """Writes a version whole before the log names it; of writers at the same time, the last in the log is current."""
         path = f"{self.root}/{version}"
         df.write.parquet(path)
-        self._append(version, attrs)
+        self.log.append(lambda _: {"version": version, "attrs": attrs})
         return path
 
-    def _append(self, version: str, attrs: dict) -> None:
-        seq = len(self._log())
-        self.spark.createDataFrame([(seq, version, json.dumps(attrs, sort_keys=True))], "seq long, version string, attrs string").write.mode("append").json(f"{self.root}/log")
-
     def current(self) -> str | None:
-        log = self._log()
-        return log[-1].version if log else None
+        log = self.log.entries()
+        return log[-1]["version"] if log else None
 
     def rollback(self) -> str:
         """Back to the version before the current one."""
-        log = [r.version for r in self._log()]
-        if len(log) < 2:
-            raise ValueError("there is no earlier version")
-        self._append(log[-2], {"rollback": True})
-        return log[-2]
+
+        def before(known: list[dict]) -> dict:
+            if len(known) < 2:
+                raise ValueError("there is no earlier version")
+            return {"version": known[-2]["version"], "attrs": {"rollback": True}}
+
+        number = self.log.append(before)
+        return self.log.entries()[number]["version"]
 
     def read(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{self.current()}")

@@ -109,7 +109,7 @@ def test_gates(spark):
     assert [r.f for r in q.select(gating.wants_feedback(F.col("t")).alias("f")).collect()] == [True, False, False, True]
     p = gating.profile(spark.createDataFrame([(1, ""), (2, "?? !!")], "item_id int, text string")).collect()
     assert p[0].length == 0 and p[0].oov_ratio == 1.0 and p[1].looks_literal
-    assert gating.fan_out(500, True) == 400
+    assert [r[0] for r in spark.createDataFrame([(500, True), (3, False), (0, True)], "n int, f boolean").select(gating.fan_out(F.col("n"), F.col("f"))).collect()] == [400, 3, 2]
 
 
 def test_intervals(spark):
@@ -218,6 +218,9 @@ def test_sources(spark, tmp_path):
     assert {tuple(r) for r in tables.config_keys(conf).collect()} == {("a.yaml", "x"), ("a.yaml", "z"), ("b.toml", "t"), ("b.toml", "t.u"), ("c.md", "One"), ("c.md", "Two")}
     keys = tables.json_keys(spark.createDataFrame([(1, '{"a": {"b": 1}, "c": 2}')], "i int, j string"), "i", "j")
     assert {r.key for r in keys.collect()} == {"a", "a.b", "c"}
+    deep = spark.createDataFrame([(1, '{"a":{"b":{"c":{"d":1}}},"l":[{"x":1},[2,[{"y":[]}]]]}'), (2, "[[7]]"), (3, "no json"), (4, None), (5, "3"), (None, '{"k":null}'), (1, '{"a":0}')], "i int, j string")
+    want = [(1, k) for k in ("a", "a.b", "a.b.c", "a.b.c.d", "l", "l[0]", "l[0].x", "l[1]", "l[1][0]", "l[1][1]", "l[1][1][0]", "l[1][1][0].y", "a")] + [(2, "[0]"), (2, "[0][0]"), (None, "k")]
+    assert sorted(map(str, map(tuple, tables.json_keys(deep, "i", "j").collect()))) == sorted(map(str, want))
 
 
 def test_writers(spark, tmp_path):
