@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from siltstone.functions import globs, text
-from siltstone.operators import evaluation, graph, repo, vector
+from siltstone.operators import evaluation, graph, history, repo, vector
 from siltstone.plans.registry import query
 from siltstone.sources import tables, writers
-from siltstone.sources.tables import table
+from siltstone.sources.tables import checkpoint_root, table
 from siltstone.streaming import incremental
 
 _DEFS = "defs AS (SELECT p_name AS symbol, arg_min('f' || p_size, (p_partkey, 'f' || p_size)) AS def_path FROM part GROUP BY 1), refs AS (SELECT p_name AS symbol, 'f' || (l_suppkey % 50 + 1) AS path FROM lineitem JOIN part ON l_partkey = p_partkey), uses AS (SELECT def_path, path AS use_path, symbol, count(*) AS uses FROM refs JOIN defs USING (symbol) WHERE path <> def_path GROUP BY 1, 2, 3)"
@@ -207,6 +209,24 @@ def stitch_symbols(spark, sf_dir):
     return repo.stitch(n, c)
 
 
+@query(f"WITH {_STITCH}, s AS (SELECT DISTINCT node_id FROM n JOIN c ON n.path = c.path AND (abs(line - cl) <= 1 OR name = cn)) SELECT node_id, path, (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM s) AS stitched FROM (SELECT node_id, path, row_number() OVER (ORDER BY md5(node_id::VARCHAR), node_id) AS r FROM n JOIN s USING (node_id)) WHERE r <= 20")
+def module_artifacts(spark, sf_dir):
+    """Nodes written as a file a module, read back; the sample of stitched ones and the index's counts."""
+    path = f"{checkpoint_root(spark)}/modules-{uuid.uuid4().hex}"
+    nodes = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node_id"), (F.col("o_custkey") % 200).alias("path"))
+    found = nodes.join(stitch_symbols(spark, sf_dir).select("node_id", "symbol"), "node_id", "left")
+    index = writers.write_modules(found, path)
+    sample = spark.read.schema("node_id long, path long").json(f"{path}/sample")
+    return sample.select("node_id", "path", F.lit(index["nodes"]).cast("long").alias("nodes"), F.lit(index["stitched"]).cast("long").alias("stitched"))
+
+
+@query()
+def line_blame(spark, sf_dir):
+    """Turns of a conversation as revisions of one text, word by line; which turn last changed each line of the last."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_replace("text", r"\s+", "\n").alias("text"))
+    return history.blame(turns, path_col="conv_id", rev_col="turn")
+
+
 @query("SELECT url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(p, '^(?:\\./)?(?:src/)?', ''), '\\.pyi?$', ''), '/__init__$', ''), '/', '.', 'g') AS module FROM (SELECT DISTINCT url, replace(regexp_extract(url, '://([^?#]*)', 1), '.html', '.py') AS p FROM pages)")
 def module_names(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select("url", F.replace(F.regexp_extract("url", "://([^?#]*)", 1), F.lit(".html"), F.lit(".py")).alias("p")).distinct()

@@ -49,6 +49,26 @@ def bm25_weighted_fields(spark, sf_dir):
     return lexical.bm25(*_tables(spark, sf_dir), fields={"text": 1.0, "source": 2.0, "lang": 1.2})
 
 
+_FIELDS = ("text", "source", "lang")
+_CLAUSES = "text || ' source:( src' || (item_id % 20) || ' src3 )^2.0 lang:(en)'"
+
+
+def _field_sql(f: str) -> str:
+    asked = {"text": "text", "source": "'src' || (item_id % 20) || ' src3'", "lang": "'en'"}[f]
+    boost = {"text": 1.0, "source": 2.0, "lang": 1.0}[f]
+    words = lambda x: f"regexp_extract_all({x}, '{_W}')"
+    return f"""SELECT query_id, doc_id, {_BM25} * qn AS s FROM (SELECT doc_id, term, count(*)::DOUBLE AS tf FROM (SELECT doc_id, lower(unnest({words(f)})) AS term FROM documents) GROUP BY 1, 2) JOIN (SELECT term, count(DISTINCT doc_id)::DOUBLE AS df FROM (SELECT doc_id, lower(unnest({words(f)})) AS term FROM documents) GROUP BY 1) USING (term)
+JOIN (SELECT item_id AS query_id, term, {boost} * count(*) AS qn FROM (SELECT item_id, lower(unnest({words(asked)})) AS term FROM benchmark) GROUP BY 1, 2) USING (term)
+JOIN (SELECT doc_id, len({words(f)})::DOUBLE AS dl FROM documents) USING (doc_id), (SELECT count(*)::DOUBLE AS n, avg(len({words(f)})) AS avgdl FROM documents)"""
+
+
+@query(f"WITH s AS (SELECT query_id, doc_id, round(sum(s), 6) AS score FROM ({' UNION ALL '.join(map(_field_sql, _FIELDS))}) GROUP BY 1, 2) SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 50")
+def boosted_fields(spark, sf_dir):
+    """Queries with boosted clauses on fields, each field with its own lengths and frequencies."""
+    docs, items = _tables(spark, sf_dir)
+    return lexical.bm25_fields(docs, items.select("item_id", F.expr(_CLAUSES).alias("text")), list(_FIELDS))
+
+
 @query(_ranked("ln((n + 1) / (df + 0.5) + 1) * tf"))
 def tfidf_topk(spark, sf_dir):
     return lexical.tfidf(*_tables(spark, sf_dir))
@@ -73,7 +93,15 @@ def bm25_grid(spark, sf_dir):
     return lexical.grid(*_tables(spark, sf_dir), [(0.9, 0.4), (1.2, 0.75), (0.6, 0.2)])
 
 
-@query()
+@query(
+    "WITH " + _TOK.format(p=_W) + f""", s1 AS (SELECT query_id, doc_id, round(sum({_BM25} * qn), 6) AS score FROM tf JOIN df USING (term) JOIN q USING (term) JOIN len USING (doc_id), st GROUP BY 1, 2),
+f AS (SELECT query_id, doc_id, score / sum(score) OVER (PARTITION BY query_id) AS p FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s1 WHERE score > 0) WHERE rank <= 10),
+m AS (SELECT query_id, term, sum(p * tf / dl) AS w FROM f JOIN tf USING (doc_id) JOIN len USING (doc_id) GROUP BY 1, 2),
+t AS (SELECT query_id, term, w FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(w, 12) DESC, term) AS r FROM m) WHERE r <= 10),
+b AS (SELECT query_id, term, sum(qn) AS qn FROM (SELECT query_id, term, 0.5 * w / sum(w) OVER (PARTITION BY query_id) AS qn FROM t UNION ALL SELECT query_id, term, 0.5 * qn / sum(qn) OVER (PARTITION BY query_id) FROM q) GROUP BY 1, 2),
+s AS (SELECT query_id, doc_id, round(sum({_BM25} * qn), 6) AS score FROM tf JOIN df USING (term) JOIN b USING (term) JOIN len USING (doc_id), st GROUP BY 1, 2)
+SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 50"""
+)
 def rm3_expand(spark, sf_dir):
     return lexical.rm3(*_tables(spark, sf_dir))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 import pandas as pd
@@ -146,6 +147,39 @@ class Versions:
         return self.spark.read.parquet(f"{self.root}/{self.current()}")
 
 
+def sampled(rows: DataFrame, key_col: str, k: int) -> DataFrame:
+    """The k rows whose keys have the least MD5: the same rows for the same keys, however they are partitioned. Each task
+    keeps k, and these are merged."""
+    return rows.orderBy(F.md5(F.col(key_col).cast("string")), key_col).limit(k)
+
+
+def write_modules(nodes: DataFrame, root: str, *, path_col: str = "path", key_col: str = "node_id", symbol_col: str = "symbol", sample: int = 20) -> dict:
+    """Nodes as one file of JSON lines a module, a sample of the stitched ones, and an index; returns the index.
+
+    ``modules/module=<path>/`` holds a module's file, rows in the order of their keys; ``sample/`` the nodes with a symbol
+    that ``sampled`` takes; ``index.json`` is put there last and at once, so where it is, the rest is whole. A root that has
+    an index is refused. A null path is Hive's default partition.
+    """
+    spark, root = nodes.sparkSession, root.rstrip("/")
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/index.json")
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(target):
+        raise ValueError(f"{root} has an index")
+    line = F.to_json(F.struct(*sorted(nodes.columns)), {"ignoreNullFields": "false"}).alias("value")
+    rows = nodes.select(F.col(path_col).alias("module"), F.col(key_col).alias("key"), line)
+    rows.repartition("module").sortWithinPartitions("module", "key").drop("key").write.mode("overwrite").partitionBy("module").text(f"{root}/modules")
+    stitched = nodes.where(F.col(symbol_col).isNotNull())
+    sampled(stitched, key_col, sample).select(line).coalesce(1).write.mode("overwrite").text(f"{root}/sample")
+    counts = nodes.agg(F.count("*").alias("nodes"), F.count_distinct(path_col).alias("modules"), F.count(symbol_col).alias("stitched")).first().asDict()
+    index = {"schema": 1, **counts, "sampled": min(sample, counts["stitched"])}
+    draft = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/.index-{uuid.uuid4().hex}")
+    out = fs.create(draft, False)
+    out.write(bytearray(json.dumps(index, sort_keys=True).encode()))
+    out.close()
+    fs.rename(draft, target)
+    return index
+
+
 def module_report(modules: DataFrame) -> DataFrame:
     """(path, markdown) of modules(path, tags, hotspot, docstring)."""
     return modules.select("path", F.concat_ws("\n", F.concat(F.lit("# "), "path"), F.concat(F.lit("- tags: "), F.array_join("tags", ", ")), F.concat(F.lit("- hotspot: "), F.col("hotspot").cast("string")), F.lit(""), F.coalesce("docstring", F.lit(""))).alias("markdown"))
