@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,22 +44,49 @@ def exported(nodes: DataFrame, exports: DataFrame) -> DataFrame:
     return nodes.join(exports, "path").where((F.col("name") == F.col("exported")) | F.col("qualname").startswith(F.col("exported")))
 
 
-def _buckets(start: Column, end: Column, size: int) -> Column:
-    return F.explode(F.sequence(F.floor(start / size), F.floor(F.greatest(start, end) / size)))
+def _cells(start: Column, end: Column, level: Column, bucket: int) -> Column:
+    size = F.lit(bucket).cast("long") * F.pow(F.lit(4), level).cast("long")
+    return F.sequence(F.floor(start / size), F.floor(F.greatest(start, end) / size))
 
 
 def overlapping(left: DataFrame, right: DataFrame, key: str, lspan: tuple[str, str], rspan: tuple[str, str], *, bucket: int = BUCKET) -> DataFrame:
     """Pairs of one key whose inclusive intervals overlap, each once.
 
-    A null end counts as the other one. Both sides are dealt to buckets of lines, so one long file is many join keys;
-    a pair that shares several buckets is kept in the first of them.
+    A null end counts as the other one. An interval lies in cells that suit its length, ``bucket`` lines or 4, 16 ...
+    times as many, so it is in two or three of them however long it is, and one long file is many join keys. Of a pair
+    the longer one stays in its cells and the other is looked for there, for each size of cell that occurs; a pair that
+    shares several cells is kept in the first of them.
     """
     a0, a1 = (F.coalesce(F.col(lspan[i]), F.col(lspan[1 - i])) for i in (0, 1))
     b0, b1 = (F.coalesce(F.col(rspan[i]), F.col(rspan[1 - i])) for i in (0, 1))
-    a = left.select("*", a0.alias("__a0"), a1.alias("__a1")).select("*", _buckets(F.col("__a0"), F.col("__a1"), bucket).alias("__k"))
-    b = right.select("*", b0.alias("__b0"), b1.alias("__b1")).select("*", _buckets(F.col("__b0"), F.col("__b1"), bucket).alias("__k"))
-    both = a.join(b, [key, "__k"]).where("__a0 <= __b1 and __a1 >= __b0")
-    return both.where(F.col("__k") == F.floor(F.greatest("__a0", "__b0") / bucket)).drop("__a0", "__a1", "__b0", "__b1", "__k")
+    level = lambda s, e: F.greatest(F.lit(0), F.ceil(F.log(4.0, F.greatest(e - s + 1, F.lit(1)) / bucket))).cast("int")
+    a = left.select("*", a0.alias("__a0"), a1.alias("__a1")).select("*", level(F.col("__a0"), F.col("__a1")).alias("__la"))
+    b = right.select("*", b0.alias("__b0"), b1.alias("__b1")).select("*", level(F.col("__b0"), F.col("__b1")).alias("__lb"))
+    la, lb = (sorted(r[0] for r in x.where(f"{c} is not null").select(c).distinct().collect()) for x, c in ((a, "__la"), (b, "__lb")))  # some thirty at most
+    ends = {"__a": ("__a0", "__a1"), "__b": ("__b0", "__b1")}
+
+    def dealt(df: DataFrame, side: str, at: Column) -> DataFrame:
+        """A row for each level of ``at`` and cell there."""
+        s, e = (F.col(c) for c in ends[side])
+        out = df.withColumn("__v", F.explode(at))
+        return out.withColumn("__k", F.explode(_cells(s, e, F.col("__v"), bucket)))
+
+    def met(own: DataFrame, other: DataFrame, side: str, levels: list[int], least: Column) -> DataFrame:
+        at = F.filter(F.array(*[F.lit(v) for v in levels]), lambda v: v >= least)
+        resident, visitor = dealt(own, side, F.array(f"__l{side[2]}")), dealt(other, "__b" if side == "__a" else "__a", at)
+        return resident.join(visitor, [key, "__v", "__k"])
+
+    parts = []
+    if la:
+        parts.append(met(a, b, "__a", la, F.col("__lb")))
+    if lb and la and lb[-1] > la[0]:
+        parts.append(met(b, a, "__b", lb, F.col("__la") + 1))
+    columns = [key, *[c for c in left.columns if c != key], *[c for c in right.columns if c != key]]
+    if not parts:
+        return left.join(right, key).select(*columns).limit(0)
+    first = F.floor(F.greatest("__a0", "__b0") / (F.lit(bucket).cast("long") * F.pow(F.lit(4), F.col("__v")).cast("long")))
+    out = [p.where("__a0 <= __b1 and __a1 >= __b0").where(F.col("__k") == first).select(*columns) for p in parts]
+    return functools.reduce(DataFrame.unionByName, out)
 
 
 def containing(points: DataFrame, spans: DataFrame, key: str, at: str, span: tuple[str, str], point_id: str, span_id: str, *, bucket: int = BUCKET) -> DataFrame:

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import bisect
+import itertools
+import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -44,41 +47,67 @@ def pack_text(text: str, spans: list[tuple[int, int, str]], budget: int) -> list
     return out + [open_] if open_ else out
 
 
-def pack(files: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """Chunks of files(uri, text, spans array<struct<start, end, symbol>>): character, byte and line offsets and text."""
+def line_spans(text: str) -> list[dict]:
+    """Each line without its end as a span, by one running sum over their lengths."""
+    lines = text.split("\n")
+    ends = itertools.accumulate(len(x) + 1 for x in lines)
+    return [{"start": e - 1 - len(x), "end": e - 1, "symbol": f"line{i}"} for i, (x, e) in enumerate(zip(lines, ends, strict=True))]
+
+
+def pack(files: DataFrame, budget: int = BUDGET, *, by_line: bool = False) -> DataFrame:
+    """Chunks of files(uri, text, spans array<struct<start, end, symbol>>): character, byte and line offsets and text.
+
+    ``by_line`` takes the lines of a text as its spans; ``files`` needs no spans then. Bytes are counted from chunk to
+    chunk, so a text is encoded once.
+    """
 
     def run(batches):
         for pdf in batches:
             rows = []
-            for uri, text, spans in zip(pdf["uri"], pdf["text"], pdf["spans"], strict=True):
+            for uri, text, spans in zip(pdf["uri"], pdf["text"], pdf["text"] if by_line else pdf["spans"], strict=True):
                 text = text or ""
+                spans = line_spans(text) if by_line else spans
                 order = sorted((s["start"], s["end"], s["symbol"]) for s in (spans if spans is not None else ()))
-                lines = [i for i, c in enumerate(text) if c == "\n"]
+                lines = [m.start() for m in re.finditer("\n", text)]
+                at = before = 0
                 for n, (a, b, names) in enumerate(pack_text(text, order, budget)):
                     if b > a:
-                        before = len(text[:a].encode())
+                        if a >= at:
+                            before += len(text[at:a].encode())
+                        else:
+                            before -= len(text[a:at].encode())
+                        at = a
                         rows.append((uri, n, a, b, before, before + len(text[a:b].encode()), bisect.bisect_left(lines, a), bisect.bisect_left(lines, b - 1), names, text[a:b]))
             yield pd.DataFrame(rows, columns=["uri", "n", "start_char", "end_char", "start_byte", "end_byte", "start_line", "end_line", "symbols", "text"])
 
-    return files.select("uri", "text", "spans").mapInPandas(run, "uri string, n int, start_char long, end_char long, start_byte long, end_byte long, start_line int, end_line int, symbols array<string>, text string")
+    return files.select("uri", "text", *([] if by_line else ["spans"])).mapInPandas(run, "uri string, n int, start_char long, end_char long, start_byte long, end_byte long, start_line int, end_line int, symbols array<string>, text string")
 
 
 def greedy_groups(rows: DataFrame, keys: list[str], order: str, size: str, budget: int) -> DataFrame:
-    """Adds to each row of a key, in order, the number of its group; a group closes when the next row exceeds the budget.
+    """(keys, order, chunk): the number of each row's group; a group closes when the next row exceeds the budget.
 
-    The fold runs inside the sorted array of each key, in the JVM.
+    Rows of a key are together and in order, equal ones by size, and are walked with one number held, so a key of very
+    many rows is never one array. A null size counts as 0.
     """
-    items = F.array_sort(F.collect_list(F.struct(order, size)))
-    start = F.struct(F.lit(0).cast("long").alias("g"), F.lit(0).cast("long").alias("used"), F.array().cast(f"array<struct<{order}:long,g:long>>").alias("out"))
-
-    def step(acc, x):
-        fits = (acc["used"] == 0) | (acc["used"] + x[size] <= budget)
-        g = F.when(fits, acc["g"]).otherwise(acc["g"] + 1)
-        used = F.when(fits, acc["used"] + x[size]).otherwise(x[size])
-        return F.struct(g.alias("g"), used.cast("long").alias("used"), F.concat(acc["out"], F.array(F.struct(x[order].cast("long").alias(order), g.alias("g")))).alias("out"))
+    columns = [*keys, order]
+    ranged = rows.select(*columns, F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("__size")).repartition(*keys).sortWithinPartitions(*columns, "__size")
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns)
 
-    folded = rows.groupBy(*keys).agg(items.alias("items")).select(*keys, F.aggregate("items", start, step, lambda acc: acc["out"]).alias("out"))
-    return folded.select(*keys, F.explode("out").alias("o")).select(*keys, F.col(f"o.{order}").alias(order), F.col("o.g").alias("chunk"))
+    def run(batches):
+        key, used, group = object(), 0, 0
+        for batch in batches:
+            groups = []
+            for *now, n in zip(*(batch.column(c).to_pylist() for c in [*keys, "__size"]), strict=True):
+                if now != key:
+                    key, used, group = now, n, 0
+                elif used == 0 or used + n <= budget:
+                    used += n
+                else:
+                    used, group = n, group + 1
+                groups.append(group)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(groups, pa.int64())], [*columns, "chunk"])
+
+    return ranged.mapInArrow(run, f"{kinds}, chunk long")
 
 
 def related(calls: DataFrame, defs: DataFrame, most: int = 8) -> DataFrame:

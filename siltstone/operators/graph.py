@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.sources.tables import checkpoint_root
+from siltstone.sources.tables import checkpoint_root, written
 
 
 def use_edges(defs: DataFrame, refs: DataFrame) -> DataFrame:
@@ -90,43 +90,95 @@ def _spread(edges: DataFrame, label: DataFrame) -> DataFrame:
     total = None
     while True:
         sent = edges.join(label.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "label")
-        label = label.unionByName(sent).groupBy("node").agg(F.min("label").alias("label")).checkpoint()
+        label = written(label.unionByName(sent).groupBy("node").agg(F.min("label").alias("label")))
         now = label.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
         if now == total:
             return label
         total = now
 
 
+def _contracted(edges: DataFrame, max_rounds: int = 64) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges without the inner nodes of chains, these nodes as (node, head, tail), and the nodes of rings (node, component).
+
+    An inner node has one edge in and one out. Pointers both ways are doubled until they lead out of the chain, which
+    takes the logarithm of its length; those that never do lie on a ring of such nodes, whose smallest they meet.
+    """
+    into = edges.groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("head"), F.count("*").alias("n_in"))
+    out = edges.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("tail"), F.count("*").alias("n_out"))
+    at = written(into.join(out, "node").where("n_in = 1 and n_out = 1").select("node", "head", "tail", F.col("node").alias("low")))
+    inner = at.select("node")
+    longest = inner.count()
+    rest = edges.join(inner.withColumnRenamed("node", "src"), "src", "left_anti").join(inner.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")
+    if not longest:
+        return rest, at.select("node", "head", "tail"), at.select("node", F.col("low").alias("component"))
+    # Who is out of the chain points to itself; the smallest node passed goes along towards the tail.
+    for k in range(max_rounds):
+        back = at.select(F.col("node").alias("head"), F.col("head").alias("far_head"))
+        on = at.select(F.col("node").alias("tail"), F.col("tail").alias("far_tail"), F.col("low").alias("far_low"))
+        step = at.join(back, "head", "left").join(on, "tail", "left")
+        moved = F.col("far_head").isNotNull() | F.col("far_tail").isNotNull()
+        at = written(step.select("node", F.coalesce("far_head", "head").alias("head"), F.coalesce("far_tail", "tail").alias("tail"), F.least("low", F.coalesce("far_low", "low")).alias("low"), moved.alias("moved")))
+        if 1 << k > longest or at.where("moved").isEmpty():
+            break
+    left = at.join(inner.withColumnRenamed("node", "tail").withColumn("ring", F.lit(True)), "tail", "left")
+    chains = written(left.where("ring is null").select("node", "head", "tail"))
+    rings = written(left.where("ring").select("node", F.col("low").alias("component")))
+    joined = chains.select(F.col("head").alias("src"), F.col("tail").alias("dst"))
+    return written(rest.unionByName(joined).where("src <> dst").distinct()), chains, rings
+
+
 def strong_components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """(node, component): the smallest node of each strongly connected component. Nodes are whole numbers.
 
+    Chains are contracted first, so that a long path or ring takes rounds by the logarithm of its length: a node with one
+    edge in and one out is on a cycle only if the ends of its chain are one component, and then it is of that one.
+    """
+    checkpoint_root(edges.sparkSession)
+    every = nodes.select("node").distinct()
+    e = edges.select("src", "dst").where("src <> dst").distinct()
+    e = written(e.join(every.withColumnRenamed("node", "src"), "src", "left_semi").join(every.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"))
+    rest, chains, rings = _contracted(e)
+    plain = written(every.join(chains, "node", "left_anti").join(rings, "node", "left_anti"))
+    core = written(_coloured(rest, plain, max_rounds))
+    name = lambda c: core.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
+    inner = chains.join(name("head"), "head").join(name("tail"), "tail")
+    inner = inner.select("node", F.when(F.col("c_head") == F.col("c_tail"), F.col("c_head")).alias("component"))
+    found = core.unionByName(inner.where("component is not null")).groupBy("component").agg(F.min("node").alias("least"))
+    named = core.unionByName(inner.where("component is not null")).join(found, "component").select("node", F.col("least").alias("component"))
+    alone = inner.where("component is null").select("node", F.col("node").alias("component"))
+    return named.unionByName(alone).unionByName(rings)
+
+
+def _coloured(edges: DataFrame, nodes: DataFrame, max_rounds: int) -> DataFrame:
+    """(node, component) by colouring.
+
     Each round the smallest label spreads forwards; going backwards from each label's own node within its colour gives
     whole components, which are set aside. Nodes that ``max_rounds`` leave over are an error, never lost.
     """
     checkpoint_root(edges.sparkSession)
-    left = nodes.select("node").distinct().checkpoint()
-    e = edges.select("src", "dst").where("src <> dst").distinct().checkpoint()
+    left = written(nodes.select("node").distinct())
+    e = written(edges.select("src", "dst").where("src <> dst").distinct())
     done = None
     for _ in range(max_rounds):
         if left.isEmpty():
             break
         # a node without edges both ways is a component by itself
-        both = e.select(F.col("src").alias("node")).distinct().join(e.select(F.col("dst").alias("node")).distinct(), "node", "left_semi").checkpoint()
+        both = written(e.select(F.col("src").alias("node")).distinct().join(e.select(F.col("dst").alias("node")).distinct(), "node", "left_semi"))
         single = left.join(both, "node", "left_anti").select("node", F.col("node").alias("component"))
-        colour = _spread(e, left.join(both, "node", "left_semi").select("node", F.col("node").alias("label")).checkpoint()) if not both.isEmpty() else None
+        colour = _spread(e, written(left.join(both, "node", "left_semi").select("node", F.col("node").alias("label")))) if not both.isEmpty() else None
         found = single
         if colour is not None:
             colour = colour.join(both, "node", "left_semi")
             c1, c2 = colour.select(F.col("node").alias("src"), F.col("label").alias("l1")), colour.select(F.col("node").alias("dst"), F.col("label").alias("l2"))
-            back = e.join(c1, "src").join(c2, "dst").where("l1 = l2").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("l1").alias("colour")).checkpoint()
-            roots = colour.where("node = label").select("node", "label").checkpoint()
+            back = written(e.join(c1, "src").join(c2, "dst").where("l1 = l2").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("l1").alias("colour")))
+            roots = written(colour.where("node = label").select("node", "label"))
             reach = _spread(back.select("src", "dst"), roots)
             own = reach.join(colour.withColumnRenamed("label", "colour"), "node").where("label = colour").select("node", F.col("colour").alias("component"))
             found = found.unionByName(own)
-        found = found.distinct().checkpoint()
+        found = written(found.distinct())
         done = found if done is None else done.unionByName(found)
-        left = left.join(found, "node", "left_anti").checkpoint()
-        e = e.join(left.withColumnRenamed("node", "src"), "src", "left_semi").join(left.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst").checkpoint()
+        left = written(left.join(found, "node", "left_anti"))
+        e = written(e.join(left.withColumnRenamed("node", "src"), "src", "left_semi").join(left.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"))
     else:
         if not left.isEmpty():
             raise RuntimeError(f"strong components did not settle in {max_rounds} rounds")

@@ -66,8 +66,9 @@ def side_effects(imports: Column) -> Column:
 
 
 def tag_index(modules: DataFrame) -> DataFrame:
-    """(tag, n, paths) of modules(path, tags)."""
-    return modules.select("path", F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("path")).alias("paths"))
+    """(tag, path, n) of modules(path, tags): a row a posting, with the number of its tag's; a hot tag is many rows, not one array."""
+    rows = modules.select("path", F.explode("tags").alias("tag"))
+    return rows.join(rows.groupBy("tag").agg(F.count("*").alias("n")), "tag").select("tag", "path", "n")
 
 
 def ownership(commits: DataFrame, now: Column, *, recent: int | None = None, windows: tuple[int, ...] = (30, 90), top: int = 3) -> DataFrame:
@@ -85,9 +86,10 @@ def ownership(commits: DataFrame, now: Column, *, recent: int | None = None, win
 
 
 def cross_reference(occurrences: DataFrame) -> DataFrame:
-    """Per symbol: the files that define it (role bit 1) and those that use it."""
-    is_def = F.col("roles").bitwiseAND(1) == 1
-    return occurrences.groupBy("symbol").agg(F.sort_array(F.collect_set(F.when(is_def, F.col("uri")))).alias("defs"), F.sort_array(F.collect_set(F.when(~is_def, F.col("uri")))).alias("refs"))
+    """(symbol, role, uri, n): the files that define a symbol (role bit 1) and those that use it, with how often; a row a
+    file, so a symbol that very many files use is many rows."""
+    role = F.when(F.col("roles").bitwiseAND(1) == 1, "def").otherwise("ref")
+    return occurrences.groupBy("symbol", role.alias("role"), "uri").agg(F.count("*").alias("n"))
 
 
 def definitions(occurrences: DataFrame) -> DataFrame:

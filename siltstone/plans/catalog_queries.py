@@ -240,7 +240,12 @@ def ordered_turns(spark, sf_dir):
     return chunking.turns_text(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
 
 
-@query()
+@query(
+    """WITH RECURSIVE r AS (SELECT conv_id, turn, coalesce(length(text), 0)::BIGINT AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(length(text), 0)) AS k FROM conversations),
+g AS (SELECT conv_id, turn, k, n AS used, 0::BIGINT AS chunk FROM r WHERE k = 1
+UNION ALL SELECT r.conv_id, r.turn, r.k, CASE WHEN used = 0 OR used + n <= 600 THEN used + n ELSE n END, CASE WHEN used = 0 OR used + n <= 600 THEN chunk ELSE chunk + 1 END FROM g JOIN r ON r.conv_id = g.conv_id AND r.k = g.k + 1)
+SELECT conv_id, turn, chunk FROM g"""
+)
 def greedy_turn_groups(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), F.length("text").cast("long").alias("n"))
     return chunking.greedy_groups(c, ["conv_id"], "turn", "n", 600)
@@ -249,10 +254,7 @@ def greedy_turn_groups(spark, sf_dir):
 @query()
 def chunk_packing(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "doc_id").alias("uri"), "text")
-    lines = F.split("text", "\n")
-    ends = F.transform(F.sequence(F.lit(1), F.size(lines)), lambda i: F.length(F.array_join(F.slice(lines, F.lit(1), i), "\n")).cast("long"))
-    spans = F.transform(ends, lambda e, i: F.struct((e - F.length(F.get(lines, i))).cast("long").alias("start"), e.alias("end"), F.concat(F.lit("line"), i.cast("string")).alias("symbol")))
-    return chunking.pack(d.withColumn("spans", spans), 2200)
+    return chunking.pack(d, 2200, by_line=True)
 
 
 @query("SELECT 'rows' AS name, count(*) AS n FROM documents")

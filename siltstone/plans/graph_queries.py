@@ -80,10 +80,10 @@ def import_cycles(spark, sf_dir):
     return graph.cycles(graph.strong_components(e, n), e)
 
 
-@query("WITH t AS (SELECT o_orderkey AS id, unnest([o_orderstatus, o_orderpriority]) AS tag FROM orders) SELECT tag, count(*) AS n, md5(string_agg(id::VARCHAR, ',' ORDER BY id)) AS digest FROM t GROUP BY 1")
+@query("WITH t AS (SELECT o_orderkey AS path, unnest([o_orderstatus, o_orderpriority]) AS tag FROM orders) SELECT tag, path, count(*) OVER (PARTITION BY tag) AS n FROM t")
 def tag_inverted_index(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("path"), F.array("o_orderstatus", "o_orderpriority").alias("tags"))
-    return repo.tag_index(o).select("tag", "n", F.md5(F.concat_ws(",", F.col("paths").cast("array<string>"))).alias("digest"))
+    return repo.tag_index(o)
 
 
 _MODULES = "m AS (SELECT s_suppkey, 'pkg.m' || (s_suppkey % 10) || CASE WHEN s_suppkey % 3 = 0 THEN '.sub' || s_suppkey ELSE '' END AS module, 'p' || s_suppkey AS path FROM supplier), i AS (SELECT DISTINCT 'p' || l_suppkey AS path, 'pkg.m' || (l_partkey % 10) || '.sub' || (l_partkey % 120) || '.name' AS target FROM lineitem)"
@@ -187,9 +187,9 @@ def _occurrences(spark, sf_dir):
     return li.select(F.concat(F.lit("s"), F.col("l_partkey") % 500).alias("symbol"), F.concat(F.lit("u"), F.col("l_suppkey")).alias("uri"), F.when(F.col("l_linenumber") == 1, 1).when(F.col("l_linenumber") == 2, 9).otherwise(8).alias("roles"))
 
 
-@query(f"WITH {_OCC} SELECT symbol, array_to_string(coalesce(list_sort(list(DISTINCT uri) FILTER (roles & 1 = 1)), []), ',') AS defs, array_to_string(coalesce(list_sort(list(DISTINCT uri) FILTER (roles & 1 = 0)), []), ',') AS refs FROM o GROUP BY 1")
+@query(f"WITH {_OCC} SELECT symbol, CASE WHEN roles & 1 = 1 THEN 'def' ELSE 'ref' END AS role, uri, count(*) AS n FROM o GROUP BY 1, 2, 3")
 def symbol_cross_reference(spark, sf_dir):
-    return repo.cross_reference(_occurrences(spark, sf_dir)).select("symbol", F.concat_ws(",", "defs").alias("defs"), F.concat_ws(",", "refs").alias("refs"))
+    return repo.cross_reference(_occurrences(spark, sf_dir))
 
 
 @query(f"WITH {_OCC} SELECT symbol, count(*) AS n FROM o WHERE roles & 1 = 1 GROUP BY 1")

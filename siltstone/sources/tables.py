@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import tempfile
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +33,17 @@ def checkpoint_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to the folder of checkpoints and read again: lineage is cut, and unlike with ``checkpoint()`` the
+    optimiser carries no constraints over, which grow from round to round of a loop. It goes when the session's JVM ends."""
+    spark = df.sparkSession
+    path = f"{checkpoint_root(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A scan of fewer parts than there are cores (a small or unsplittable file) dealt out evenly, for costly expressions
     on it; any other one as it is."""

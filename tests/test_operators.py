@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -122,6 +123,85 @@ def test_intervals(spark):
     assert {r.id for r in catalog.top_level(d, "uri", "id", ("s", "e")).collect()} == {1, 4}
 
 
+def test_intervals_of_all_lengths(spark):
+    rng = random.Random(4)
+    make = lambda n: [(i, rng.choice("fg"), s := rng.randint(-50, 4000), s + rng.choice([0, 3, 70, 900, 10**9, -5])) for i in range(n)]
+    left, right = make(60) + [(60, "f", None, None), (61, "f", 7, None)], make(70)
+    a, b = spark.createDataFrame(left, "id int, uri string, s long, e long"), spark.createDataFrame(right, "n int, uri string, x long, y long")
+    span = lambda s, e: (s if s is not None else e, e if e is not None else s)
+    want = [(i, n) for i, u, *x in left for n, v, *y in right if u == v and None not in span(*x) and span(*x)[0] <= span(*y)[1] and span(*x)[1] >= span(*y)[0]]
+    for bucket in (16, 256):
+        got = catalog.overlapping(a, b, "uri", ("s", "e"), ("x", "y"), bucket=bucket)
+        assert got.columns == ["uri", "id", "s", "e", "n", "x", "y"]
+        assert sorted((r.id, r.n) for r in got.collect()) == sorted(want)
+        assert sorted((r.id, r.n) for r in catalog.overlapping(b, a, "uri", ("x", "y"), ("s", "e"), bucket=bucket).collect()) == sorted(want)
+    assert catalog.overlapping(a.limit(0), b, "uri", ("s", "e"), ("x", "y")).count() == 0
+
+
+def test_long_paths_and_rings_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    spread = graph._spread
+    monkeypatch.setattr(graph, "_spread", lambda *a: rounds.append(1) or spread(*a))
+    n = 5000
+    path = [(i, i + 1) for i in range(1, n)]
+    ring = [(n + 1 + i, n + 1 + (i + 1) % 300) for i in range(300)]
+    # two hubs joined both ways by chains, and a chain that leaves them
+    hubs = [(9000, 9001), (9001, 9002), (9002, 9003), (9003, 9004), (9004, 9005), (9005, 9000), (9003, 9000), (9000, 9010), (9010, 9011), (9000, 8999), (8999, 9000)]
+    e = spark.createDataFrame(path + ring + hubs + [(7, 7), (1, 99999)], "src long, dst long")
+    nodes = spark.createDataFrame([(i,) for i in sorted({x for p in path + ring + hubs for x in p} | {8888})], "node long")
+    got = {r.node: r.component for r in graph.strong_components(e, nodes).collect()}
+    want = {i: i for i in [*range(1, n + 1), 8888, 9010, 9011]} | {i: n + 1 for i in range(n + 1, n + 301)} | {i: 8999 for i in range(8999, 9006)}
+    assert got == want and len(rounds) < 30
+
+
+def test_strong_components_of_random_graphs(spark):
+    rng = random.Random(6)
+    edges, nodes, want, base = [], [], {}, 0
+    for size, m in ((6, 7), (12, 14), (12, 30), (20, 22), (20, 26), (3, 3)):
+        es = {(rng.randrange(size), rng.randrange(size)) for _ in range(m)}
+        reach = {i: {i} for i in range(size)}
+        for _ in range(size):
+            for a, b in es:
+                for i in range(size):
+                    if a in reach[i]:
+                        reach[i].add(b)
+        for i in range(size):
+            want[base + i] = base + min(j for j in reach[i] if i in reach[j])
+        edges += [(base + a, base + b) for a, b in es]
+        nodes += [(base + i,) for i in range(size)]
+        base += size
+    c = graph.strong_components(spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame(nodes, "node long"))
+    assert sorted((r.node, r.component) for r in c.collect()) == sorted(want.items())
+
+
+def test_packing_by_line(spark):
+    rng = random.Random(8)
+    texts = ["\n".join("é" * rng.choice([0, 3, 10, 45]) for _ in range(rng.randint(1, 30))) for _ in range(12)] + ["", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "uri string, text string")
+    spans = df.rdd.map(lambda r: (r.uri, r.text, [(s["start"], s["end"], s["symbol"]) for s in chunking.line_spans(r.text or "")])).toDF("uri string, text string, spans array<struct<start:int,end:int,symbol:string>>")
+    got = {(r.uri, r.n): r for r in chunking.pack(df, 20, by_line=True).collect()}
+    assert {k: tuple(r) for k, r in got.items()} == {(r.uri, r.n): tuple(r) for r in chunking.pack(spans, 20).collect()} and len(got) > 40
+    for (uri, _), r in got.items():
+        t = texts[int(uri)]
+        assert r.text == t[r.start_char : r.end_char] == t.encode()[r.start_byte : r.end_byte].decode() and len(r.text) <= max(20, 45)
+        assert r.start_line == t[: r.start_char].count("\n")
+
+
+def test_greedy_groups_walk_keys_with_nulls(spark):
+    rng = random.Random(1)
+    rows = [(rng.choice([1, 2, None]), i, rng.choice([0, 1, 5, 9, 30, None])) for i in range(300)]
+    got = chunking.greedy_groups(spark.createDataFrame(rows, "k int, pos long, n int").repartition(7), ["k"], "pos", "n", 10)
+    assert got.dtypes == [("k", "int"), ("pos", "bigint"), ("chunk", "bigint")]
+    want, state = set(), {}
+    for k, i, n in rows:
+        n = n or 0
+        used, g = state.get(k, (0, 0))
+        used, g = (used + n, g) if used == 0 or used + n <= 10 else (n, g + 1)
+        state[k] = used, g
+        want.add((k, i, g))
+    assert {tuple(r) for r in got.collect()} == want
+
+
 def test_hydration_and_repair(spark, paths):
     assert [r.uri for r in catalog.hydrate_list(paths, [2, 0, 2, 99], "id").collect()] == [PATHS[2], PATHS[0], PATHS[2]]
     r = spark.createDataFrame([(0, " "), (1, "kept"), (77, "gone")], "id long, uri string")
