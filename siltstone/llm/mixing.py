@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+import logging
+import math
+
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from siltstone.llm.common import checkpoint_root, together, written
 
+_log = logging.getLogger(__name__)
 DIMENSIONS = ("source", "lang", "topic")
 #: A marginal's target share of tokens is its own share to this power, normalised, where no target is given.
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 1.0}
-#: Rounds at most, and how far off its target a sum may be at the end of one.
-ROUNDS = 8
+#: How far off its target a sum may be at the end of a round; rounds after which raking that still comes closer is an
+#: error. Marginals that no weights can meet together never come closer than some distance: rounds that bring less than
+#: STALL of it end the raking, and that is logged.
 TOLERANCE = 1e-12
+ROUNDS = 500
+STALL = 1e-4
 #: Share of all tokens that the sample has in expectation.
 BUDGET = 0.8
 #: Up to this many cells the weights are broadcast; beyond it they are joined by shuffle.
@@ -47,12 +55,14 @@ def _targets(cells: DataFrame, d: str, targets: dict[str, dict[str, float]] | No
     return sums.select(d, (F.col("t") / F.lit(whole)).alias("t"))
 
 
-def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
     """Iterative proportional fitting of ``cells(source, lang, topic, c)``: adds w, of the same total as c.
 
-    Each dimension's sums are aggregated and joined back, so no task holds all cells; a round's result is written, which
-    cuts lineage and keeps the planner's size estimates true. It ends when no sum is off its target by more than ``tolerance`` of it, or after
-    ``rounds``. Null keys are cells of 'unknown'; repeated cells keep a row each, scaled alike; null and negative c
+    Each dimension's sums are aggregated and joined back, so no task holds more than CELLS_A_TASK cells; a round's result is written, which
+    cuts lineage and keeps the planner's size estimates true. It ends when no sum is off its target by more than
+    ``tolerance`` of it. Where marginals contradict one another it ends when they come no closer, with a warning; the
+    last dimension's are met then. If they still come closer after ROUNDS, it raises an error; a caller who gives
+    ``rounds`` gets what these reach. Null keys are cells of 'unknown'; repeated cells keep a row each, scaled alike; null and negative c
     count as 0. A cell whose target is 0, or not given where the dimension's are, gets 0; a target that no cell meets
     is left out. An empty table, or one without mass, keeps its rows with w 0.
     """
@@ -67,16 +77,33 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, r
         goals = goals.join(_targets(out, d, targets).withColumnRenamed("t", f"t_{d}"), d, "left")
     kept = [*DIMENSIONS, "c", *[f"t_{d}" for d in DIMENSIONS]]
     out = written(goals.select(*kept, "w").repartition(-(-size.n // CELLS_A_TASK)), "goals")
-    for k in range(rounds):
-        out = out.withColumn("off", F.lit(0.0))
+    # Cells of one task at most are one partition, where sums over a dimension need no shuffle; more are joined with them.
+    small = size.n <= CELLS_A_TASK
+    last, still = math.inf, 0
+    for k in range(rounds or ROUNDS):
+        out = (out.coalesce(1) if small else out).withColumn("off", F.lit(0.0))
         for d in DIMENSIONS:
-            scale = out.groupBy(d).agg(F.coalesce(F.first(f"t_{d}") * total / F.nullif(F.sum("w"), F.lit(0.0)), F.lit(0.0)).alias("f"))
+            if small:
+                goal, total_of = F.col(f"t_{d}"), F.sum("w").over(Window.partitionBy(d))
+            else:
+                goal, total_of = F.first(f"t_{d}"), F.sum("w")
+            factor = F.coalesce(goal * total / F.nullif(total_of, F.lit(0.0)), F.lit(0.0)).alias("f")
+            out = out.select("*", factor) if small else out.join(out.groupBy(d).agg(factor), d)
             off = F.greatest("off", F.when(F.col("w") > 0, F.abs(F.col("f") - 1)).otherwise(0.0))
-            out = out.join(scale, d).select(*kept, (F.col("w") * F.col("f")).alias("w"), off.alias("off"))
+            out = out.select(*kept, (F.col("w") * F.col("f")).alias("w"), off.alias("off"))
         seen = Observation(f"raked {k}")
         out = written(out.observe(seen, F.max("off").alias("off")), "raked").drop("off")
-        if seen.get["off"] <= tolerance:
+        off = seen.get["off"]
+        still = still + 1 if off >= last * (1 - STALL) else 0
+        if off <= tolerance or still == 3:
+            _log.info("raked in %s rounds", k + 1)
             break
+        last = off
+    else:
+        if rounds is None:
+            raise RuntimeError(f"marginals are still {off} off their targets after {ROUNDS} rounds")
+    if off > tolerance:
+        _log.warning("the marginals contradict one another: sums stay up to %s of their targets off", off)
     return out.select(*DIMENSIONS, "c", "w")
 
 

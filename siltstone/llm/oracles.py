@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from siltstone.llm import fim, licenses, mixing, urls
 
+#: Rounds of raking in SQL, where there is no test of convergence; the tables need 8 to 13 to reach the operator's tolerance.
+UNROLLED = 24
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 
@@ -31,7 +33,7 @@ def _mixing() -> str:
         "w0 AS (SELECT *, c AS w, " + ", ".join(f"pow(m_{x}, {mixing.TEMPER[x]}) / sum(pow(m_{x}, {mixing.TEMPER[x]}) * c / m_{x}) OVER () AS t_{x}" for x in mixing.DIMENSIONS) + " FROM m)",
     ]
     n = 0
-    for _ in range(mixing.ROUNDS):
+    for _ in range(UNROLLED):
         for x in mixing.DIMENSIONS:
             out.append(f"w{n + 1} AS (SELECT * REPLACE (w * t_{x} * total / sum(w) OVER (PARTITION BY {x}) AS w) FROM w{n})")
             n += 1

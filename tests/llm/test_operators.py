@@ -320,6 +320,37 @@ def test_raking_odd_cells(spark):
     assert mixing.rake(spark.createDataFrame([("a", "x", "t", 0.0)], kind)).first().w == 0
 
 
+@pytest.mark.parametrize("at_most", [200_000, 3])
+def test_raking_goes_on_until_all_marginals_are_met(spark, monkeypatch, at_most):
+    """More rounds than eight, in one partition and joined; equal to plain loops."""
+    monkeypatch.setattr(mixing, "CELLS_A_TASK", at_most)
+    cells = [("a", "x", "t", 100.0), ("a", "y", "t", 1.0), ("b", "x", "u", 2.0), ("b", "y", "t", 300.0), ("b", "y", "u", 5.0), ("a", "x", "u", 1.0)]
+    goal = {"source": {"a": 0.5, "b": 0.5}, "lang": {"x": 0.4, "y": 0.6}, "topic": {"t": 0.3, "u": 0.7}}
+    w, rounds = [c[3] for c in cells], 0
+    while True:
+        worst, rounds = 0, rounds + 1
+        for i, d in enumerate(goal):
+            for v, t in goal[d].items():
+                f = t * 409 / sum(x for x, c in zip(w, cells, strict=True) if c[i] == v)
+                worst = max(worst, abs(f - 1))
+                w = [x * f if c[i] == v else x for x, c in zip(w, cells, strict=True)]
+        if worst <= mixing.TOLERANCE:
+            break
+    assert rounds > 8
+    df = spark.createDataFrame(cells, "source string, lang string, topic string, c double")
+    got = {(r.source, r.lang, r.topic): r.w for r in mixing.rake(df, goal).collect()}
+    assert all(abs(got[c[:3]] / x - 1) < 1e-9 for c, x in zip(cells, w, strict=True))
+    monkeypatch.setattr(mixing, "ROUNDS", 4)
+    with pytest.raises(RuntimeError):
+        mixing.rake(df, goal)
+
+
+def test_contradicting_marginals_end(spark):
+    cells = spark.createDataFrame([("a", "x", "t", 10.0), ("b", "y", "t", 30.0)], "source string, lang string, topic string, c double")
+    got = {r.source: r.w for r in mixing.rake(cells, {"source": {"a": 0.9, "b": 0.1}, "lang": {"x": 0.4, "y": 0.6}, "topic": {"t": 1.0}}).collect()}
+    assert abs(got["a"] - 16) < 1e-9 and abs(got["b"] - 24) < 1e-9
+
+
 def test_calibration_equals_the_sorted_sums(spark):
     rng = random.Random(4)
     cells = [(f"s{i}", "l", "t", rng.choice([5.0, rng.random() * 100]), rng.choice([0.0, 7.0, rng.random() * 300])) for i in range(40)]
