@@ -11,14 +11,15 @@ _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 def _licenses() -> str:
     t = licenses.THRESHOLD
-    rows = ", ".join("('{}', [{}])".format(n, ", ".join(f"'{b}'" for b in licenses.bigrams(x))) for n, x in sorted(licenses.TEMPLATES.items()))
-    return f"""WITH t(name, b) AS (VALUES {rows}),
+    quoted = lambda xs: ", ".join(f"'{x}'" for x in xs)
+    rows = ", ".join(f"('{n}', [{quoted(licenses.bigrams(x))}], [{quoted(licenses.versions(x))}]::VARCHAR[])" for n, x in sorted(licenses.TEMPLATES.items()))
+    return f"""WITH t(name, b, v) AS (VALUES {rows}),
 l AS (SELECT doc_id, string_split(text, chr(10)) AS lines, text FROM documents),
 u AS (SELECT doc_id, unnest(CASE WHEN len(lines) > 1 THEN list_append(lines, text) ELSE lines END) AS unit FROM l),
 w AS (SELECT doc_id, row_number() OVER () AS unit_no, list_filter(string_split(regexp_replace(translate(unit, {_AZ}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM u),
 g AS (SELECT doc_id, unit_no, unnest(CASE WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM w WHERE len(w) > 0),
-b AS (SELECT doc_id, unit_no, list(g || ' ' || n) AS b FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, unit_no, g) AS n FROM g) GROUP BY 1, 2),
-d AS (SELECT doc_id, unit_no, name, 2.0 * len(list_intersect(b.b, t.b)) / (len(b.b) + len(t.b)) AS s FROM b, t),
+b AS (SELECT doc_id, unit_no, w, list(g || ' ' || n) AS b FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, unit_no, g) AS n FROM g) JOIN w USING (doc_id, unit_no) GROUP BY 1, 2, 3),
+d AS (SELECT doc_id, unit_no, name, 2.0 * len(list_intersect(b.b, t.b)) / (len(b.b) + len(t.b)) AS s FROM b, t WHERE list_has_all(w, v)),
 m AS (SELECT doc_id, unit_no, max(s) AS s, arg_min(name, (-s, name)) AS name FROM d WHERE s >= {t} GROUP BY 1, 2),
 best AS (SELECT doc_id, arg_min(name, (-s, name)) AS license, max(s) AS score, count(*) AS n FROM m GROUP BY 1)
 SELECT doc_id, license, round(coalesce(score, 0), 9)::DOUBLE AS score, coalesce(n, 0) AS n_matches FROM documents LEFT JOIN best USING (doc_id)"""

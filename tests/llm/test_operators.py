@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import time
 import zlib
 
@@ -170,7 +171,92 @@ def test_wrapped_and_whole_licenses(spark):
     isc = "# Permission to use, copy, modify, and/or distribute this software for any\n#\n# purpose with or without fee is hereby granted"
     extra = [(1, "\n".join(mit)), (2, f"A header of the file that says nothing of note\n{bsd}\nand then the list of those conditions follows here"), (3, f"import this and that from there\n{isc}\nimport some more of those and run"), (4, f"{bsd}\nlonger words of a text that go on and on\n\n{bsd}\n{'x ' * 300}"), (5, "word\nReleased under\nthe MIT License\nword\nword\nword"), (6, "Released under\n" + "x " * 300 + "\nthe MIT License"), (7, "Released under the MIT License\nthe\nx\ny\nz")]
     got = {r.doc_id: (r.license, r.n_matches) for r in licenses.scan(spark.createDataFrame(rows_of(extra), DOCS)).collect()}
-    assert got == {1: ("MIT", 1), 2: ("BSD-3-Clause", 1), 3: ("ISC", 1), 4: ("BSD-3-Clause", 2), 5: ("MIT", 1), 6: (None, 0), 7: ("MIT", 1)}
+    both = "BSD-2-Clause OR BSD-3-Clause"
+    assert got == {1: ("MIT", 1), 2: (both, 1), 3: ("0BSD", 1), 4: (both, 2), 5: ("MIT", 1), 6: (None, 0), 7: ("MIT", 1)}
+
+
+def _wrapped(*paragraphs):
+    return "\n\n".join(textwrap.fill(p, 78) for p in paragraphs)
+
+
+def test_licenses_that_share_sentences_or_differ_by_version(spark):
+    p = dict(licenses.PARAGRAPHS)
+    bsd = [licenses.TEMPLATES["BSD-2-Clause OR BSD-3-Clause"] + ":", "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "2. " + p["BSD-2-Clause"]]
+    name = "3. " + p["BSD-3-Clause"].replace("the copyright holder", "Some Body Inc.")
+    disclaimer = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."
+    gpl = "licensed under the GNU General Public License, version {}."
+    cases = {
+        "BSD-2-Clause": [*bsd, disclaimer], "BSD-3-Clause": [*bsd, name, disclaimer], "BSD-4-Clause": [*bsd, "3. " + p["BSD-4-Clause"], name, disclaimer],
+        "0BSD": [licenses.TEMPLATES["0BSD"] + ".", "THE SOFTWARE IS PROVIDED AS IS"], "ISC": [p["ISC"], "THE SOFTWARE IS PROVIDED AS IS"],
+        "GPL-2.0": ["x", gpl.format(2)], "GPL-3.0": ["x", gpl.format(3)], None: [gpl.format(1), "Mozilla Public License Version 2.0"],
+        **{n: [p[n]] for n in ("AGPL-3.0", "LGPL-3.0", "GPL-2.0-or-later", "GPL-3.0-or-later", "CC-BY-SA-4.0", "CC-BY-NC-ND-4.0", "MPL-2.0")},
+    }
+    rows = [(i, join(paragraphs)) for i, (paragraphs, join) in enumerate((c, j) for c in cases.values() for j in (lambda x: _wrapped(*x), "\n".join))]
+    got = {r.doc_id: r.license for r in licenses.scan(spark.createDataFrame(rows_of(rows), DOCS)).collect()}
+    assert [got[i] for i in range(len(rows))] == [n for n in cases for _ in range(2)]
+
+
+def test_license_runs_against_brute_force(spark):
+    """Every line, whole text and run of lines against every template, without any pruning."""
+    texts = sorted([*licenses.TEMPLATES.items(), *licenses.PARAGRAPHS])
+    found = [(n, set(licenses.bigrams(t)), set(licenses.versions(t))) for n, t in texts]
+
+    def best(w):
+        g = set(licenses.bigrams(" ".join(w)))
+        rated = [(-2 * len(g & b) / (len(g) + len(b)), k) for k, (_, b, v) in enumerate(found) if v <= set(w)]
+        return min((m for m in rated if -m[0] >= licenses.THRESHOLD), default=None)
+
+    def brute(text):
+        lines = [w for x in text.split("\n") if (w := re.findall("[a-z0-9]+", x.lower()))]
+        own = [best(w) for w in lines]
+        runs = []
+        for i in range(len(lines)):
+            for n in range(2, len(lines) - i + 1):
+                if n < len(lines) and not any(own[i : i + n]) and (m := best(sum(lines[i : i + n], []))):
+                    runs.append((*m, i, n))
+        kept = []
+        for m in sorted(runs):
+            if not any(m[2] < k[2] + k[3] and k[2] < m[2] + m[3] for k in kept):
+                kept.append(m)
+        hits = [h for h in own if h] + [m[:2] for m in kept]
+        if "\n" in text and (m := best(sum(lines, []))):
+            hits.append(m)
+        if not hits:
+            return None, 0.0, 0
+        name, names = found[min(hits)[1]][0], {found[k][0] for _, k in hits}
+        for nest in licenses.NESTED:
+            if name in nest:
+                name = next(x for x in nest if x in names)
+        return name, round(-min(hits)[0], 9), len(hits)
+
+    rng = random.Random(7)
+    rows = []
+    for i in range(120):
+        words = []
+        for _ in range(rng.randint(1, 3)):
+            t = rng.choice(texts)[1].split()
+            words += t[rng.choice([0, 0, 1, 3]) : len(t) - rng.choice([0, 0, 1, 3])] + rng.choices(["the", "license", "software", "alpha", "2"], k=rng.randint(0, 5))
+        for _ in range(rng.randint(0, 4)):
+            words[rng.randrange(len(words))] = "change"
+        rows.append((i, "".join(w + ("\n" if rng.random() < 0.15 else " ") for w in words)))
+    got = {r.doc_id: (r.license, r.score, r.n_matches) for r in licenses.scan(spark.createDataFrame(rows_of(rows), DOCS)).collect()}
+    assert got == {i: brute(t) for i, t in rows}
+    assert len({g[0] for g in got.values()}) > 10 and any(g[2] > 1 for g in got.values())
+    # with other templates and thresholds, one of a single word among them
+    own = {"a": "unlicense", "b": "alpha beta gamma delta epsilon", "c": "alpha beta gamma"}
+    rows = [(1, "unlicense"), (2, "x\nUnlicense\ny"), (3, "alpha\nbeta gamma\ndelta epsilon zeta"), (4, "alpha beta\ngamma and\nunlicense")]
+    got = {r.doc_id: (r.license, r.n_matches) for r in licenses.scan(spark.createDataFrame(rows_of(rows), DOCS), own, threshold=0.7).collect()}
+    assert got[1] == ("a", 1) and got[2] == ("a", 1) and got[3][0] in ("b", "c") and got[4][1] == 2
+
+
+def test_license_scan_of_long_text_of_short_lines(spark):
+    """Lines of words that licences use, 0.5 MB in one row: no run of them is near a template."""
+    rng = random.Random(1)
+    text = "\n".join(" ".join(rng.choices("the to by under general software license public use of".split(), k=4)) for _ in range(20_000))
+    rows = rows_of([(1, text), (2, text + "\nReleased under\nthe MIT License\nx")])
+    began = time.time()
+    got = {r.doc_id: (r.license, r.n_matches) for r in licenses.scan(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {1: (None, 0), 2: ("MIT", 1)} and time.time() - began < 60
 
 
 # --- language
