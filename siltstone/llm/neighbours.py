@@ -5,7 +5,8 @@ levels on a bounded sample, so that lists hold about LIST vectors each; every ve
 centroid and, if it lies within SPREAD of the boundary to further ones, in those too. A query searches the graph of
 centroids and reads every list within a ratio of its distance to the lists nearest to it. The ratio is the smallest at
 which TRIALS queries, compared with all vectors, find the share AIM of their neighbours. Lists that are neighbours by
-number travel together as a shard of a bounded size; a task keeps k a query before it emits anything. Scores are exact.
+number travel together as a shard of a bounded size; the queries stream past it, and a task keeps k a query before it
+emits anything. Scores are exact.
 """
 
 from __future__ import annotations
@@ -29,8 +30,9 @@ COPIES, SPREAD, APART = 3, 1.02, 0.5
 AIM = 0.95
 #: Neighbours of a centroid in the graph, nearest lists whose mean distance is the unit of the ratio.
 DEGREE, UNIT = 16, 32
-#: Vectors (and bytes of vectors) of a shard's piece, queries of a block, rows that search the graph at once.
-PIECE, PIECE_BYTES, BLOCK, STEP = 16_384, 64 << 20, 1024, 256
+#: Vectors (and bytes of vectors) of a shard's piece, which a task holds; queries that pass one copy of it, a few at a
+#: time, before another task takes more; rows that search the graph at once.
+PIECE, PIECE_BYTES, BLOCK, STEP = 8_192, 64 << 20, 65_536, 256
 
 
 def usable(v: Column) -> Column:
@@ -216,10 +218,11 @@ def _best(ids: np.ndarray, x: np.ndarray, asked: np.ndarray, q: np.ndarray, read
         slack = 1e-9 * np.linalg.norm(part, axis=1) * size
         for i, query in enumerate(asked[lo : lo + 256]):
             # repeated rows and the query's own may take places: widen until k ids are left, or no more rows
-            own, n = rough[i], k + 1
+            read = np.flatnonzero(rough[i] > -np.inf)
+            own, n = rough[i, read], k + 1
             while True:
                 least = np.partition(own, len(own) - n)[len(own) - n] if n < len(own) else -np.inf
-                near = np.flatnonzero((own >= least - slack[i]) & (own > -np.inf))
+                near = read[own >= least - slack[i]]
                 near = near[ids[near] != query]
                 if n >= len(own) or len(np.unique(ids[near])) >= k:
                     break
@@ -231,30 +234,54 @@ def _best(ids: np.ndarray, x: np.ndarray, asked: np.ndarray, q: np.ndarray, read
             yield query, ids[near[order]], exact[order]
 
 
-def _searched(group: pd.DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFrame:
-    """One row a query of a block: ids and scores of its k best in a piece of a shard, among the lists that it reads."""
-    out = []
-    if len(group) and len(asked):
-        group = group.sort_values(["list", "vec_id"])
-        lists, ids = group["list"].to_numpy(np.int64), group["vec_id"].to_numpy()
-        x, q = (np.stack(p["v"].to_numpy()).astype(np.float64) for p in (group, asked))
+class _Piece:
+    """A piece of a shard in memory: its rows in the order of their lists."""
+
+    def __init__(self, rows: list[pd.DataFrame]):
+        rows = pd.concat(rows, ignore_index=True)
+        lists, self.ids = rows["list"].to_numpy(np.int64), rows["id"].to_numpy()
+        self.x = np.stack(rows["v"].to_numpy()).astype(np.float64)
+        self.start = np.flatnonzero(np.r_[True, lists[1:] != lists[:-1]])
+        self.stop = np.r_[self.start[1:], len(lists)]
+        self.lists = lists[self.start]
+
+    def search(self, asked: pd.DataFrame, k: int) -> pd.DataFrame:
+        """One row a query: ids and scores of its k best in this piece, among the lists that it reads."""
+        q = np.stack(asked["v"].to_numpy()).astype(np.float64)
         wanted = [np.frombuffer(r, np.int32) for r in asked["lists"]]
         row, want = np.repeat(np.arange(len(q)), [len(w) for w in wanted]), np.concatenate(wanted)
         order = np.argsort(want, kind="stable")
         row, want = row[order], want[order]
-        start = np.flatnonzero(np.r_[True, lists[1:] != lists[:-1]])
-        stop = np.r_[start[1:], len(lists)]
-        edge = np.searchsorted(want, lists[start]), np.searchsorted(want, lists[start], "right")
+        edge = np.searchsorted(want, self.lists), np.searchsorted(want, self.lists, "right")
 
         def reads(lo, hi):
-            for a, b, i, j in zip(start, stop, *edge, strict=True):
+            for a, b, i, j in zip(self.start, self.stop, *edge, strict=True):
                 rows = row[i:j]
                 rows = rows[(rows >= lo) & (rows < hi)] - lo
                 if len(rows):
                     yield a, b, rows
 
-        out = [(i, v, s) for i, v, s in _best(ids, x, asked["query_id"].to_numpy(), q, reads, k) if len(v)]
-    return pd.DataFrame(out, columns=["query_id", "vec_ids", "scores"])
+        found = [(i, v, s) for i, v, s in _best(self.ids, self.x, asked["id"].to_numpy(), q, reads, k) if len(v)]
+        return pd.DataFrame(found, columns=["query_id", "vec_ids", "scores"])
+
+
+def _passes(batches, k: int):
+    """Pieces one after another, each sorted so that its vectors come first: these are kept, then its queries are
+    answered as they come. Only one piece and one batch of queries are held, however many queries there are."""
+    at, rows, piece = None, [], None
+    for pdf in batches:
+        keys = pdf[["shard", "piece", "block", "asks"]].to_numpy(np.int64)
+        cuts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)]) if len(pdf) else []
+        for lo, hi in zip(cuts, [*cuts[1:], len(pdf)], strict=True):
+            part, key = pdf.iloc[lo:hi], tuple(keys[lo, :3])
+            if key != at:
+                at, rows, piece = key, [], None
+            if not keys[lo, 3]:
+                rows.append(part)
+            elif rows or piece:
+                if rows:
+                    piece, rows = _Piece(rows), []
+                yield piece.search(part, k)
 
 
 def _trials(base: DataFrame, trials: pd.DataFrame, k: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -367,10 +394,11 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, k: int = 20, *,
     sized = spark.createDataFrame([(r.shard, int(r.blocks), int(pieces[r.shard])) for r in blocks], "shard int, blocks long, pieces long")
     where = spark.createDataFrame(pd.DataFrame({"list": np.arange(len(shard), dtype=np.int32), "shard": shard}), "list int, shard int").join(sized, "shard")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = posted.join(F.broadcast(where), "list").select("shard", F.pmod(F.xxhash64("vec_id"), "pieces").alias("piece"), each("blocks").alias("block"), "list", "vec_id", "v")
-    right = reads.join(F.broadcast(sized), "shard").select("shard", each("pieces").alias("piece"), F.pmod(F.xxhash64("query_id"), "blocks").alias("block"), "query_id", "lists", "v")
     keys = ["shard", "piece", "block"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda a, b: _searched(a, b, k), f"query_id {id_type}, vec_ids array<{id_type}>, scores array<double>")
+    left = posted.join(F.broadcast(where), "list").select("shard", F.pmod(F.xxhash64("vec_id"), "pieces").alias("piece"), each("blocks").alias("block"), F.lit(0).alias("asks"), "list", F.col("vec_id").alias("id"), F.lit(b"").alias("lists"), "v")
+    right = reads.join(F.broadcast(sized), "shard").select("shard", each("pieces").alias("piece"), F.pmod(F.xxhash64("query_id"), "blocks").alias("block"), F.lit(1).alias("asks"), F.lit(-1).alias("list"), F.col("query_id").alias("id"), "lists", "v")
+    met = left.union(right).repartition(*keys).sortWithinPartitions(*keys, "asks", "list", "id")
+    found = met.mapInPandas(lambda batches: _passes(batches, k), f"query_id {id_type}, vec_ids array<{id_type}>, scores array<double>")
     if report is not None:
         read = reads.agg(F.sum(F.octet_length("lists") / 4).alias("lists"), F.count_distinct("query_id").alias("n")).first()
         report |= {"lists": len(shard), "copies": rows.sum() / sizes["count"], "ratio": index.ratio, "share": (read["lists"] or 0) / max(1, (read.n or 0) * len(shard))}

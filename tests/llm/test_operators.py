@@ -384,6 +384,23 @@ def test_neighbours_prune(spark):
     assert report["share"] < 0.45 and 1 <= report["copies"] < 2 and report["lists"] > 500, report
 
 
+def test_neighbours_in_pieces_blocks_and_batches(spark, monkeypatch):
+    """Pieces, blocks of queries and batches that cut groups anywhere change no row."""
+    x = np.random.default_rng(8).normal(size=(1200, 8))
+    x[300:700] = x[5]  # one list that no piece holds whole
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    run = lambda: neighbours.search(df, k=7, every=2).orderBy("query_id", "rank").collect()
+    want = run()
+    monkeypatch.setattr(neighbours, "PIECE", 256)
+    monkeypatch.setattr(neighbours, "BLOCK", 50)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "23")
+    try:
+        assert run() == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(want) == 600 * 7
+
+
 # --- mixing
 
 
