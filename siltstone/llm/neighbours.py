@@ -33,6 +33,8 @@ DEGREE, UNIT = 16, 32
 #: Vectors (and bytes of vectors) of a shard's piece, which a task holds; queries that pass one copy of it, a few at a
 #: time, before another task takes more; rows that search the graph at once.
 PIECE, PIECE_BYTES, BLOCK, STEP = 8_192, 64 << 20, 65_536, 256
+#: Entries of a distance matrix that the fit holds at a time: 8 MB.
+CELLS = 1 << 21
 
 
 def usable(v: Column) -> Column:
@@ -44,11 +46,23 @@ def _squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1), 0)
 
 
+def _by_rows(f, x: np.ndarray, width: int) -> np.ndarray:
+    """``f`` of a few rows of x at a time, so that a matrix of these rows and ``width`` columns has CELLS entries at most.
+    Results are copied: a slice would keep its whole matrix alive."""
+    step = max(1, CELLS // max(1, width))
+    return np.concatenate([f(x[lo : lo + step]).copy() for lo in range(0, len(x), step)])
+
+
+def _closest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The nearest row of c of each row of x."""
+    return _by_rows(lambda part: _squared(part, c).argmin(1), x, len(c))
+
+
 def _means(x: np.ndarray, n: int, rng: np.random.Generator, rounds: int = 6) -> tuple[np.ndarray, np.ndarray]:
     """k-means: centroids, and the nearest one of each row. An empty one takes a member of the largest."""
     centre = x[rng.permutation(len(x))[:n]].copy()
     for _ in range(rounds):
-        near = _squared(x, centre).argmin(1)
+        near = _closest(x, centre)
         size = np.bincount(near, minlength=len(centre))
         total = np.zeros_like(centre)
         np.add.at(total, near, x)
@@ -56,7 +70,7 @@ def _means(x: np.ndarray, n: int, rng: np.random.Generator, rounds: int = 6) ->
         centre[full] = total[full] / size[full, None]
         if not full.all():
             centre[~full] = x[rng.choice(np.flatnonzero(near == size.argmax()), (~full).sum())]
-    return centre, _squared(x, centre).argmin(1)
+    return centre, _closest(x, centre)
 
 
 class Index:
@@ -74,12 +88,11 @@ class Index:
         fine = [_means(p, min(len(p), max(1, round(lists * len(p) / len(x)))), rng, 4)[0] for p in some if len(p)]
         self.centroids = np.concatenate(fine)
         lists = len(self.centroids)
-        near = [_squared(self.centroids[lo : lo + 1024], self.centroids) for lo in range(0, lists, 1024)]
-        first = lambda d, n: np.argpartition(d, min(n, lists) - 1, 1)[:, :n]
-        self.graph = np.concatenate([first(d, DEGREE + 1) for d in near])
+        first = lambda x, n: _by_rows(lambda part: np.argpartition(_squared(part, self.centroids), min(n, lists) - 1, 1)[:, :n], x, lists)
+        self.graph = first(self.centroids, DEGREE + 1)
         self.graph = np.concatenate([self.graph, rng.integers(0, lists, (lists, 4))], 1)  # a few long edges keep it connected
         #: The lists where a search begins that is nearest to a group.
-        self.doors = first(_squared(self.centre, self.centroids), 4)
+        self.doors = first(self.centre, 4)
         self.ratio = 1.0
         #: Vectors that a query must at least reach, and those of each list; set when the lists are filled.
         self.need, self.held = 0, np.zeros(lists, np.int64)

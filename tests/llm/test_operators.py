@@ -9,6 +9,7 @@ import random
 import re
 import textwrap
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -384,6 +385,19 @@ def test_neighbours_prune(spark):
     assert report["share"] < 0.45 and 1 <= report["copies"] < 2 and report["lists"] > 500, report
 
 
+def test_neighbours_fit_holds_few_distances():
+    x = np.random.default_rng(5).normal(size=(4096, 8))
+    tracemalloc.start()
+    index = neighbours.Index(x, float(np.linalg.norm(x, axis=1).max()), 4096)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    lists = len(index.centroids)
+    assert lists > 4000 and index.graph.shape == (lists, neighbours.DEGREE + 5)
+    assert peak < 100 << 20  # all distances of 4,096 lists and their orders: 193 MB
+    far = neighbours._squared(index.centroids[:50], index.centroids)
+    assert all(set(np.argsort(d)[: neighbours.DEGREE]) <= set(g) for d, g in zip(far, index.graph, strict=False))
+
+
 def test_neighbours_in_pieces_blocks_and_batches(spark, monkeypatch):
     """Pieces, blocks of queries and batches that cut groups anywhere change no row."""
     x = np.random.default_rng(8).normal(size=(1200, 8))
