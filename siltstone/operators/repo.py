@@ -108,18 +108,30 @@ def stitch(nodes: DataFrame, candidates: DataFrame) -> DataFrame:
     """The best symbol of each syntax node: (node_id, symbol, confidence).
 
     nodes(node_id, path, line, name, qname), candidates(symbol, path, line, name, qname). Equal qualified names score 1,
-    a name within a line 0.8, a name 0.6, a place alone 0.5; ties go to the smaller symbol. Lines meet by equality of
-    line - 1, line and line + 1, names by equality, so neither is a range join.
+    a name within a line 0.8, a name 0.6, a place alone 0.5; ties go to the smaller symbol. Null symbols take no part.
+
+    Each score asks for the smallest symbol of some equal columns, so candidates are brought to one row a key first and a
+    node meets at most one row of each, however many candidates share its file and name. Lines meet by equality: a
+    candidate stands at line - 1, line and line + 1.
     """
-    c = candidates.select("path", F.col("symbol"), F.col("line").alias("cl"), F.col("name").alias("cn"), F.col("qname").alias("cq"))
-    near = nodes.withColumn("cl", F.explode(F.array(F.col("line") - 1, F.col("line"), F.col("line") + 1))).join(c, ["path", "cl"])
-    named = nodes.join(c.withColumn("name", F.col("cn")), ["path", "name"])
-    cols = ["node_id", "line", "name", "qname", "symbol", "cl", "cn", "cq"]
-    both = near.select(*cols).unionByName(named.select(*cols))
-    close = F.abs(F.col("line") - F.col("cl")) <= 1
-    score = F.when(F.col("qname") == F.col("cq"), 1.0).when(close & (F.col("name") == F.col("cn")), 0.8).when(F.col("name") == F.col("cn"), 0.6).when(close, 0.5).otherwise(0.0)
-    best = both.withColumn("confidence", score).groupBy("node_id").agg(F.max(F.struct("confidence")).alias("m"), F.min_by("symbol", F.struct((-F.col("confidence")).alias("c"), F.col("symbol"))).alias("symbol"))
-    return best.select("node_id", "symbol", F.col("m.confidence").alias("confidence"))
+    c = candidates.select("path", "symbol", "line", "name", "qname")
+
+    def least(label: str, *keys: str) -> DataFrame:
+        return c.groupBy("path", *keys).agg(F.min("symbol").alias(label))
+
+    def near(label: str, *keys: str) -> DataFrame:
+        around = F.explode(F.array(F.col("line") - 1, F.col("line"), F.col("line") + 1)).alias("line")
+        return least(label, "line", *keys).select("path", around, *keys, label).groupBy("path", "line", *keys).agg(F.min(label).alias(label))
+
+    found = nodes.select("node_id", "path", "line", "name", "qname")
+    for label, keys, at in [("q_near", ["qname"], True), ("q_named", ["name", "qname"], False), ("n_near", ["name"], True), ("named", ["name"], False), ("close", [], True)]:
+        keys_at = ["path", "line", *keys] if at else ["path", *keys]
+        found = found.join((near if at else least)(label, *keys), keys_at, "left")
+    ranks = [(1.0, F.least("q_near", "q_named")), (0.8, F.col("n_near")), (0.6, F.col("named")), (0.5, F.col("close"))]
+    confidence = F.coalesce(*[F.when(s.isNotNull(), v) for v, s in ranks])
+    found = found.select("node_id", confidence.alias("confidence"), F.coalesce(*[s for _, s in ranks]).alias("symbol")).where("symbol is not null")
+    best = found.groupBy("node_id").agg(F.max("confidence").alias("m"), *[F.min(F.when(F.col("confidence") == v, F.col("symbol"))).alias(f"s{i}") for i, (v, _) in enumerate(ranks)])
+    return best.select("node_id", F.coalesce(*[f"s{i}" for i in range(len(ranks))]).alias("symbol"), F.col("m").alias("confidence"))
 
 
 def _measured(code: str) -> dict:

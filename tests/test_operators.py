@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -239,6 +240,63 @@ def test_imports(spark):
     assert [r.r for r in rel.select(text.relative_module(F.col("m"), F.col("l"), F.col("t")).alias("r")).collect()] == ["a.b.x", "a", "x", "q"]
 
 
+def test_imports_of_one_name(spark):
+    rng = random.Random(4)
+    modules = [(rng.choice(["a", "a.b", "a.b.c", "ab", "c", None]), rng.choice(["p1", "p2", "p3", "p4", None])) for _ in range(40)]
+    imports = [(rng.choice(["p1", "p2", "p9", None]), rng.choice(["a", "a.b.c.d", "a.b.x", "ab.y", "c.z", "d", None])) for _ in range(60)]
+    mods, asks = spark.createDataFrame(modules, "module string, path string"), spark.createDataFrame(imports, "path string, target string")
+    under = lambda long, short: None not in (long, short) and (long == short or long.startswith(short + "."))
+    want, near = set(), set()
+    for p, t in imports:
+        files = [(len(m), f, f) for m, f in modules if under(t, m) and None not in (p, f) and f != p]
+        want |= {(p, max(files)[2])} if files else set()
+        near |= {(p, m) for m, _ in modules if under(t, m) or under(m, t)}
+    assert sorted(map(tuple, graph.resolve_imports(asks, mods).collect())) == sorted(want)
+    assert set(map(tuple, graph.related_tests(asks, mods).collect())) == near and graph.related_tests(asks, mods).count() == len(near)
+
+
+def test_names_that_many_share(spark):
+    """40,000 rows of one name on both sides: 1.6 billion pairs, if rows met one by one."""
+    began = time.monotonic()
+    mods = spark.range(40_000).select(F.lit("pkg").alias("module"), F.concat(F.lit("p"), "id").alias("path"))
+    asks = mods.select("path", F.lit("pkg.x").alias("target"))
+    edges = graph.resolve_imports(asks, mods).groupBy("dst_path").count().collect()
+    assert {r[0]: r[1] for r in edges} == {"p9999": 39_999, "p9998": 1}
+    assert graph.related_tests(asks, mods).count() == 40_000
+    rows = spark.range(40_000).select(F.col("id").alias("node_id"), F.col("id").alias("symbol"), F.lit("u").alias("path"), F.lit(1).alias("line"), F.lit("f").alias("name"), F.concat(F.lit("q"), "id").alias("qname"))
+    best = repo.stitch(rows.drop("symbol"), rows.drop("node_id"))
+    assert best.where("symbol = node_id and confidence = 1").count() == 40_000
+    assert time.monotonic() - began < 60
+
+
+def test_stitch_is_brute_force(spark):
+    rng = random.Random(6)
+    some = lambda n: [(i, rng.choice(["u", "v", None]), rng.choice([1, 2, 3, 7, None]), rng.choice(["f", "g", None]), rng.choice(["m.f", "m.g", "k", None])) for i in range(n)]
+    nodes, found = some(60), some(50)
+    nodes += [(0, "v", 2, "g", "m.g")]
+    want = {}
+    for i, p, line, name, q in nodes:
+        for s, cp, cl, cn, cq in found:
+            close, same = None not in (line, cl) and abs(line - cl) <= 1, name is not None and name == cn
+            if p is not None and p == cp and (close or same):
+                score = 1.0 if q is not None and q == cq else 0.8 if close and same else 0.6 if same else 0.5
+                want[i] = min(want.get(i, (0, 0)), (-score, s))
+    cols = "path string, line int, name string, qname string"
+    out = repo.stitch(spark.createDataFrame(nodes, f"node_id long, {cols}"), spark.createDataFrame(found, f"symbol long, {cols}"))
+    assert {r.node_id: (-r.confidence, r.symbol) for r in out.collect()} == want and out.count() == len(want)
+
+
+def test_tags_do_not_depend_on_the_order_of_rows(spark, tmp_path):
+    """Eight discounts of 0.065 on average, in orders in which doubles add up to less, and to more."""
+    from siltstone.plans import graph_queries
+
+    cols = "l_partkey long, l_suppkey long, l_orderkey long, l_linenumber int, l_returnflag string, l_linestatus string, l_tax double, l_discount double"
+    rows = [(11, 1, 1, 1, "R", "F", 0.0, d) for d in [0.03, 0.06, 0.07, 0.08, 0.09, 0.04, 0.06, 0.09]] + [(13, 1, 1, 1, "R", "F", 0.0, d) for d in [0.09, 0.09, 0.08, 0.07, 0.06, 0.06, 0.04, 0.03]]
+    spark.createDataFrame(rows, cols).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.id: r.tags for r in graph_queries.tag_rules(spark, str(tmp_path)).collect()}
+    assert got == {11: "docs-missing", 13: "docs-missing"}
+
+
 def test_python_modules(spark):
     code = 'import os\nfrom .x import *\n__all__ = ["f"]\n\ndef f(a: int, b) -> int:\n    """Doc."""\n    if a:\n        raise KeyError(b)\n    return a\n'
     rows = {r.path: r for r in repo.modules(spark.createDataFrame([("a.py", code), ("b.py", "def ("), ("c.py", None)], "path string, code string")).collect()}
