@@ -14,6 +14,7 @@ from pyspark.sql import Window
 
 from siltstone.operators.catalog import latest_rows
 from siltstone.sources.log import Log
+from siltstone.sources.tables import written
 
 #: The checksum's polynomial: products of two residues stay below 2 ** 122.
 MODULUS, BASE = (1 << 61) - 1, 1_152_921_504_606_846_883
@@ -158,13 +159,15 @@ def write_modules(nodes: DataFrame, root: str, *, path_col: str = "path", key_co
 
     ``modules/module=<path>/`` holds a module's file, rows in the order of their keys; ``sample/`` the nodes with a symbol
     that ``sampled`` takes; ``index.json`` is put there last and at once, so where it is, the rest is whole. A root that has
-    an index is refused. A null path is Hive's default partition.
+    an index is refused. A null path is Hive's default partition. ``nodes`` is computed once: it is written as a table that the
+    files, the sample and the counts are read from.
     """
     spark, root = nodes.sparkSession, root.rstrip("/")
     target = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/index.json")
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
     if fs.exists(target):
         raise ValueError(f"{root} has an index")
+    nodes = written(nodes)
     line = F.to_json(F.struct(*sorted(nodes.columns)), {"ignoreNullFields": "false"}).alias("value")
     rows = nodes.select(F.col(path_col).alias("module"), F.col(key_col).alias("key"), line)
     rows.repartition("module").sortWithinPartitions("module", "key").drop("key").write.mode("overwrite").partitionBy("module").text(f"{root}/modules")
