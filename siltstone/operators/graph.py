@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from siltstone.sources.tables import checkpoint_root, written
 
@@ -26,18 +27,40 @@ def prefixes(module: F.Column) -> F.Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat_ws(".", F.slice(parts, F.lit(1), i)))
 
 
+def _best_two(rows: DataFrame, by: str, value: str, order: list[str]) -> DataFrame:
+    """(by, first, second) of rows that repeat no (by, value): its two last values in an order, the second null if there is one."""
+    place = F.row_number().over(Window.partitionBy(by).orderBy(*[F.desc(c) for c in order]))
+    two = rows.withColumn("r", place).where("r <= 2")
+    return two.groupBy(by).agg(F.max(F.when(F.col("r") == 1, F.col(value))).alias("first"), F.max(F.when(F.col("r") == 2, F.col(value))).alias("second"))
+
+
 def resolve_imports(imports: DataFrame, modules: DataFrame) -> DataFrame:
-    """Import edges (src_path, dst_path): the longest known module that equals or is a prefix of imports(path, target)."""
-    names = imports.select("path", "target", F.explode(prefixes(F.col("target"))).alias("module"))
-    found = names.join(modules.select("module", F.col("path").alias("dst_path")), "module").where("path <> dst_path")
-    return found.groupBy(F.col("path").alias("src_path"), "target").agg(F.max_by("dst_path", F.struct(F.length("module"), "dst_path")).alias("dst_path")).select("src_path", "dst_path").distinct()
+    """Import edges (src_path, dst_path): the longest known module that equals or is a prefix of imports(path, target).
+
+    An import looks for another file than its own, so the best two files of a target are enough for all that import it:
+    these are found once for each target, from the best two of each module, and a module that very many files are named
+    like is two rows. Null paths take no part.
+    """
+    files = modules.select("module", F.col("path").alias("dst_path")).where("dst_path is not null").distinct()
+    files = _best_two(files, "module", "dst_path", ["dst_path"]).select("module", F.explode(F.array("first", "second")).alias("dst_path")).where("dst_path is not null")
+    names = imports.select("target").distinct().select("target", F.explode(prefixes(F.col("target"))).alias("module"))
+    found = names.join(files, "module").groupBy("target", "dst_path").agg(F.max(F.length("module")).alias("n"))
+    best = _best_two(found, "target", "dst_path", ["n", "dst_path"])
+    edges = imports.select("path", "target").join(best, "target")
+    other = F.when(F.col("path") != F.col("first"), F.col("first")).when(F.col("path") != F.col("second"), F.col("second"))
+    return edges.select(F.col("path").alias("src_path"), other.alias("dst_path")).where("dst_path is not null").distinct()
 
 
 def related_tests(tests: DataFrame, modules: DataFrame) -> DataFrame:
-    """(path, module): tests(path, target) whose import equals a module, is a prefix of it or extends it."""
-    up = tests.select("path", F.explode(prefixes(F.col("target"))).alias("module")).join(modules.select("module"), "module")
-    down = tests.select("path", "target").join(modules.select("module", F.explode(prefixes(F.col("module"))).alias("target")), "target")
-    return up.select("path", "module").unionByName(down.select("path", "module")).distinct()
+    """(path, module): tests(path, target) whose import equals a module, is a prefix of it or extends it.
+
+    The modules of each target are found once, names that repeat counted once, before the tests that import it.
+    """
+    names, targets = modules.select("module").distinct(), tests.select("target").distinct()
+    up = targets.select("target", F.explode(prefixes(F.col("target"))).alias("module")).join(names, "module")
+    down = names.select("module", F.explode(prefixes(F.col("module"))).alias("target")).join(targets, "target")
+    related = up.select("target", "module").unionByName(down.select("target", "module")).distinct()
+    return tests.select("path", "target").distinct().join(related, "target").select("path", "module").distinct()
 
 
 def star_exports(imports: DataFrame, public: DataFrame, local: DataFrame) -> DataFrame:
