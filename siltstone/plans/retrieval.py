@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from siltstone.functions.text import quantised_document, quantised_query, tokens
+from siltstone.functions.text import tokens
 from siltstone.operators import evaluation, fusion, gating, lexical, lists, vector
 from siltstone.plans.registry import query
 from siltstone.sources.tables import spread, table
@@ -113,10 +113,7 @@ s AS (SELECT query_id, doc_id, sum(wd * wq)::DOUBLE AS score FROM d JOIN qq USIN
 SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 20"""
 )
 def sparse_impact_topk(spark, sf_dir):
-    docs, items = _tables(spark, sf_dir)
-    q = lexical.query_terms(items).select("query_id", "term", quantised_query(F.log1p("qn")).alias("weight"))
-    d = lexical.postings(docs, q).select("doc_id", "term", quantised_document(F.log1p("tf")).alias("weight"))
-    return lexical.sparse_dot(d, q, 20)
+    return lexical.quantised_impact(*_tables(spark, sf_dir), 20)
 
 
 @query(

@@ -1,8 +1,10 @@
 """Literal cases of the library's own operators."""
 
+import collections
 import json
 import math
 import random
+import re
 import time
 
 import pytest
@@ -240,6 +242,41 @@ def test_imports(spark):
     assert [r.r for r in rel.select(text.relative_module(F.col("m"), F.col("l"), F.col("t")).alias("r")).collect()] == ["a.b.x", "a", "x", "q"]
 
 
+def _shuffled(spark):
+    """Rows that all stages so far have written to a shuffle."""
+    java, gateway = spark.sparkContext._jvm.java.util.ArrayList, spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(java(), False, False, gateway.new_array(gateway.jvm.double, 0), java())
+    return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+
+def test_bm25_shuffles_hits_only(spark, monkeypatch):
+    """Copies, frequent words, ties, odd texts and ids that are texts, in blocks of queries and few documents at a time."""
+    rng = random.Random(8)
+    words = ["the", "of", "a", *(f"w{i}" for i in range(30))]
+    texts = [" ".join(["the", *rng.choices(words, k=rng.randint(1, 9))]) for _ in range(300)] * 8 + [None, "", "?!", "The the THE"]
+    docs = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts)], "doc_id string, text string")
+    asks = [(i, " ".join(["the", *rng.choices(words, k=4)])) for i in range(20)] + [(90, None), (91, "unknown")]
+    monkeypatch.setattr(lexical, "QUERIES", 6)
+    monkeypatch.setattr(lexical, "CELLS", 2000)
+    before = _shuffled(spark)
+    got = lexical.bm25(docs, spark.createDataFrame(asks, "item_id int, text string"), 7).collect()
+    moved = sum(n for stage, n in _shuffled(spark).items() if stage not in before)
+    assert moved < 20_000  # each of 2,400 documents meets each of 20 queries: 48,000 pairs
+    toks = [re.findall("[a-z0-9]+", (t or "").lower()) for t in texts]
+    df = collections.Counter(w for t in toks for w in set(t))
+    mean, n = sum(map(len, toks)) / len(toks), len(toks)
+    counts = [collections.Counter(t) for t in toks]
+    weight = lambda i, w: math.log((n - df[w] + 0.5) / (df[w] + 0.5) + 1) * counts[i][w] * 1.9 / (counts[i][w] + 0.9 * (0.6 + 0.4 * len(toks[i]) / mean))
+    want = []
+    for q, t in asks:
+        scores = [(-round(sum(weight(i, w) for w in (t or "").split() if counts[i][w]), 6), f"d{i}") for i in range(n)]
+        want += [(q, d, r + 1, -s) for r, (s, d) in enumerate(sorted(x for x in scores if x[0] < 0)[:7])]
+    assert [(r.query_id, r.doc_id, r["rank"]) for r in sorted(got, key=lambda r: (r.query_id, r["rank"]))] == [w[:3] for w in want]
+    assert all(abs(r.score - w[3]) < 2e-6 for r, w in zip(sorted(got, key=lambda r: (r.query_id, r["rank"])), want, strict=True))
+    assert lexical.bm25(docs, spark.createDataFrame([], "item_id int, text string")).count() == 0
+    assert lexical.bm25(docs.limit(0), spark.createDataFrame(asks, "item_id int, text string")).count() == 0
+
+
 def test_imports_of_one_name(spark):
     rng = random.Random(4)
     modules = [(rng.choice(["a", "a.b", "a.b.c", "ab", "c", None]), rng.choice(["p1", "p2", "p3", "p4", None])) for _ in range(40)]
