@@ -314,4 +314,4 @@ def linked_concepts(spark, sf_dir):
 @query("SELECT DISTINCT root FROM (SELECT split_part(lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))), '.', 1) AS root FROM benchmark) WHERE root NOT IN (SELECT lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) FROM documents)")
 def external_dependencies(spark, sf_dir):
     roots = lambda name: table(spark, sf_dir, name).select(F.explode(text.tokens(F.col("text"), "[A-Za-z]+")).alias("root"))
-    return roots("benchmark").distinct().join(roots("documents"), "root", "left_anti")
+    return roots("benchmark").distinct().join(roots("documents").distinct(), "root", "left_anti")
