@@ -11,7 +11,8 @@ from pyspark.sql import Window
 
 from siltstone.sources.tables import checkpoint_root
 
-_LINES = "array<struct<line:string,source:int>>"
+#: Revisions whose lines are held at a time.
+STEP = 100
 
 
 def lines_of(text: str | None) -> list[str]:
@@ -69,16 +70,19 @@ def blame(revisions: DataFrame, *, path_col: str = "path", rev_col: str = "rev",
     rows = rows.join(order, ["path", "rev"]).checkpoint()
     before = rows.select("path", (F.col("no") + 1).alias("no"), F.col("text").alias("before"))
 
-    def compared(text: pd.Series, before: pd.Series) -> pd.Series:
-        out = []
-        for t, b in zip(text, before, strict=True):
-            new = lines_of(t)
-            out.append([{"line": x, "source": s} for x, s in zip(new, carried(lines_of(b), new), strict=True)])
-        return pd.Series(out, dtype=object)
+    def compared(batches):
+        for pdf in batches:
+            for lo in range(0, len(pdf), STEP):
+                out = []
+                for path, no, text, old in pdf.iloc[lo : lo + STEP].itertuples(index=False, name=None):
+                    new = lines_of(text)
+                    out += [(path, no, i, *x) for i, x in enumerate(zip(new, carried(lines_of(old), new), strict=True))]
+                yield pd.DataFrame(out, columns=["path", "no", "i", "line", "source"])
 
-    lines = rows.join(before, ["path", "no"], "left").select("path", "no", F.posexplode(F.pandas_udf(compared, _LINES)("text", "before")).alias("i", "l"))
-    kept = F.col("l.source") >= 0
-    lines = lines.select("path", "no", "i", F.col("l.line").alias("line"), F.when(kept, F.col("no") - 1).otherwise(F.col("no")).alias("to_no"), F.when(kept, F.col("l.source")).otherwise(F.col("i")).alias("to_i")).checkpoint()
+    kind = rows.schema["path"].dataType.simpleString()
+    lines = rows.join(before, ["path", "no"], "left").select("path", "no", "text", "before").mapInPandas(compared, f"path {kind}, no int, i int, line string, source int")
+    kept = F.col("source") >= 0
+    lines = lines.select("path", "no", "i", "line", F.when(kept, F.col("no") - 1).otherwise(F.col("no")).alias("to_no"), F.when(kept, F.col("source")).otherwise(F.col("i")).alias("to_i")).checkpoint()
     at = lines.drop("line")
     for _ in range(max_rounds):
         step = at.select("path", F.col("no").alias("to_no"), F.col("i").alias("to_i"), F.col("to_no").alias("far_no"), F.col("to_i").alias("far_i"))
