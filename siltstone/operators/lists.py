@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from siltstone.operators.vector import QUERIES, VECTORS, ranked
+from siltstone.operators.vector import QUERIES, ROWS, VECTORS, ranked
 from siltstone.sources.tables import checkpoint_root
 
 #: Most inverted lists, whose centroids and sizes every task holds; beyond that lists grow and fill more shards.
@@ -26,6 +26,8 @@ SAMPLE = 10_000
 READ = 0.75
 #: Codes of a sub-space, so that one byte holds one.
 CODES = 256
+#: Rows whose distances to all lists are held at a time: 8 MB at most.
+STEP = 256
 _FOUND = "query_id long, doc_id long, score double"
 
 
@@ -86,8 +88,16 @@ class Ivf:
 
     def order(self, x: np.ndarray) -> np.ndarray:
         """All lists, the nearest first, for each row."""
-        d = (self.centroids**2).sum(1) - 2 * x @ self.centroids.T
-        return np.argsort(d, 1, kind="stable")
+        return np.argsort(self.distances(x), 1, kind="stable")
+
+    def nearest(self, x: np.ndarray) -> np.ndarray:
+        """The nearest list of each row, some rows at a time: a batch by all lists would be hundreds of MB."""
+        parts = [self.distances(x[lo : lo + STEP]).argmin(1) for lo in range(0, len(x), STEP)]
+        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+    def distances(self, x: np.ndarray) -> np.ndarray:
+        """Squared distances to all lists, less the row's own square."""
+        return (self.centroids**2).sum(1) - 2 * x @ self.centroids.T
 
     def probes(self) -> int:
         return math.ceil(READ * len(self.centroids))
@@ -100,7 +110,7 @@ class Ivf:
         def run(batches):
             for pdf in batches:
                 if len(pdf):
-                    yield pdf.assign(cell=shared.value.order(np.stack(pdf["v"].to_numpy()).astype(float))[:, 0])[["cell", "doc_id", "v"]]
+                    yield pdf.assign(cell=shared.value.nearest(np.stack(pdf["v"].to_numpy()).astype(float)))[["cell", "doc_id", "v"]]
 
         checkpoint_root(vectors.sparkSession)
         rows = vectors.select(F.col("doc_id").cast("long"), F.col("v").cast("array<float>")).where("size(v) > 0")
@@ -116,8 +126,8 @@ class Ivf:
 
         def run(batches):
             for pdf in batches:
-                for lo in range(0, len(pdf), 1024):
-                    part, (lists, held) = pdf.iloc[lo : lo + 1024], shared.value
+                for lo in range(0, len(pdf), STEP):
+                    part, (lists, held) = pdf.iloc[lo : lo + STEP], shared.value
                     near = lists.order(np.stack(part["q"].to_numpy()).astype(float))
                     total = np.cumsum(held[near], 1)
                     if not near.shape[1]:
@@ -157,14 +167,15 @@ class Ivf:
 
         def deal(batches):
             for pdf in batches:
-                rows = []
-                for r in pdf.itertuples(index=False):
-                    mine: dict[int, list[int]] = {}
-                    for c in r.cells:
-                        for s in shared.value.get(int(c), ()):
-                            mine.setdefault(s, []).append(int(c))
-                    rows += [(r.query_id, r.q, s, np.array(cells, np.int32)) for s, cells in mine.items()]
-                yield pd.DataFrame(rows, columns=["query_id", "q", "shard", "cells"])
+                for lo in range(0, len(pdf), STEP):
+                    rows = []
+                    for r in pdf.iloc[lo : lo + STEP].itertuples(index=False):
+                        mine: dict[int, list[int]] = {}
+                        for c in r.cells:
+                            for s in shared.value.get(int(c), ()):
+                                mine.setdefault(s, []).append(int(c))
+                        rows += [(r.query_id, r.q, s, np.array(cells, np.int32)) for s, cells in mine.items()]
+                    yield pd.DataFrame(rows, columns=["query_id", "q", "shard", "cells"])
 
         right = asked.mapInPandas(deal, "query_id long, q array<float>, shard long, cells array<int>").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
 
@@ -174,8 +185,8 @@ class Ivf:
                 ids = group["doc_id"].to_numpy()
                 local, at = np.unique(group["cell"].to_numpy(), return_inverse=True)
                 score = scorer(group)
-                for lo in range(0, len(part), 128):
-                    some = part.iloc[lo : lo + 128]
+                for lo in range(0, len(part), ROWS):
+                    some = part.iloc[lo : lo + ROWS]
                     reads = np.stack([np.isin(local, c) for c in some["cells"]])
                     use = np.flatnonzero(reads.any(0)[at])
                     s = np.where(reads[:, at[use]], score(np.stack(some["q"].to_numpy()).astype(float), use), -np.inf)
@@ -240,7 +251,7 @@ class Pq:
         x = sampled(vectors, sample)
         if x.shape[1] % parts:
             raise ValueError(f"{parts} parts don't divide {x.shape[1]} dimensions")
-        rest = (x - lists.centroids[lists.order(x)[:, 0]]).reshape(len(x), parts, -1)
+        rest = (x - lists.centroids[lists.nearest(x)]).reshape(len(x), parts, -1)
         rng = np.random.default_rng(seed)
         return cls(lists, np.stack([_means(rest[:, i], CODES, rounds, rng) for i in range(parts)]))
 

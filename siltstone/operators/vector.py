@@ -12,6 +12,8 @@ from pyspark.sql import Window
 
 #: Vectors and queries in one block of an exact search.
 VECTORS, QUERIES = 32_768, 2048
+#: Queries of a block whose scores are held at a time: 8 MB for the vectors of a block.
+ROWS = 32
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -42,8 +44,8 @@ def _nearest(group: pd.DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFrame:
         return pd.DataFrame({c: pd.Series(dtype=t) for c, t in kinds.items()})
     ids, x = group["doc_id"].to_numpy(), np.stack(group["v"].to_numpy()).astype(float)
     out = []
-    for lo in range(0, len(asked), 128):
-        part = asked.iloc[lo : lo + 128]
+    for lo in range(0, len(asked), ROWS):
+        part = asked.iloc[lo : lo + ROWS]
         scores = np.round(np.stack(part["q"].to_numpy()).astype(float) @ x.T, 6)
         for query, s in zip(part["query_id"], scores, strict=True):
             s = np.where(ids == query, -np.inf, s)

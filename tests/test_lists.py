@@ -130,3 +130,16 @@ def test_nothing_to_search(spark):
     some = spark.createDataFrame([(1, [1.0, 2.0]), (2, None), (3, []), (4, [0.5, 0.0])], "doc_id long, v array<float>")
     ivf = lists.Ivf.fit(some)
     assert ranks(ivf.search(ivf.index(some), q, 3, probes=5)) == {1: [(4, 0.5)]}
+
+
+def test_lists_are_found_some_rows_at_a_time():
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    ivf, x = lists.Ivf(rng.normal(size=(1024, 16))), rng.normal(size=(10_000, 16))
+    tracemalloc.start()
+    near = ivf.nearest(x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (near[:200] == ivf.order(x[:200])[:, 0]).all() and len(near) == len(x)
+    assert peak < 20 << 20  # distances of all rows to all lists: 82 MB, and as much for their order
