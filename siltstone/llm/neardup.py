@@ -8,13 +8,15 @@ probability (1 - s**ROWS)**BANDS: about 1.5e-4 at 0.8, 2e-7 at 0.85, and fewer a
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from siltstone.llm.common import apart, components, integral, numbered, together, written
+from siltstone.llm.common import apart, components, discard, integral, numbered, together, written
 from siltstone.llm.shingles import WORDS, mix, shingle_sets
 
 BANDS, ROWS = 48, 8
@@ -162,7 +164,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").mapInPandas(run, "a long, b long")
 
 
-def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, under: str | None = None) -> DataFrame:
     """Per document row: doc_id, n_shingles, component_id, kept. Documents are linked from ``percent`` similarity on.
 
     Equal sets meet by signature, one representative of each goes on. In every band its members are paired with the
@@ -172,38 +174,38 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     registers, with a margin of 7 sigma, before full sets are compared. Documents without words are linked with nothing. A null id has a null component and is kept. Rows that
     repeat an id share a component, each gives a row; of several texts under one id the first in order is compared.
     Ids are numbers, or strings (the smallest by their order). Other columns are ignored, an empty table gives none.
+    Tables on the way are written ``under`` a name if one is given, for the caller to discard once the result is read.
     """
     if percent < LEAST:
         raise ValueError(f"the bands find similarities of {LEAST} per cent and more")
     if not integral(docs, id_col):
         base, ids = numbered(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id")
-        found = classes(base.select(F.col("_n").alias("doc_id"), "text"), percent=percent)
+        found = classes(base.select(F.col("_n").alias("doc_id"), "text"), percent=percent, under=under)
         name = lambda c: ids.select(F.col("_n").alias(c), F.col("_id").alias(f"{c}_"))
         found = found.join(name("doc_id"), "doc_id", "left").join(name("component_id"), "component_id", "left")
         return found.select(F.col("doc_id_").alias("doc_id"), "n_shingles", F.col("component_id_").alias("component_id"), "kept")
-    rows = written(sketch(docs, id_col, text_col), "sketch")
+    rows = written(sketch(docs, id_col, text_col), "sketch", under)
     full = rows.where("n > 0 and doc_id is not null")
     first = full.groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.min_by("n", "doc_id").alias("n"), F.min_by("regs", "doc_id").alias("regs"))
-    reps = written(first, "representatives")
+    reps = written(first, "representatives", under)
     bands = _bands(reps)
     stars = bands.groupBy("key").agg(F.min(F.struct("doc", "n")).alias("l"), F.count("*").alias("size")).where("size > 1")
-    members = written(bands.join(stars.select("key", F.col("l.doc").alias("leader"), F.col("l.n").alias("ln")), "key"), "bands")
+    members = written(bands.join(stars.select("key", F.col("l.doc").alias("leader"), F.col("l.n").alias("ln")), "key"), "bands", under)
     pairs = members.where("doc <> leader").where(_close(percent)).select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
     crowd = members.select("doc").distinct()
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null")
     texts = source.join(crowd, "doc", "left_semi").groupBy("doc").agg(F.min("text").alias("text")) if _repeats(rows) else source.join(crowd, "doc", "left_semi")
-    texts = written(texts, "texts")
+    texts = written(texts, "texts", under)
     nearest = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    done = nearest.checkpoint()
-    links = _verified(_estimated(done, reps, percent), texts, percent).checkpoint()
-    label = components(links)
-    rest = _other_stars(pairs.join(done, ["a", "b"], "left_anti"), label).checkpoint()
+    done = written(nearest, "nearest", under)
+    label = components(_verified(_estimated(done, reps, percent), texts, percent), under=under)
+    rest = written(_other_stars(pairs.join(done, ["a", "b"], "left_anti"), label), "stars", under)
     done = done.unionByName(rest)
-    links, label = _more(links, label, _verified(_estimated(rest, reps, percent), texts, percent))
-    mixed = _mixed_bands(members, label).checkpoint()
-    rest = _small_pairs(mixed, percent).join(done, ["a", "b"], "left_anti").checkpoint()
+    label = _more(label, _verified(_estimated(rest, reps, percent), texts, percent), under)
+    mixed = written(_mixed_bands(members, label), "mixed", under)
+    rest = written(_small_pairs(mixed, percent).join(done, ["a", "b"], "left_anti"), "pairs", under)
     found = _verified(_estimated(rest, reps, percent), texts, percent).unionByName(_joined_blocks(mixed, texts, percent))
-    links, label = _more(links, label, found)
+    label = _more(label, found, under)
     known = reps.select("s1", "s2", "doc_id").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     known = known.select("s1", "s2", F.coalesce("component", "doc_id").alias("component_id"))
     linked = full.select("doc_id", "n", "s1", "s2").join(known, ["s1", "s2"]).select("doc_id", "n", "component_id")
@@ -216,13 +218,17 @@ def _repeats(rows: DataFrame) -> bool:
     return rows.agg(F.count("doc_id") - F.count_distinct("doc_id")).first()[0] > 0
 
 
-def _more(links: DataFrame, label: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All links and their components; the old ones where nothing was found."""
-    found = found.distinct().checkpoint()
+def _more(label: DataFrame, found: DataFrame, under: str | None) -> DataFrame:
+    """The components after more links: only those between old components, which these contract, are walked."""
+    found = written(found.distinct(), "links", under)
     if found.isEmpty():
-        return links, label
-    links = links.unionByName(found)
-    return links, components(links)
+        return label
+    name = lambda x: label.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    ends = found.join(name("a"), "a", "left").join(name("b"), "b", "left")
+    upper = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), under=under)
+    top = upper.select(F.col("node").alias("component"), F.col("component").alias("top"))
+    old = label.join(top, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    return written(old.unionByName(upper.join(label.select("node"), "node", "left_anti")), "components", under)
 
 
 def _other_stars(pairs: DataFrame, label: DataFrame) -> DataFrame:
@@ -316,7 +322,9 @@ def _joined_blocks(mixed: DataFrame, texts: DataFrame, percent: int) -> DataFram
 
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The documents with one of each group left, that of the smallest id; of rows that repeat an id, the first text."""
-    found = written(classes(docs, id_col=id_col, text_col=text_col, percent=percent), "classes")
+    under = f"near-{uuid.uuid4().hex}"
+    found = written(classes(docs, id_col=id_col, text_col=text_col, percent=percent, under=under), "classes")
+    discard(docs.sparkSession, under)
     own, names = apart(docs)
     id_, text = names[id_col], names[text_col]
     gone = found.where("not kept").select(F.col("doc_id").alias(id_)).distinct()

@@ -18,7 +18,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.llm import decontaminate, hmm, html, language, licenses, mixing, neardup, neighbours, shingles, substrings, urls
-from siltstone.llm.common import components
+from siltstone.llm.common import checkpoint_root, components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, bucket string, h string, __n long"
 
@@ -586,6 +586,40 @@ def test_block_products():
     assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets] for a in sets[:5]]
 
 
+def _tables(spark):
+    """Folders and checkpoints in the shared folder."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(checkpoint_root(spark))
+    files = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    return {str(f.getPath().toString()).rsplit("/", 1)[-1] for p in (top, spark._jvm.org.apache.hadoop.fs.Path(spark.sparkContext.getCheckpointDir())) for f in files.listStatus(p)}
+
+
+def test_components_leave_their_result_alone(spark):
+    checkpoint_root(spark)
+    before = _tables(spark)
+    got = {r.node: r.component for r in components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")).collect()}
+    assert got == dict.fromkeys(range(41), 0)
+    left = _tables(spark) - before
+    assert len(left) == 1 and left.pop().startswith("components-")
+
+
+def test_near_dedup_leaves_one_table(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(words[:55] + [f"x{i}", f"y{i}"])) for i in range(30)] + [(99, "other words that nothing else here has")]
+    checkpoint_root(spark)
+    before = _tables(spark)
+    kept = neardup.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in kept.collect()} == {0, 99}
+    left = _tables(spark) - before
+    assert len(left) == 1 and left.pop().startswith("classes-")
+
+
+def test_links_between_components_join_them(spark):
+    label = components(spark.createDataFrame([(1, 2), (3, 4), (5, 6)], "a long, b long"))
+    found = spark.createDataFrame([(2, 4), (9, 6), (7, 8)], "a long, b long")
+    got = {r.node: r.component for r in neardup._more(label, found, None).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5, 9: 5, 7: 7, 8: 7}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 100), (7, 7), (None, 3), (200, 300), (300, 250)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
