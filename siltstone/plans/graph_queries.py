@@ -131,9 +131,12 @@ _RISK = "x AS (SELECT l_partkey AS id, count(DISTINCT l_suppkey) AS fi, count(DI
 
 def _risk(spark, sf_dir):
     """A part's risks. Discounts are added as decimals: a sum of doubles depends on the order of its rows, and so would what
-    lies at a tag's threshold."""
+    lies at a tag's threshold. A part with a discount that is no such decimal (more places, too large, not finite) has its
+    doubles added."""
     li = table(spark, sf_dir, "lineitem")
-    x = li.groupBy(F.col("l_partkey").alias("id")).agg(F.count_distinct("l_suppkey").alias("fi"), F.count_distinct("l_orderkey").alias("fo"), F.max("l_linenumber").alias("cyc"), F.count_if(F.col("l_returnflag") == "R").alias("untyped"), F.count_if(F.col("l_linestatus") == "O").alias("errors"), F.count_if(F.col("l_tax") > 0.04).alias("churn"), (F.sum(F.col("l_discount").cast("decimal(18,12)")).cast("double") / F.count("l_discount")).alias("d"))
+    exact = F.col("l_discount").try_cast("decimal(18,12)")
+    mean = F.when(F.bool_and(exact.cast("double").eqNullSafe(F.col("l_discount"))), F.sum(exact).cast("double") / F.count("l_discount")).otherwise(F.avg("l_discount"))
+    x = li.groupBy(F.col("l_partkey").alias("id")).agg(F.count_distinct("l_suppkey").alias("fi"), F.count_distinct("l_orderkey").alias("fo"), F.max("l_linenumber").alias("cyc"), F.count_if(F.col("l_returnflag") == "R").alias("untyped"), F.count_if(F.col("l_linestatus") == "O").alias("errors"), F.count_if(F.col("l_tax") > 0.04).alias("churn"), mean.alias("d"))
     x = x.withColumn("coverage", F.when(F.col("id") % 5 != 0, F.col("d") * 10))
     return x.withColumn("hotspot", repo.hotspot(*[F.col(c) for c in ("fi", "fo", "cyc", "untyped", "errors", "churn", "coverage")]))
 

@@ -373,6 +373,24 @@ def test_tags_do_not_depend_on_the_order_of_rows(spark, tmp_path):
     assert got == {11: "docs-missing", 13: "docs-missing"}
 
 
+def test_tags_of_odd_discounts(spark, tmp_path):
+    """Discounts that are no decimal of 12 places give what SQL's doubles give: nothing is rounded, and nothing fails."""
+    import duckdb
+
+    from siltstone.plans import graph_queries
+    from siltstone.plans.catalogue import oracle_sql
+
+    cols = "l_partkey long, l_suppkey long, l_orderkey long, l_linenumber int, l_returnflag string, l_linestatus string, l_tax double, l_discount double"
+    found = [0.0649999999999996, 0.0650000000000004, float("nan"), float("inf"), float("-inf"), 1e7, -1e300, None, 0.06]
+    rows = [(5 * i + 1, 1, 1, 1, "R", "F", 0.0, d) for i, d in enumerate(found)] + [(1, 1, 1, 1, "R", "F", 0.0, None)]
+    spark.createDataFrame(rows, cols).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    for name in ("tag_rules", "hotspot_score"):
+        got = {tuple(r) for r in getattr(graph_queries, name)(spark, str(tmp_path)).collect()}
+        assert got == set(con.execute(oracle_sql()[name]).fetchall()) and len(got) == len(found)
+
+
 def test_python_modules(spark):
     code = 'import os\nfrom .x import *\n__all__ = ["f"]\n\ndef f(a: int, b) -> int:\n    """Doc."""\n    if a:\n        raise KeyError(b)\n    return a\n'
     rows = {r.path: r for r in repo.modules(spark.createDataFrame([("a.py", code), ("b.py", "def ("), ("c.py", None)], "path string, code string")).collect()}
