@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-#: Vectors and queries in one block of an exact search.
+#: Vectors and, while they are few, queries in one block of an exact search.
 VECTORS, QUERIES = 32_768, 2048
 #: Queries of a block whose scores are held at a time: 8 MB for the vectors of a block.
 ROWS = 32
+#: Queries and vectors of an exact search whose scores are held at a time: 8 MB, too.
+TILE = 256, 4096
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -38,31 +40,61 @@ def _each(n: int) -> Column:
     return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
 
 
+def _floor(scores: np.ndarray, k: int) -> np.ndarray:
+    """For each row, a number that at least k of its scores reach: the k-th of the largest scores of disjoint sets of columns."""
+    sets = min(scores.shape[1], 8 * k)
+    if sets < k:
+        return np.full(len(scores), -np.inf)
+    wide = scores.shape[1] // sets
+    most = np.fmax.reduce(scores[:, : wide * sets].reshape(len(scores), wide, sets), 1)
+    return np.partition(most, sets - k, axis=1)[:, sets - k]
+
+
 def _nearest(group: pd.DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best of a block for each query. Scores are made a tile at a time; only those that can be among the k best leave it."""
     kinds = {"query_id": "int64", "doc_id": "int64", "score": "float64"}
     if not len(group) or not len(asked):
         return pd.DataFrame({c: pd.Series(dtype=t) for c, t in kinds.items()})
+    group = group.sort_values("doc_id")
     ids, x = group["doc_id"].to_numpy(), np.stack(group["v"].to_numpy()).astype(float)
     out = []
-    for lo in range(0, len(asked), ROWS):
-        part = asked.iloc[lo : lo + ROWS]
-        scores = np.round(np.stack(part["q"].to_numpy()).astype(float) @ x.T, 6)
-        for query, s in zip(part["query_id"], scores, strict=True):
-            s = np.where(ids == query, -np.inf, s)
-            least = np.partition(s, max(len(s) - k, 0))[max(len(s) - k, 0)]
-            near = np.flatnonzero((s >= least) & (s > -np.inf))
-            best = near[np.lexsort((ids[near], -s[near]))[:k]]
-            out.append(pd.DataFrame({"query_id": query, "doc_id": ids[best], "score": s[best]}))
+    for lo in range(0, len(asked), TILE[0]):
+        part = asked.iloc[lo : lo + TILE[0]]
+        own, q = part["query_id"].to_numpy(), np.stack(part["q"].to_numpy()).astype(float)
+        row, col, best = np.empty(0, int), np.empty(0, int), np.empty(0)
+        least = np.full(len(part), -np.inf)
+        for at in range(0, len(x), TILE[1]):
+            tile = ids[at : at + TILE[1]]
+            scores = q @ x[at : at + TILE[1]].T
+            first, last = np.searchsorted(tile, own), np.searchsorted(tile, own, "right")
+            for r in np.flatnonzero(last > first):
+                scores[r, first[r] : last[r]] = -np.inf
+            if np.isneginf(least).any():
+                least = np.maximum(least, _floor(scores, k))
+            # What is rounded to no less than ``least`` is: up to 5e-7 on either side, and the last digits of large scores.
+            slack = 2e-6 + 1e-14 * np.abs(np.where(np.isfinite(least), least, 0.0))
+            r, c = np.divmod(np.flatnonzero(scores >= (least - slack)[:, None]), scores.shape[1])
+            s = scores[r, c]
+            r, c, s = r[s > -np.inf], c[s > -np.inf], np.round(s[s > -np.inf], 6)
+            row, col, best = np.concatenate([row, r]), np.concatenate([col, c + at]), np.concatenate([best, s])
+            order = np.lexsort((col, -best, row))
+            order = order[np.arange(len(row)) - np.searchsorted(row[order], row[order]) < k]
+            row, col, best = row[order], col[order], best[order]
+            full = np.searchsorted(row, np.arange(len(part)), "right") - 1
+            full = full[np.bincount(row, minlength=len(part)) == k]
+            least[row[full]] = best[full]
+        out.append(pd.DataFrame({"query_id": own[row], "doc_id": ids[col], "score": best}))
     return pd.concat(out).astype(kinds)
 
 
 def exact_neighbours(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The k largest inner products (6 places) of ``vectors(doc_id, v)`` for ``queries(query_id, q)``, not with itself.
 
-    Both sides are cut into blocks of a fixed size; each pair of blocks is a matrix product that keeps k rows a query.
+    Both sides are cut into blocks of at most VECTORS; each pair of blocks is a matrix product that keeps k rows a query. A
+    vector is copied once for each block of queries: that makes a dozen of these, and more only where they'd be too large.
     """
     n, m = vectors.count(), queries.count()
-    nv, nq = max(1, math.ceil(n / VECTORS)), max(1, math.ceil(m / QUERIES))
+    nv, nq = max(1, math.ceil(n / VECTORS)), max(1, math.ceil(m / min(VECTORS, max(QUERIES, m // 12))))
     left = vectors.select("doc_id", "v", F.pmod(F.xxhash64("doc_id"), F.lit(nv)).alias("i"), _each(nq).alias("j"))
     right = queries.select("query_id", "q", _each(nv).alias("i"), F.pmod(F.xxhash64("query_id"), F.lit(nq)).alias("j"))
     found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(lambda a, b: _nearest(a, b, k), "query_id long, doc_id long, score double")

@@ -195,17 +195,20 @@ def ann_recall_vs_exact(spark, sf_dir):
     return evaluation.overlap(ivf.search(ivf.index(v), q, 20), vector.exact_neighbours(v, q, 20))
 
 
-_RELEVANT = "rel AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id AND a.label = b.label)"
+_ALL_ASK = _KNN.replace("a.vec_id % 20 = 0 AND ", "")
+_RELEVANT = "rel AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND a.label = b.label)"
 
 
 @query(
-    f"""WITH {_KNN}, {_RELEVANT}, f AS (SELECT query_id, count(*) AS found, max(1.0 / rank) AS rr FROM nn JOIN rel USING (query_id, doc_id) WHERE rank <= 10 GROUP BY 1), n AS (SELECT query_id, count(*) AS n FROM rel GROUP BY 1)
+    f"""WITH {_ALL_ASK}, {_RELEVANT}, f AS (SELECT query_id, count(*) AS found, max(1.0 / rank) AS rr FROM nn JOIN rel USING (query_id, doc_id) WHERE rank <= 10 GROUP BY 1), n AS (SELECT query_id, count(*) AS n FROM rel GROUP BY 1)
 SELECT count(*) AS n_queries, round(avg(coalesce(found, 0) / n::DOUBLE), 6) AS recall, round(avg((coalesce(found, 0) > 0)::INT), 6) AS hit_rate, round(avg(coalesce(rr, 0)), 6) AS mrr FROM n LEFT JOIN f USING (query_id)"""
 )
 def recall_mrr_at_k(spark, sf_dir):
-    v, q = _vectors(spark, sf_dir)
+    """Every vector asks, of all others."""
+    v, _ = _vectors(spark, sf_dir)
+    q = v.select(F.col("doc_id").alias("query_id"), F.col("v").alias("q"), "label")
     hits = vector.exact_neighbours(v, q, 10)
-    m = evaluation.means(evaluation.per_query_by_label(hits, q.select("query_id", F.col("q_label").alias("label")), v.select("doc_id", "label"), 10))
+    m = evaluation.means(evaluation.per_query_by_label(hits, q.select("query_id", "label"), v.select("doc_id", "label"), 10))
     return m.select("n_queries", *[F.round(c, 6).alias(c) for c in ("recall", "hit_rate", "mrr")])
 
 

@@ -1,6 +1,7 @@
 """Inverted lists against exact search: recall, filters that widen, quantised codes, the recall curve, token search."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,6 +37,41 @@ def test_recall_is_at_least_nine_tenths(data):
     assert ranks(ivf.search(index, q, 20, probes=len(ivf.centroids))) == truth
 
 
+def test_every_vector_asks_for_recall(spark, tmp_path, monkeypatch):
+    """Brute force on ids of which 20 divides none, and again with small blocks."""
+    rng = np.random.default_rng(5)
+    rows = [(20 * i + 1 + i % 3, [float(x) for x in rng.integers(-2, 3, 4)], int(i % 7 if i else 99)) for i in range(70)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    recalls, ranked = [], []
+    for a, q, label in rows:
+        best = sorted((-float(np.dot(q, v)), b, other) for b, v, other in rows if b != a)[:10]
+        good = [rank for rank, (_, _, other) in enumerate(best, 1) if other == label]
+        size = sum(other == label for b, _, other in rows if b != a)
+        if size:
+            recalls.append(len(good) / size)
+            ranked.append(1 / good[0] if good else 0.0)
+    want = (69, *(round(float(np.mean(x)), 6) for x in (recalls, [r > 0 for r in ranked], ranked)))
+    assert tuple(retrieval.recall_mrr_at_k(spark, str(tmp_path)).first()) == pytest.approx(want, abs=1e-6)
+    monkeypatch.setattr(vector, "VECTORS", 30)
+    monkeypatch.setattr(vector, "QUERIES", 8)
+    assert tuple(retrieval.recall_mrr_at_k(spark, str(tmp_path)).first()) == pytest.approx(want, abs=1e-6)
+
+
+@pytest.mark.parametrize("tile", [(256, 4096), (7, 64), (3, 5)])
+def test_tiles_keep_the_best(monkeypatch, tile):
+    """Ties, copies, repeated ids and fewer vectors than asked for, against sorting all scores."""
+    monkeypatch.setattr(vector, "TILE", tile)
+    rng = np.random.default_rng(6)
+    for n, k, size in ((300, 10, 3), (300, 1, 2000), (8, 10, 2), (1, 3, 1)):
+        ids, x = rng.permutation(n) % 290, rng.integers(-size, size + 1, (n, 4)).astype("float32") / np.float32(7)
+        got = vector._nearest(pd.DataFrame({"doc_id": ids, "v": list(x)}), pd.DataFrame({"query_id": np.arange(20), "q": list(x[np.arange(20) % n])}), k)
+        for i in range(20):
+            scores = np.round(x.astype(float) @ x[i % n].astype(float), 6)
+            want = sorted((-s, d) for s, d in zip(scores, ids, strict=True) if d != i)[:k]
+            mine = got[got["query_id"] == i]
+            assert [d for _, d in want] == list(mine["doc_id"]) and np.allclose([-s for s, _ in want], mine["score"], atol=1e-9)
+
+
 def test_pieces_and_blocks_change_nothing(data, monkeypatch):
     _, q, ivf, index, _ = data
     want = ranks(ivf.search(index, q, 7, probes=9))
